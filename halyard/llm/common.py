@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Rows of one Arrow batch: texts may be long, so batches are kept small to bound a worker's memory.
-BATCH_ROWS = 1000
+#: Bounds of one Arrow batch: texts and packed rows may be long, so batches are kept small to bound a worker's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -26,8 +26,9 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(BATCH_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, value in BATCH.items():
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import decontam, langid, linededup, packing, quality, simhash
+from halyard.llm import decontam, html, langid, linededup, packing, quality, simhash, topk
 from halyard.llm.common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -36,13 +41,26 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_language_id, op4_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op8_quality_classifier, op10_line_dedup)
+    for f in (
+        op1_exact_top_k,
+        op3_language_id,
+        op4_decontamination,
+        op6_best_fit_packing,
+        op7_simhash_near_dedup,
+        op8_quality_classifier,
+        op9_html_extraction,
+        op10_line_dedup,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op10_line_dedup": linededup.SQL}
