@@ -139,8 +139,9 @@ def cluster_health(nodes: DataFrame, state: str = "state") -> DataFrame:
 
 
 def shard_of(key: str | Column, shards: int) -> Column:
-    """Number of the range of shard_ranges that the key's hash lies in."""
-    return F.floor(sha256_hash(key) * F.lit(shards).cast("decimal(10,0)") / F.lit(1 << 64).cast("decimal(20,0)")).cast("int")
+    """Number of the range of shard_ranges that the key's hash lies in (by its upper half: exact for up to 2**20 shards that divide 2**32)."""
+    top = F.conv(F.substring(F.sha2((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("long")
+    return F.floor(top * shards / (1 << 32)).cast("int")
 
 
 def replicate(df: DataFrame, ring: Ring, key: str, factor: int = 3) -> DataFrame:

@@ -73,7 +73,7 @@ class BinaryQuantizer:
 
     def encode(self, vector: str | Column) -> Column:
         signs = self.signs(vector)
-        value = lambda s, i: F.when(s, F.shiftleft(F.lit(1), 1).bitwiseAND(0) + F.pow(F.lit(2), i % 8).cast("int")).otherwise(0)
+        value = lambda s, i: F.when(s, F.pow(F.lit(2), i % 8).cast("int")).otherwise(0)
         weighted = F.transform(signs, value)
         parts = [F.aggregate(F.slice(weighted, 8 * b + 1, 8), F.lit(0), lambda s, x: s + x).cast("smallint") for b in range(-(-self.bits // 8))]
         return F.array(*parts)
@@ -100,12 +100,13 @@ class ProductQuantizer:
 
     def encode(self, vector: str | Column) -> Column:
         v = V.vector(vector)
-        parts = []
-        for s, book in enumerate(self.codebooks):
-            own = F.slice(v, s * self.width + 1, self.width)
-            pairs = F.transform(F.lit([list(c) for c in book]), lambda c, i, own=own: F.struct(V.squared_euclidean(own, c).alias("d"), i.alias("i")))
-            parts.append(F.array_min(pairs)["i"].cast("smallint"))
-        return F.array(*parts)
+        return F.array(*[self._nearest(F.slice(v, s * self.width + 1, self.width), book) for s, book in enumerate(self.codebooks)])
+
+    @staticmethod
+    def _nearest(own: Column, book: tuple[tuple[float, ...], ...]) -> Column:
+        """Number of the nearest centroid, the first of equals."""
+        pairs = F.transform(F.lit([list(c) for c in book]), lambda c, i: F.struct(V.squared_euclidean(own, c).alias("d"), i.alias("i")))
+        return F.array_min(pairs)["i"].cast("smallint")
 
     def decode(self, codes: str | Column) -> Column:
         c = V.vector(codes)

@@ -50,9 +50,10 @@ def prioritized(df: DataFrame, priority: str = "priority", seq: str = "seq") ->
     return df.orderBy(F.desc(priority), seq)
 
 
-def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int = 16, format: str = "parquet") -> DataFrame:
-    """A stream of the files of a folder, so many a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(format).load(path)
+def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int = 16, format: str = "parquet", glob: str | None = None) -> DataFrame:
+    """A stream of the files of a folder (those named like glob), so many a micro-batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(format)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
