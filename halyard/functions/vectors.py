@@ -40,7 +40,7 @@ def norm(a: Vector) -> Column:
 def cosine_similarity(a: Vector, b: Vector) -> Column:
     """cos in -1..1; 1 for two zero vectors, 0 if one is zero."""
     p, q = norm(a), norm(b)
-    cos = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(a, b) / (p * q)))
+    cos = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(dot(a, b), p * q)))
     return F.when((p == 0) & (q == 0), 1.0).when((p == 0) | (q == 0), 0.0).otherwise(cos)
 
 
@@ -98,7 +98,7 @@ def score_of(metric: Metric | str, distance: Column) -> Column:
 
 def distance_of(metric: Metric | str, score: Column) -> Column:
     """Distance from similarity; 1e9 where a reciprocal score is zero."""
-    reciprocal = F.when(score == 0, 1e9).otherwise(F.lit(1.0) / score - 1.0)
+    reciprocal = F.when(score == 0, 1e9).otherwise(F.try_divide(F.lit(1.0), score) - 1.0)
     return {Metric.COSINE: F.lit(1.0) - score, Metric.DOT_PRODUCT: -score}.get(Metric.of(metric), reciprocal)
 
 

@@ -158,4 +158,4 @@ def graph_search(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str
 def graph_stats(edges: DataFrame) -> DataFrame:
     """Nodes, edges, highest layer and mean degree in the base layer."""
     base = F.col("layer") == 0
-    return edges.agg(F.count_distinct("src").alias("nodes"), F.count("*").alias("edges"), F.max("layer").alias("max_layer"), (F.count_if(base) / F.count_distinct(F.when(base, F.col("src")))).alias("avg_degree"))
+    return edges.agg(F.count_distinct("src").alias("nodes"), F.count("*").alias("edges"), F.max("layer").alias("max_layer"), F.try_divide(F.count_if(base), F.count_distinct(F.when(base, F.col("src")))).alias("avg_degree"))

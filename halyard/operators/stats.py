@@ -38,7 +38,7 @@ def numeric_stats(df: DataFrame, field: str) -> DataFrame:
 def actual_selectivity(df: DataFrame, f: P.Filter) -> DataFrame:
     """Matches, rows and their ratio."""
     hit = f.validate().column(df.schema)
-    return df.agg(F.count_if(hit).alias("matches"), F.count("*").alias("total"), (F.count_if(hit) / F.count("*")).alias("selectivity"))
+    return df.agg(F.count_if(hit).alias("matches"), F.count("*").alias("total"), F.try_divide(F.count_if(hit), F.count("*")).alias("selectivity"))
 
 
 def estimated_selectivity(f: P.Filter, distinct: dict[str, int]) -> float:
@@ -69,7 +69,7 @@ def segment_totals(segments: DataFrame, state: str) -> DataFrame:
 
 def health(segments: DataFrame, valid: Column) -> DataFrame:
     """Share of valid segments and a status: below 0.5 critical, below 0.8 degraded. No segments are healthy."""
-    score = F.coalesce(F.count_if(valid) / F.count("*"), F.lit(1.0))
+    score = F.coalesce(F.try_divide(F.count_if(valid), F.count("*")), F.lit(1.0))
     return segments.agg(F.count("*").alias("segments"), F.count_if(valid).alias("healthy"), score.alias("score")).withColumn(
         "status", F.when(F.col("score") < 0.5, "critical").when(F.col("score") < 0.8, "degraded").otherwise("healthy")
     )
@@ -84,7 +84,7 @@ def compaction_candidates(segments: DataFrame, id: str, state: str = "state", mo
 def compaction_benefit(segments: DataFrame) -> DataFrame:
     """Of merging the segments: bytes of deleted rows saved, reads saved (n - 1) / n, and their sum as shares."""
     n = F.count("*")
-    saved = F.sum("deleted_bytes") / F.sum("size_bytes")
+    saved = F.try_divide(F.sum("deleted_bytes"), F.sum("size_bytes"))
     io = F.when(n > 0, (n - 1) / n)
     return segments.agg(n.alias("segments"), F.sum("deleted_bytes").alias("space_saving"), saved.alias("space_share"), io.alias("io_reduction"), (saved + io).alias("net_benefit"))
 
@@ -137,7 +137,7 @@ def batch_statistics(df: DataFrame, ok: Column, latency: str, keys: Sequence[str
     """Operations in all, done and failed, mean and largest latency, and done per unit of latency."""
     return df.groupBy(*keys).agg(
         F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.avg(latency).alias("avg_latency"), F.max(latency).alias("max_latency"),
-        (F.count_if(~ok) / F.count("*") * 100).alias("error_rate"), (F.count_if(ok) / F.sum(latency)).alias("throughput"),
+        (F.try_divide(F.count_if(~ok), F.count("*")) * 100).alias("error_rate"), F.try_divide(F.count_if(ok), F.sum(latency)).alias("throughput"),
     )
 
 

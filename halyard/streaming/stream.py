@@ -70,11 +70,13 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, id: str = "id",
         done = oplog.list_snapshots(spark, path)
         if name in done or (done and done[0] > name):
             return  # this batch was applied before
-        batch = last_writes(batch.withColumn("_gone", deleted if deleted is not None else F.lit(False)), id, seq)
-        new = batch.where(~F.col("_gone")).drop("_gone")
+        batch = batch.persist()  # it is read for what stays and for what goes
+        latest = last_writes(batch.withColumn("_gone", deleted if deleted is not None else F.lit(False)), id, seq)
+        new = latest.where(~F.col("_gone")).drop("_gone")
         base = spark.read.parquet(f"{path}/{done[0]}") if done else None
-        whole = new if base is None else upsert(delete(base, batch.where("_gone"), id), new, id)
+        whole = new if base is None else upsert(delete(base, latest.where("_gone"), id), new, id)
         whole.write.mode("overwrite").parquet(f"{path}/{name}")
+        batch.unpersist()
         for old in oplog.list_snapshots(spark, path)[keep:]:
             oplog.delete_snapshot(spark, path, old)
 
