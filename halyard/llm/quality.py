@@ -92,15 +92,16 @@ def to_chunks(data: np.ndarray, first: int = 0, last: int | None = None) -> np.n
     return np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(own), CHUNK), (HOP, 1)))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, at_once: int = 32, rate: float = 0.004, seed: int = 42) -> Network:
+def fit(texts: list[str], labels: np.ndarray, steps: int = 1000, at_once: int = 32, rate: float = 0.004, seed: int = 42) -> Network:
     """Adam on the log loss; the gradient of a maximum goes to where it was taken."""
     net = Network.fresh(seed)
     rng = np.random.default_rng(seed)
     data = [to_bytes(t) for t in texts]
     params = net.parameters()
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    total = epochs * -(-len(data) // at_once)
-    for _ in range(epochs):
+    per_epoch = -(-len(data) // at_once)
+    total = max(1, round(steps / per_epoch)) * per_epoch
+    while step < total:
         order = rng.permutation(len(data))
         for i in range(0, len(order), at_once):
             batch = order[i : i + at_once]
@@ -142,7 +143,7 @@ def _gradients(net: Network, docs: list[np.ndarray], labels: np.ndarray) -> list
     return [d_embedding, d_filters, g.sum(axis=0), active.T @ d_units, d_units.sum(axis=0), error @ top, error.sum(keepdims=True)]
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 50_000, epochs: int = 10) -> Network | float:
+def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 50_000, steps: int = 1000) -> Network | float:
     """A network from labelled rows (label column quality) that are not held out; a constant if there is only one kind of label."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", (F.col("quality") == 1).cast("int").alias("_y"))
     total = known.count()
@@ -154,7 +155,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, samp
     y = np.array([r["_y"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
-    return fit([r["text"] for r in rows], y, epochs)
+    return fit([r["text"] for r in rows], y, steps)
 
 
 def score(documents: DataFrame, model: Network | float) -> DataFrame:
