@@ -121,7 +121,8 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
     rows = written(source.mapInArrow(anchors, "gram long, mark long, at int, doc_id long"))
     texts = rows.where("at < 0").select("doc_id", "mark", (-1 - F.col("at")).alias("n_words"))
     kept = rows.where("at >= 0").select("gram", "mark", "at")
-    shared = kept.groupBy("gram").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("gram")
+    # Written, so that the join below has a shuffle of its own on both sides and adaptive execution can split a hot k-gram.
+    shared = written(kept.groupBy("gram").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("gram"))
     places = kept.join(shared, "gram").groupBy("mark").agg(F.collect_set("at").alias("places"))
     first = texts.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))  # one document stands for each text
     chosen = written(first.join(places, "mark").select("doc_id", F.col("mark").alias("m"), "places"))
