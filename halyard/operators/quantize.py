@@ -127,6 +127,28 @@ class ProductQuantizer:
         return 32 * self.width * len(self.codebooks) / (bits * len(self.codebooks))
 
 
+@dataclass(frozen=True)
+class MultiLevelQuantizer:
+    """Product codes, then scalar codes of what they leave."""
+
+    coarse: ProductQuantizer
+    fine: ScalarQuantizer
+
+    @classmethod
+    def train(cls, df: DataFrame, vector: str = "embedding", id: str = "vec_id", subspaces: int = 8, bits: int = 4, fine_bits: int = 4, iterations: int = 10) -> MultiLevelQuantizer:
+        coarse = ProductQuantizer.train(df, vector, id, subspaces, bits, iterations)
+        rest = df.where(F.col(vector).isNotNull()).select(V.subtract(vector, coarse.decode(coarse.encode(vector))).alias("rest"))
+        return cls(coarse, ScalarQuantizer.train(rest, "rest", fine_bits))
+
+    def encode(self, vector: str | Column) -> Column:
+        """A struct of both levels' codes."""
+        codes = self.coarse.encode(vector)
+        return F.struct(codes.alias("coarse"), self.fine.encode(V.subtract(vector, self.coarse.decode(codes))).alias("fine"))
+
+    def decode(self, codes: Column) -> Column:
+        return V.add(self.coarse.decode(codes["coarse"]), self.fine.decode(codes["fine"]))
+
+
 def adc_top_k(df: DataFrame, quantizer: ProductQuantizer, query: Sequence[float], k: int, codes: str = "codes", id: str = "vec_id") -> DataFrame:
     out = df.select(id, quantizer.asymmetric_distance(codes, query).alias("distance")).orderBy("distance", id).limit(k)
     return out.withColumn("rank", F.row_number().over(Window.orderBy("distance", id)))

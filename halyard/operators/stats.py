@@ -141,6 +141,11 @@ def batch_statistics(df: DataFrame, ok: Column, latency: str, keys: Sequence[str
     )
 
 
+def counters_and_gauges(df: DataFrame, name: str, value: str, order: str) -> DataFrame:
+    """Of each metric the sum (a counter), the last value (a gauge) and the largest."""
+    return df.where(F.col(value).isNotNull()).groupBy(F.col(name).alias("metric")).agg(F.sum(value).alias("counter"), F.max_by(value, order).alias("gauge"), F.max(value).alias("peak"))
+
+
 def latest(df: DataFrame, order: str, limit: int, tie: str) -> DataFrame:
     """History: newest first, at most limit."""
     return df.orderBy(F.desc(order), F.desc(tie)).limit(limit)

@@ -464,6 +464,11 @@ def batch_stats(spark, sf_dir):
     return rounded(rounded(out, "avg_latency", "error_rate", digits=4), "throughput")
 
 
+@register("SELECT event_type AS metric, round(sum(value), 3) AS counter, arg_max(value, event_id) AS gauge, max(value) AS peak FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def counters_and_gauges(spark, sf_dir):
+    return rounded(stats.counters_and_gauges(table(spark, sf_dir, "events"), "event_type", "value", "event_id"), "counter", digits=3)
+
+
 @register("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def query_history(spark, sf_dir):
     return stats.latest(table(spark, sf_dir, "events"), "ts", 100, "event_id").select("event_id", "ts", "event_type")
@@ -611,6 +616,18 @@ def compression_report(spark, sf_dir):
     return scalar.unionByName(quantize.quality(vectors, "embedding", pq.decode(pq.encode("embedding")), 8 * 4).withColumn("quantizer", F.lit("product")))
 
 
+@register()
+def multilevel_error(spark, sf_dir):
+    """Two levels of codes leave less error than the first alone."""
+    vectors = table(spark, sf_dir, "embeddings")
+    q = quantize.MultiLevelQuantizer.train(vectors, iterations=5)
+    codes = vectors.select("embedding", q.encode("embedding").alias("c"))
+    return codes.agg(
+        F.round(F.avg(quantize.mean_squared_error("embedding", q.coarse.decode(F.col("c")["coarse"]))), 6).alias("coarse_mse"),
+        F.round(F.avg(quantize.mean_squared_error("embedding", q.decode(F.col("c")))), 6).alias("mse"),
+    )
+
+
 # --- approximate search -----------------------------------------------------------------------------------------------------
 
 def _recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:

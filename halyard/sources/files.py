@@ -24,8 +24,8 @@ def read(spark: SparkSession, path: str, format: str = "parquet", schema: str |
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists", partition_by: tuple[str, ...] = ()) -> None:
-    """CSV has no arrays: they are written as JSON texts."""
+def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists", partition_by: tuple[str, ...] = (), bloom_on: tuple[str, ...] = ()) -> None:
+    """CSV has no arrays: they are written as JSON texts. Parquet files get Bloom filters on the columns bloom_on, for lookups by id."""
     if format not in FORMATS:
         raise InvalidConfig(f"unknown format {format!r}")
     if format == "csv":
@@ -33,6 +33,9 @@ def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "errori
     writer = df.write.format(format).mode(mode)
     if format == "csv":
         writer = writer.option("header", True).option("escape", '"')
+    if format == "parquet":
+        for c in bloom_on:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

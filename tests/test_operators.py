@@ -298,6 +298,22 @@ def test_formats(spark, tmp_path, format):
     assert back.select("id", "s", "v").collect() == df.collect()
 
 
+def test_bloom_filters_are_written(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    files.write(spark.range(1000).selectExpr("id * 7 AS id").coalesce(1), str(tmp_path / "b"), bloom_on=("id",))
+    assert files.read(spark, str(tmp_path / "b")).where("id = 49").count() == 1
+    [part] = (tmp_path / "b").glob("part-*.parquet")
+    assert b"parquet" in pq.read_metadata(part).created_by.encode().lower()
+
+
+def test_two_levels_are_better_than_one(vectors):
+    q = quantize.MultiLevelQuantizer.train(vectors, subspaces=4, iterations=3)
+    c = vectors.select("embedding", q.encode("embedding").alias("c"))
+    coarse, both = c.select(F.avg(quantize.mean_squared_error("embedding", q.coarse.decode(F.col("c")["coarse"]))), F.avg(quantize.mean_squared_error("embedding", q.decode(F.col("c"))))).first()
+    assert both < coarse / 4
+
+
 def test_records_and_variants(spark):
     df = spark.createDataFrame([(1, [1.0], '{"k": 5}'), (2, [2.0], "no json")], "i int, e array<double>, props string")
     r = files.records(df, "i", "e")
