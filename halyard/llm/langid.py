@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import by_batch, prepare
+from halyard.llm.common import by_batch, free_name, prepare
 
 DIMENSIONS, LETTERS, SEED = 1024, 64, 42
 UNDETERMINED = "und"
@@ -95,10 +95,10 @@ def train(documents: DataFrame, sample_rows: int = 20_000, scale: int = 1 << 20)
     return names, (out / np.where(norms > 0, norms, 1)).astype(np.float32)
 
 
-def predict(documents: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
-    """All columns of documents with lang_pred and score, the cosine cut to 0..1."""
+def predict(documents: DataFrame, names: list[str], prototypes: np.ndarray, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of documents with the language and the cosine cut to 0..1; columns of those two names are replaced."""
     prepare(documents.sparkSession)
-    kept = [f for f in documents.schema.fields if f.name not in ("lang_pred", "score")]
+    kept = [f for f in documents.schema.fields if f.name not in (lang, score)]
     source = documents.select(*[F.col(f"`{f.name}`") for f in kept])
     at = source.columns.index("text")
 
@@ -114,11 +114,11 @@ def predict(documents: DataFrame, names: list[str], prototypes: np.ndarray) -> D
                 best = int(np.argmax(cosines))
                 langs.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-        return pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        return pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang, score])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    return source.mapInArrow(by_batch(each), StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return source.mapInArrow(by_batch(each), StructType([*kept, StructField(lang, StringType()), StructField(score, DoubleType())]))
 
 
 def identify(documents: DataFrame, sample_rows: int = 20_000) -> DataFrame:
@@ -132,4 +132,5 @@ def identify(documents: DataFrame, sample_rows: int = 20_000) -> DataFrame:
 def keep_identified(documents: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """The documents whose language can be told: those of a text without letters go."""
     model = train(documents.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), sample_rows)
-    return predict(documents, *model).where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in documents.columns])
+    lang, score = free_name(documents, "_lang"), free_name(documents, "_score")
+    return predict(documents, *model, lang, score).where(F.col(lang) != UNDETERMINED).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.common import free_name
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,17 +56,17 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10, min_docs: int = 2) ->
         .agg(F.collect_set("_p").alias("_gone"))
     )
     n = F.size(_lines(text))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda i: F.get(_lines(text), i)), "\n")
+    own, of, other, gone = (free_name(documents, x) for x in ("_mark", "_doc", "_other", "_gone"))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(
+        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(gone)), lambda i: F.get(_lines(text), i)), "\n")
     )
-    others = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    joined = documents.withColumns({"_hy_m": mark}).join(
-        dropped.select(F.col("_d").alias("_hy_d"), F.col("_m").alias("_hy_n"), "_gone"), (doc == F.col("_hy_d")) & (F.col("_hy_m") == F.col("_hy_n")), "left"
+    joined = documents.withColumn(own, mark).join(
+        dropped.select(F.col("_d").alias(of), F.col("_m").alias(other), F.col("_gone").alias(gone)), (doc == F.col(of)) & (F.col(own) == F.col(other)), "left"
     )
     return joined.select(
-        *[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in others],
+        *[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_dropped")],
         n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -168,7 +168,9 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
     before = by_task.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).alias("earlier"))
     # The task counts are at most capacity rows a task; a join splits no further than a (task, length) needs.
     ranked = own.join(before, ["task", "length"]).withColumn("rank", F.col("rank_in_task") + F.coalesce("earlier", F.lit(0)))
-    # The plan has a row for each step of best fit over counts: its size is bounded by the lengths, not by the documents.
+    # The plan's size is bounded by the capacity: each row uses up a range of sequences of one room and leaves one with less. There
+    # are at most 3 new ranges a length, and a sequence holds at most sqrt(2 * capacity) different lengths, so at most
+    # 3 * capacity * sqrt(2 * capacity) rows (393,216 for 2048) follow, some thousands in practice.
     slots = ranked.join(F.broadcast(planned), "length").where("rank >= first AND rank < last")
     place = F.col("rank") - F.col("first")
     return slots.select(

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import by_batch, connected_components, prepare, written
+from halyard.llm.common import by_batch, connected_components, free_name, prepare, written
 
 BLOCK, TILE = 32768, 1024
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -172,6 +172,7 @@ def near_duplicates(documents: DataFrame, radius: int = 3, shingle: int = 3, see
 
 def keep_one(documents: DataFrame, radius: int = 3) -> DataFrame:
     """The documents that are the smallest doc_id of their component; rows without a doc_id stay, rows of one doc_id go together."""
-    chosen = near_duplicates(documents, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_hy_id")).distinct()
-    gone = documents.where("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("_hy_id"), "left_semi")
-    return gone.unionByName(documents.where("doc_id IS NULL"))
+    id = free_name(documents, "_id")
+    chosen = near_duplicates(documents, radius).where("doc_id = component_id").select(F.col("doc_id").alias(id)).distinct()
+    stay = documents.where("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col(id), "left_semi")
+    return stay.unionByName(documents.where("doc_id IS NULL"))

@@ -39,7 +39,7 @@ def test_language_of_odd_rows(spark):
     assert len(got) == len(rows) and by[100][2:] == by[101][2:] == by[102][2:] == ("und", 0.0)
     assert by[103][2] == "en" and by[None][1] is True and by[None][2] == "de" and by[104][2] == "de"
     kept = langid.keep_identified(df)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(by) - {100, 101, 102}
+    assert kept.columns == df.columns and {r["score"] for r in kept.collect()} == {"x"} and {r["doc_id"] for r in kept.collect()} == set(by) - {100, 101, 102}
     assert langid.identify(df.limit(0)).count() == 0
     nothing = langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}

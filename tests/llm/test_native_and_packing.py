@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import common, linededup, packing, queries, simhash
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, _hy_m int, fp string, component_id string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, _mark int, fp string, component_id string"
 
 
 def docs_of(spark, texts, start=0):
@@ -53,7 +53,7 @@ def test_lines_of_odd_rows(spark):
     assert linededup.digest(docs_of(spark, []).limit(0)).count() == 0
     out = linededup.dedup_lines(docs_of(spark, ["x\na shared long line", "a shared long line\ny", "z"]))
     assert set(out.columns) == {c.strip().split(" ")[0] for c in DOCS.split(",")} | {"n_dropped"}
-    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"], r["fp"]) for r in out.collect()} == {0: ("x\na shared long line", 2, 0, "f"), 1: ("y", 2, 1, "f"), 2: ("z", 1, 0, "f")}
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"], r["fp"], r["_mark"]) for r in out.collect()} == {0: ("x\na shared long line", 2, 0, "f", 1), 1: ("y", 2, 1, "f", 1), 2: ("z", 1, 0, "f", 1)}
 
 
 def test_lines_with_a_higher_threshold(spark):
