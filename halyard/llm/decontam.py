@@ -1,8 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of all test items.
 
-The automaton is built once on the driver from the benchmark, whose size is checked: items are put into shards of at most
-`shard_words` words, so each automaton has a bounded number of states, and more test items make more shards (passes over the
-same batch), never a larger broadcast. Documents are streamed past it batch by batch: the length of the longest suffix of the
+The automaton is built on the driver from the benchmark, whose size is checked: items are put into shards of at most
+`shard_words` words, so each automaton has a bounded number of states. A larger benchmark makes more shards, one after the other:
+each is a pass over the documents whose hits are written beside them, so neither the driver nor a worker holds two at a time. Documents are streamed past it batch by batch: the length of the longest suffix of the
 words read that occurs in some item is tracked, and where it reaches a window its words are hit. Runs of words too short to
 hold a window, or without the pairs of words that every window consists of, are skipped beforehand; a skipped word cannot end
 or begin a match, so the tracked lengths of all others that matter are as in a full pass.
@@ -20,7 +20,7 @@ import hashlib
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import by_batch, prepare
+from halyard.llm.common import by_batch, free_name, prepare, written
 
 #: Lower-cases A-Z, keeps digits, a-z and all bytes above 0x7F, and makes any other byte a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -133,14 +133,7 @@ class Automaton:
         items: set[str] = set()
         for start, end in self._stretches(ids):
             self._stream(ids[start:end].tolist(), start, spans, items)
-        spans.sort()
-        merged: list[tuple[int, int]] = []
-        for a, b in spans:
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, items
+        return merged(spans), items
 
     def _stretches(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Maximal runs [start, end) of words each pair of which follows each other in some item too, and long enough for a window."""
@@ -177,62 +170,85 @@ class Automaton:
                 v = above[v]
 
 
-def shards(benchmark: DataFrame, window: int, shard_words: int = 2_000_000) -> list[Automaton]:
-    """Automata over the items of benchmark (item_id, text), at most shard_words words in each unless one item has more.
-
-    The items come to the driver shard by shard in the order of their size; the benchmark is the list of test items that is to
-    be kept out of training data, so it doesn't grow with the corpus.
-    """
-    out: list[Automaton] = []
+def shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items of benchmark (item_id, text), at most shard_words words at a time unless one item has more; one empty shard if there are none."""
     held: list[tuple[str, list[bytes]]] = []
     words = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    for row in named.toLocalIterator():
         own = words_of(row["text"])
         if held and words + len(own) > shard_words:
-            out.append(Automaton(held, window))
+            yield held
             held, words = [], 0
         held.append((row["item_id"], own))
         words += len(own)
-    if held:
-        out.append(Automaton(held, window))
-    return out
+    yield held
 
 
-def _search(automata: list[Automaton], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    spans, items = automata[0].hits(words) if automata else ([], set())
-    for more in automata[1:]:
-        s, i = more.hits(words)
-        spans, items = spans + s, items | i
-    if len(automata) > 1:
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        spans = merged
-    return spans, items
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def report(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words > 0 and a hit) per document."""
+def _last_pass(documents: DataFrame, benchmark: DataFrame, window: int, shard_words: int):
+    """documents with the hits of all shards but the last in two more columns, and a function that finds all hits of a batch.
+
+    The function gives for each row its words' number, the spans that are hit and the items that occur.
+    """
     spark = documents.sparkSession
     prepare(spark)
-    held = spark.sparkContext.broadcast(shards(benchmark, window))
+    at = documents.columns.index("text")
+    width = len(documents.columns)
+    names = [free_name(documents, "_spans"), free_name(documents, "_items")]
+    kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())]
+    parts = shards(benchmark, shard_words)
+    own = next(parts)
+
+    def finder(held):
+        def find(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+            earlier = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True) if batch.num_columns > width else repeat((None, None))
+            for text, (spans, items) in zip(batch.column(at), earlier, strict=False):
+                words = words_of(text.as_py())
+                found, occur = held.value.hits(words)
+                if spans:
+                    found = merged([*found, *map(tuple, spans)])
+                yield len(words), found, occur | set(items or ())
+
+        return find
+
+    for following in parts:
+        find = finder(spark.sparkContext.broadcast(Automaton(own, window)))
+        schema = documents.select(*documents.columns[:width], F.lit(None).cast("array<array<int>>").alias(names[0]), F.lit(None).cast("array<string>").alias(names[1])).schema
+
+        def each(batch: pa.RecordBatch, find=find) -> pa.RecordBatch:
+            hits = list(find(batch))
+            new = [pa.array([[list(s) for s in spans] for _, spans, _ in hits], kinds[0]), pa.array([sorted(items) for _, _, items in hits], kinds[1])]
+            return pa.record_batch([*batch.columns[:width], *new], names=[*batch.schema.names[:width], *names])
+
+        documents = written(documents.mapInArrow(by_batch(each), schema))
+        own = following
+    return documents, finder(spark.sparkContext.broadcast(Automaton(own, window)))
+
+
+def report(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 200_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words > 0 and a hit) per document."""
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source, find = _last_pass(source, benchmark, window, shard_words)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = words_of(text.as_py())
-            spans, items = _search(held.value, words)
+        for doc_id, (n, spans, items) in zip(batch.column(0).to_pylist(), find(batch), strict=True):
             hit = sum(b - a for a, b in spans)
-            rows.append((doc_id, len(words), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and share * hit >= len(words)))
+            rows.append((doc_id, n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and share * hit >= n))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        by_batch(each), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    )
+    return source.mapInArrow(by_batch(each), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -245,34 +261,32 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 200_000) -> DataFrame:
     """documents without contaminated rows, and the rest without the spans of words inside windows; untouched texts stay as they are.
 
     Column n_chars, where there is one, follows the text.
     """
-    spark = documents.sparkSession
-    prepare(spark)
-    held = spark.sparkContext.broadcast(shards(benchmark, window))
-    at, schema = documents.columns.index("text"), documents.schema
+    schema, width = documents.schema, len(documents.columns)
+    at = documents.columns.index("text")
     chars = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
+    source, find = _last_pass(documents, benchmark, window, shard_words)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = batch.column(at).to_pylist()
         stay, changed = [], False
         counts = batch.column(chars).to_pylist() if chars is not None else None
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            spans, _ = _search(held.value, words)
+        for i, (n, spans, _) in enumerate(find(batch)):
             hit = sum(b - a for a, b in spans)
-            stay.append(not (hit > 0 and share * hit >= len(words)))
+            stay.append(not (hit > 0 and share * hit >= n))
             if spans:
-                texts[i], changed = cut_spans(text, spans), True
+                texts[i], changed = cut_spans(texts[i], spans), True
                 if counts is not None:
                     counts[i] = len(texts[i])
+        columns = list(batch.columns[:width])
         if changed:
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            columns[at] = pa.array(texts, columns[at].type)
             if counts is not None:
-                batch = batch.set_column(chars, batch.schema.field(chars), pa.array(counts, batch.schema.field(chars).type))
-        return batch.filter(pa.array(stay))
+                columns[chars] = pa.array(counts, columns[chars].type)
+        return pa.record_batch(columns, names=batch.schema.names[:width]).filter(pa.array(stay))
 
-    return documents.mapInArrow(by_batch(each), schema)
+    return source.mapInArrow(by_batch(each), schema)

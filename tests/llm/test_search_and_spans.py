@@ -117,12 +117,13 @@ def test_decontamination_report(leaks):
 
 
 def test_shards_find_the_same(leaks):
-    _, benchmark, rows, items = leaks
-    automata = decontam.shards(benchmark, 13, shard_words=30)
-    assert len(automata) > 2
-    for _, t in rows:
-        spans, found = decontam._search(automata, decontam.words_of(t))
-        assert (sum(b - a for a, b in spans), found) == brute_hits(items, t)[1:]
+    docs, benchmark, _, _ = leaks
+    parts = list(decontam.shards(benchmark, 30))
+    assert len(parts) > 2 and sum(map(len, parts)) == 6
+    whole, split = (sorted(map(tuple, decontam.report(docs, benchmark, shard_words=n).collect()), key=repr) for n in (10_000, 30))
+    assert whole == split
+    whole, split = (sorted(map(tuple, decontam.decontaminate(docs, benchmark, shard_words=n).collect()), key=repr) for n in (10_000, 30))
+    assert whole == split
 
 
 def test_decontaminated_documents(leaks):
