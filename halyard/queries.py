@@ -644,7 +644,7 @@ def recall_at_10_cells(spark, sf_dir):
 @register()
 def recall_at_10_hyperplanes(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    lsh = ann.HyperplaneHashing(64, 24, 5)
+    lsh = ann.HyperplaneHashing(64, 32, 4)
     return _recall(lsh.search_batch(lsh.index(vectors), _queries(vectors), 10), search.batch_top_k(vectors, _queries(vectors), 10), 10)
 
 
