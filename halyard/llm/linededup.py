@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import free_name
+from halyard.llm.common import free_name, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,6 +49,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10, min_docs: int = 2) ->
         shared = lines.groupBy("_h", "_g").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last")).where("_first < _last")
     else:
         shared = lines.groupBy("_h", "_g", "_d").agg(F.lit(1).alias("_one")).groupBy("_h", "_g").agg(F.min("_d").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
+    # Written, so that the join has a shuffle of its own on both sides and adaptive execution can split a hot line.
+    shared = written(shared)
     dropped = (
         lines.join(shared.select("_h", "_g", "_first"), ["_h", "_g"])
         .where("_d > _first")
