@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -34,6 +35,12 @@ def dot(a: Vector, b: Vector) -> Column:
 
 
 def norm(a: Vector) -> Column:
+    """The norm; that of a vector given as numbers is worked out once, here."""
+    if not isinstance(a, (Column, str)):
+        total = 0.0
+        for x in checked_vector(a):
+            total += x * x
+        return F.lit(math.sqrt(total))
     return F.sqrt(_fold(F.transform(vector(a), lambda x: x.cast("double") * x.cast("double"))))
 
 
