@@ -72,11 +72,12 @@ class BinaryQuantizer:
         return F.transform(F.lit(self.projections), lambda p: V.dot(v, p) > 0)
 
     def encode(self, vector: str | Column) -> Column:
-        signs = self.signs(vector)
-        value = lambda s, i: F.when(s, F.pow(F.lit(2), i % 8).cast("int")).otherwise(0)
-        weighted = F.transform(signs, value)
-        parts = [F.aggregate(F.slice(weighted, 8 * b + 1, 8), F.lit(0), lambda s, x: s + x).cast("smallint") for b in range(-(-self.bits // 8))]
-        return F.array(*parts)
+        weighted = F.transform(self.signs(vector), lambda s, i: F.when(s, F.pow(F.lit(2), i % 8).cast("int")).otherwise(0))
+
+        def packed(w: Column) -> Column:
+            return F.array(*[F.aggregate(F.slice(w, 8 * b + 1, 8), F.lit(0), lambda s, x: s + x).cast("smallint") for b in range(-(-self.bits // 8))])
+
+        return F.get(F.transform(F.array(weighted), packed), F.lit(0))  # bound to a variable, the signs are worked out once
 
 
 @dataclass(frozen=True)
