@@ -10,7 +10,8 @@ of neighbouring tasks are compared too. Longer passages are the union over their
 
 A passage of least + window - 1 words that occurs in two texts always has a kept position with a match of `least` words to its
 right, and then a sorted neighbour has too; a shorter one, of `least` words at least, is found unless suffixes that share its
-right part, but not its left, sort between all of its copies. Whatever is reported occurs in another text (up to 64-bit hashes).
+right part, but not its left, sort between all of its copies. Whatever is reported occurs in another text (up to hashes: 64 bits
+for the k-gram, 32 for each word around it).
 
 Texts that equal another document's are repeated whole. Equal texts count as one text in the array, so copies are no pairs.
 
@@ -86,11 +87,11 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
-    """Words (8 bytes each) that two contexts share from their start on."""
-    n = min(len(a), len(b)) // 8
-    if a[: 8 * n] == b[: 8 * n]:
+    """Words (4 bytes each) that two contexts share from their start on."""
+    n = min(len(a), len(b)) // 4
+    if a[: 4 * n] == b[: 4 * n]:
         return n
-    x, y = np.frombuffer(a, np.uint64, n), np.frombuffer(b, np.uint64, n)
+    x, y = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, n)
     return int(np.argmin(x == y))
 
 
@@ -133,10 +134,11 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
             for mark, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words = word_hashes(text.as_py())
                 grams = gram_hashes(words, k)
-                data, back = words.astype(">u8").tobytes(), words[::-1].astype(">u8").tobytes()
+                short = (words >> np.uint64(32)).astype(">u4")
+                data, back = short.tobytes(), short[::-1].tobytes()
                 at = sorted(places.as_py())
-                right = [data[8 * p : 8 * (p + least)] for p in at]
-                left = [back[8 * (len(words) - p) : 8 * (len(words) - p + least)] for p in at]
+                right = [data[4 * p : 4 * (p + least)] for p in at]
+                left = [back[4 * (len(words) - p) : 4 * (len(words) - p + least)] for p in at]
                 for i in range(0, len(at), 4096):
                     j = slice(i, i + 4096)
                     yield pa.record_batch(
@@ -145,7 +147,8 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
                     )
 
     order = ["gram", "right", "left", "mark", "at"]
-    array = from_texts.mapInArrow(suffixes, "gram long, mark long, at int, right binary, left binary").repartitionByRange(*order).sortWithinPartitions(*order)
+    unsorted = written(from_texts.mapInArrow(suffixes, "gram long, mark long, at int, right binary, left binary"))  # read twice: by the range sampling too
+    array = unsorted.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(a, b):
         """Spans of a match of two rows, or nothing."""
