@@ -1,9 +1,10 @@
 """Line deduplication across documents, in DataFrame functions alone.
 
-Plan: explode the lines to 128-bit hashes of their keys; a minimum and maximum of doc_id per hash (pre-aggregated, so a line
-that a third of all documents hold is one row per task) tells which keys at least two documents hold and which document keeps
-them; the hashed lines meet those keys in a shuffled join that adaptive execution may split where a key is hot; the dropped
-positions, a small set per document, meet the documents, which reassemble their lines by position. Texts are shuffled once.
+Plan: explode the lines to 128-bit hashes of their keys, which are written; a minimum and maximum of doc_id per hash
+(pre-aggregated, so a line that a third of all documents hold is one row per task) tells which keys at least two documents hold
+and which document keeps them; the hashed lines meet those keys in a shuffled join that adaptive execution may split where a key
+is hot; the dropped positions, a small set per document, meet the documents, which reassemble their lines by position. Texts are
+shuffled once.
 
 Cases: a null or empty text is one empty line; a null doc_id stands for no document, so its lines count nowhere and all stay;
 rows of one doc_id are one document, a repeated row is treated like the first; an empty table gives an empty table; columns of
@@ -45,6 +46,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10, min_docs: int = 2) ->
         .where(F.length("_k") >= min_chars)
         .select("_d", "_m", "_p", F.xxhash64("_k").alias("_h"), F.xxhash64(F.lit(1), "_k").alias("_g"))
     )
+    lines = written(lines)  # read twice: the texts are split and hashed once
     if min_docs == 2:  # two documents differ just where the smallest and the largest do
         shared = lines.groupBy("_h", "_g").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last")).where("_first < _last")
     else:
