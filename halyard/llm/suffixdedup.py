@@ -4,9 +4,10 @@ Suffixes are kept at content-selected positions only: the minimisers of word k-g
 positions. Positions whose k-gram occurs in one text only (a minimum and maximum of text hashes per k-gram, pre-aggregated)
 have no neighbour and go. The others carry their suffix and, reversed, what stands before it, both as word hashes and as long as
 the shortest passage sought; a range partitioning by (k-gram, suffix, left context) sorts them across tasks, so that a passage
-that a third of all documents share is spread over many. Neighbours from different texts are compared, the match is extended to
-the right and to the left, and where it has `least` words at least, its words are a repeated passage. The first and last rows
-of neighbouring tasks are compared too. Longer passages are the union over their positions.
+that a third of all documents share is spread over many. Each row is compared with the nearest row of another text on either
+side, the match is extended to the right and to the left, and where it has `least` words at least, its words are a repeated
+passage. Rows of one text in a row wait for the next text, rows with equal contexts as one; the runs at the edges of a task are
+compared with what lies next to them in other tasks. Longer passages are the union over their positions.
 
 A passage of least + window - 1 words that occurs in two texts always has a kept position with a match of `least` words to its
 right, and then a sorted neighbour has too; a shorter one, of `least` words at least, is found unless suffixes that share its
@@ -32,6 +33,7 @@ from halyard.llm.common import prepare, written
 
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+HEAD, TAIL, FIRST, AFTER, LAST, BEFORE = range(1, 7)
 
 
 class _Hashes(dict):
@@ -150,62 +152,108 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
     unsorted = written(from_texts.mapInArrow(suffixes, "gram long, mark long, at int, right binary, left binary"))  # read twice: by the range sampling too
     array = unsorted.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    def compare(a, b):
-        """Spans of a match of two rows, or nothing."""
+    schema = "side int, mark long, start int, end int, gram long, right binary, left binary, places array<int>"
+    names = ["side", "mark", "start", "end", "gram", "right", "left", "places"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+
+    def batches_of(rows):
+        for i in range(0, len(rows), 10_000):
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 10_000], strict=True), kinds, strict=True)], names=names)
+
+    def reach(a, b):
+        """Words shared before and from the place of two rows on, if that is a match."""
         y = common_prefix(a[3], b[3])
-        if y < k:
-            return ()
+        if a[0] != b[0] or y < k:
+            return None
         x = common_prefix(a[4], b[4])
-        return ((a[1], a[2] - x, a[2] + y), (b[1], b[2] - x, b[2] + y)) if x + y >= least else ()
+        return (x, y) if x + y >= least else None
 
     def neighbours(batches):
+        """Spans (side 0), the first and last run of the task (HEAD, TAIL) and their ends with the rows of another text next to them (FIRST, AFTER, LAST, BEFORE)."""
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        last = other = head = None  # the row before, the last row before it of another text, the first row
+        run: list[tuple[tuple, list[int]]] = []  # rows of the current text in the current gram: one row for each context, all its places
+        other = shared = None  # the last row of another text before the run, and what the run's last context shares with it
+        head = True  # the run is the first of the task
 
-        def found(out):
-            marks, a, b = zip(*out, strict=True)
-            n = len(out)
-            return pa.record_batch([pa.array([0] * n, pa.int32()), pa.array(marks, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary())]], names=names)
+        def span(row, at, found):
+            return (0, row[1], at - found[0], at + found[1], None, None, None, None)
 
-        def edge(side, row):
-            return pa.record_batch([pa.array([side], pa.int32()), pa.array([row[1]], pa.int64()), pa.array([row[2]], pa.int32()), pa.array([0], pa.int32()), pa.array([row[0]], pa.int64()), pa.array([row[3]], pa.binary()), pa.array([row[4]], pa.binary())], names=names)
+        def edge(side, row, whole=0, places=None):
+            return (side, row[1], task, whole, row[0], row[3], row[4], places or [row[2]])
 
-        names = ["side", "mark", "start", "end", "gram", "right", "left"]
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last is None:
-                    head = row
-                elif last[1] != row[1]:
-                    other = last
-                if other is not None and other[0] == row[0]:
-                    out += compare(other, row)
-                last = row
-            if out:
-                yield found(out)
-        if head is not None:
-            yield edge(task + 1, head)
-            yield edge(-task - 2, last)  # meets the head of the next task
+                if run and (run[-1][0][0] != row[0] or run[-1][0][1] != row[1]):
+                    same = run[-1][0][0] == row[0]
+                    if same:
+                        for own, places in run:
+                            found = reach(own, row)
+                            if found:
+                                out += [span(own, at, found) for at in places]
+                                out.append(span(row, row[2], found))
+                    if head:
+                        out += [edge(HEAD, own, places=places) for own, places in run]
+                        out += [edge(FIRST, run[0][0]), *([edge(AFTER, row)] if same else [])]
+                        head = False
+                    other, run = run[-1][0] if same else None, []
+                if run and run[-1][0][3:] == row[3:]:
+                    run[-1][1].append(row[2])
+                else:
+                    run.append((row, [row[2]]))
+                    shared = reach(other, row) if other is not None else None
+                    if shared:
+                        out.append(span(other, other[2], shared))
+                if shared:
+                    out.append(span(row, row[2], shared))
+            yield from batches_of(out)
+        if run:
+            out = [edge(TAIL, own, places=places) for own, places in run]
+            if head:
+                out += [edge(HEAD, own, places=places) for own, places in run]
+                out.append(edge(FIRST, run[0][0], 1))
+            out += [edge(LAST, run[-1][0], int(head)), *([edge(BEFORE, other)] if other is not None else [])]
+            yield from batches_of(out)
+
+    matches = written(array.mapInArrow(neighbours, schema))
+    ends: dict[int, dict[int, tuple]] = {}
+    whole: set[int] = set()  # tasks that are one run
+    for r in matches.where(F.col("side").isin(FIRST, AFTER, LAST, BEFORE)).toLocalIterator():
+        ends.setdefault(r["start"], {})[r["side"]] = (r["gram"], r["mark"], r["places"][0], bytes(r["right"]), bytes(r["left"]))
+        if r["end"]:
+            whole.add(r["start"])
+
+    def beside(tasks, near, next_):
+        """For each task the nearest row outside and the nearest of another text than that one."""
+        out, held = {}, []
+        for task in tasks:
+            out[task] = held
+            own = ends[task][near]
+            further = [ends[task][next_]] if next_ in ends[task] else []
+            held = [own, *(further or [r for r in held if task in whole and r[1] != own[1]][:1])]
+        return out
+
+    around = spark.sparkContext.broadcast((beside(sorted(ends), LAST, BEFORE), beside(sorted(ends, reverse=True), FIRST, AFTER)))
 
     def across(batches):
-        held = {}
+        before, after = around.value
         for batch in batches:
             out = []
-            for side, mark, start, _, gram, right, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = (gram, mark, start, right, left)
-                mate = held.pop(abs(side), None)
-                if mate is None:
-                    held[abs(side)] = row
-                elif mate[0] == gram and mate[1] != mark:
-                    out += compare(mate, row)
+            for side, mark, task, _, gram, right, left, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = (gram, mark, places[0], right, left)
+                mate = next((r for r in (before if side == HEAD else after)[task] if r[1] != mark), None)
+                found = reach(mate, row) if mate else None
+                if found:
+                    x, y = found
+                    out += [(mark, at - x, at + y) for at in places]
+                    out.append((mate[1], mate[2] - x, mate[2] + y))
             if out:
                 marks, a, b = zip(*out, strict=True)
                 yield pa.record_batch([pa.array(marks, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["mark", "start", "end"])
 
-    matches = written(array.mapInArrow(neighbours, "side int, mark long, start int, end int, gram long, right binary, left binary"))
-    edges = matches.where("side != 0").repartition(F.abs("side")).sortWithinPartitions(F.abs("side"), "side").mapInArrow(across, "mark long, start int, end int")
+    edges = matches.where(F.col("side").isin(HEAD, TAIL)).mapInArrow(across, "mark long, start int, end int")
     spans = matches.where("side = 0").select("mark", "start", "end").union(edges).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     merged = F.aggregate(
         "s",

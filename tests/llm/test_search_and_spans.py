@@ -181,6 +181,29 @@ def test_repeated_passages_against_brute_force(spark):
     assert 110 in got and 111 not in got and 105 not in got
 
 
+@pytest.mark.parametrize("tasks", [1, 4, 40])
+def test_every_copy_within_a_text_meets_the_other_texts(spark, tasks):
+    rng = random.Random(12)
+    text = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    texts = {}
+    for i in range(0, 24, 2):
+        passage = text(130)
+        texts[i] = " ".join(f"{passage} {text(5)}" for _ in range(30)) if i % 4 else " ".join([passage] * 40)
+        texts[i + 1] = f"{text(20)} {passage} {text(20)}"
+    held = {n: spark.conf.get(n, None) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = suffixdedup.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    finally:
+        for n, v in held.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+    got = defaultdict(set)
+    for r in rows:
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert dict(got) == brute_repeats(texts, 50)
+
+
 def test_repeats_of_nothing(spark):
     assert suffixdedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
