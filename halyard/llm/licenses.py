@@ -1,14 +1,18 @@
 """Licence notices by a trained paragraph classifier.
 
-A paragraph is a line of a document. A multinomial logistic regression over word n-grams (one to three words, as a sparse set)
-tells licence families and an unknown class apart; its scores are calibrated by a temperature fitted on examples that training
-did not see. A predicted family is confirmed by comparing the paragraph with the family's templates: it counts where the words
-and word pairs of some template occur in the paragraph to a share of `confirm` at least.
+A paragraph is a run of lines with words. A multinomial logistic regression over word n-grams (one to three words, as a sparse
+set) tells licence families and an unknown class apart; its scores are calibrated by a temperature fitted on examples that
+training did not see. A predicted family is confirmed by comparison with the family's templates: it counts where the words and
+word pairs of some template, without version numbers and clause counts, occur to a share of `confirm` at least.
+
+Lines are scored first. What no line gives is sought in windows of words over the other lines of a paragraph, and over the words
+of long lines, each window little longer than its template: notices that are wrapped or lie within other text. Of overlapping
+windows the one that resembles its template most counts. A notice is reported at the line where it starts.
 
 Training is on the driver: examples of the families are made from the templates by dropping, adding and replacing words;
 unknown ones are made from phrases that only sound alike, and from at most `sample_lines` lines of the corpus, those with the
-smallest hashes, that resemble no template. Scanning reads every line whole. A line that has none of a template's rarest words,
-so many that no line without them can share `confirm` of its words, can't be confirmed and needs no score.
+smallest hashes, that resemble no template. Scanning reads every text whole. A line or window that has none of a template's
+rarest words, so many that none without them can share `confirm` of its words, can't be confirmed and needs no score.
 
 Cases: null and empty texts have no notices; repeated rows give repeated results; a null doc_id is reported as null; an empty
 table gives an empty result (and a model from the fixed phrases alone); columns beside doc_id and text are ignored.
@@ -28,6 +32,9 @@ from halyard.llm.common import by_batch, prepare
 
 UNKNOWN = "unknown"
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_VERSIONS = {b"v", b"version", b"only", b"later"}
+#: Longer lines are scored in windows only.
+LONG = 60
 
 #: Notices in common use, by family.
 TEMPLATES = {
@@ -49,8 +56,16 @@ TEMPLATES = {
         "Released under the GNU GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "LGPL": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    ],
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    ],
     "BSD": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -84,6 +99,16 @@ def grams_of(words: list[bytes], longest: int = 3) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)}
 
 
+def level(words: list[bytes]) -> list[bytes]:
+    """words with every number as the same one."""
+    return [b"0" if w.isdigit() else w for w in words]
+
+
+def plain(words: list[bytes]) -> list[bytes]:
+    """words without version numbers and clause counts, and without the words that go with them."""
+    return [w for i, w in enumerate(words) if not w.isdigit() and w not in _VERSIONS and not (w == b"or" and words[i + 1 : i + 2] == [b"later"])]
+
+
 def resemblance(template: set[tuple[bytes, ...]], line: set[tuple[bytes, ...]]) -> float:
     """The smaller of the shares of the template's words and word pairs that the line has."""
     out = 1.0
@@ -108,6 +133,8 @@ class Model:
     temperature: float
     templates: list[tuple[str, int, set[tuple[bytes, ...]]]]
     rare: frozenset[bytes]
+    anchors: dict[bytes, list[int]]  # templates by their rare words
+    sizes: list[int]  # words of each template
     confirm: float
     threshold: float
 
@@ -119,22 +146,82 @@ class Model:
 
     def scan(self, line: str) -> tuple[str, int, float, float] | None:
         """Family, template number, probability and resemblance of a notice; None for any other line."""
-        words = words_of(line)
+        return self._scan(words_of(line))
+
+    def _scan(self, words: list[bytes]) -> tuple[str, int, float, float] | None:
         if self.rare.isdisjoint(words):
             return None
-        grams = grams_of(words)
-        p = self.probabilities(grams)
+        p = self.probabilities(grams_of(level(words)))
         best = int(p.argmax())
         if best == 0 or p[best] < self.threshold:
             return None
-        near = max(((resemblance(t, grams), -i) for family, i, t in self.templates if family == FAMILIES[best]), default=(0.0, 0))
+        own = grams_of(plain(words), 2)
+        near = max(((resemblance(t, own), -i) for family, i, t in self.templates if family == FAMILIES[best]), default=(0.0, 0))
         return (FAMILIES[best], -near[1], float(p[best]), near[0]) if near[0] >= self.confirm else None
 
+    def notices(self, text: str) -> list[tuple[int, str, int, float, float]]:
+        """Line, family, template number, probability and resemblance of every notice of a text."""
+        out: list[tuple[int, str, int, float, float]] = []
+        block: list[tuple[int, list[bytes]]] = []
+        for i, line in enumerate([*text.split("\n"), ""]):
+            if words := words_of(line):
+                block.append((i, words))
+            elif block:
+                if not all(self.rare.isdisjoint(w) for _, w in block):
+                    out += self._paragraph(block)
+                block = []
+        return out
+
+    def _paragraph(self, block: list[tuple[int, list[bytes]]]) -> list[tuple[int, str, int, float, float]]:
+        out: list[tuple[int, str, int, float, float]] = []
+        words: list[bytes] = []
+        at: list[int] = []
+        for i, own in block:
+            if len(own) <= LONG and (found := self._scan(own)) is not None:
+                out += [*self._windows(words, at), (i, *found)]
+                words, at = [], []
+            else:
+                words += own
+                at += [i] * len(own)
+        return out + self._windows(words, at)
+
+    def _windows(self, words: list[bytes], at: list[int]) -> list[tuple[int, str, int, float, float]]:
+        """Notices in windows over words; at has the line of each."""
+        near: list[tuple[float, int, int, int, int]] = []  # resemblance, size and start (all negative), end, template
+        tried: dict[int, int] = {}
+        for p, w in enumerate(words):
+            for t in self.anchors.get(w, ()):
+                grams, size = self.templates[t][2], self.sizes[t]
+                width = size + size // 4 + 2
+                low = max(tried.get(t, 0), p - width + 1)
+                if resemblance(grams, grams_of(plain(words[low : p + width]), 2)) < self.confirm:
+                    continue
+                tried[t] = p + 1
+                for a in range(low, p + 1):
+                    if (words[a],) in grams and (r := resemblance(grams, grams_of(plain(words[a : a + width]), 2))) >= self.confirm:
+                        b = min(a + width, len(words))
+                        while (words[b - 1],) not in grams and not words[b - 1].isdigit():
+                            b -= 1
+                        near.append((-r, -size, -a, b, t))
+        out: list[tuple[int, tuple[int, str, int, float, float]]] = []
+        free = bytearray(b"\1") * len(words)
+        for r, _, a, b, t in sorted(near):  # the last start of the best ones has no words before the notice
+            a = -a
+            if all(free[a:b]):
+                family, i, _ = self.templates[t]
+                p = self.probabilities(grams_of(level(words[a:b])))
+                best = int(p.argmax())
+                if FAMILIES[best] == family and p[best] >= self.threshold:
+                    free[a:b] = bytes(b - a)
+                    out.append((a, (at[a], family, i, float(p[best]), -r)))
+        return [found for _, found in sorted(out)]
+
 
 def train(corpus_lines: list[str], confirm: float = 0.75, threshold: float = 0.5, copies: int = 60, steps: int = 200, seed: int = 42) -> Model:
     rng = np.random.default_rng(seed)
-    templates = [(f, i, grams_of(words_of(t))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
-    strange = [w for w in map(words_of, corpus_lines) if w and max(resemblance(t, grams_of(w)) for _, _, t in templates) < 0.5]
+    templates = [(f, i, grams_of(plain(words_of(t)), 2)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
+    sizes = [len(words_of(t)) for ts in TEMPLATES.values() for t in ts]
+    strange = [w for w in map(words_of, corpus_lines) if w and max(resemblance(t, grams_of(plain(w), 2)) for _, _, t in templates) < 0.5]
     alike = [words_of(t) for t in ALIKE]
     filler = sorted({w for line in [*strange, *alike] for w in line}) or [b"text"]
     examples: list[tuple[list[bytes], int]] = [(w, 0) for w in strange]
@@ -143,11 +230,11 @@ def train(corpus_lines: list[str], confirm: float = 0.75, threshold: float = 0.5
             examples.append((words, k))
             examples += [(_varied(words, filler, rng), k) for _ in range(copies)]
     order = rng.permutation(len(examples))
-    grams = [grams_of(examples[i][0]) for i in order]
+    grams = [grams_of(level(examples[i][0])) for i in order]
     y = np.array([examples[i][1] for i in order])
     cut = len(order) * 4 // 5
     seen = Counter(g for own in grams[:cut] for g in own)
-    wanted = {g for _, _, t in templates for g in t} | {g for w in alike for g in grams_of(w)}
+    wanted = {g for ts in TEMPLATES.values() for t in ts for g in grams_of(level(words_of(t)))} | {g for w in alike for g in grams_of(level(w))}
     index = {g: i for i, g in enumerate(sorted(g for g in wanted if seen[g] >= 2))}
     rows = [np.array([index[g] for g in own if g in index], np.int64) for own in grams]
     x = np.zeros((len(rows), len(index)), np.float32)
@@ -177,11 +264,12 @@ def train(corpus_lines: list[str], confirm: float = 0.75, threshold: float = 0.5
 
     temperature = min(np.geomspace(0.25, 8, 41), key=loss)
     common = Counter(word for line in strange for word in set(line))
-    rare: set[bytes] = set()
-    for _, _, t in templates:
+    anchors: dict[bytes, list[int]] = {}
+    for n, (_, _, t) in enumerate(templates):
         own = sorted((g[0] for g in t if len(g) == 1), key=lambda word: (common[word], word))
-        rare.update(own[: int((1 - confirm) * len(own)) + 1])  # without these a line has less than the confirming share
-    return Model(index, w, b, float(temperature), templates, frozenset(rare), confirm, threshold)
+        for word in own[: int((1 - confirm) * len(own)) + 1]:  # without these a line has less than the confirming share
+            anchors.setdefault(word, []).append(n)
+    return Model(index, w, b, float(temperature), templates, frozenset(anchors), anchors, sizes, confirm, threshold)
 
 
 def sample_lines(documents: DataFrame, lines: int = 3000, documents_read: int = 1000) -> list[str]:
@@ -193,19 +281,17 @@ def sample_lines(documents: DataFrame, lines: int = 3000, documents_read: int =
 
 
 def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph (line, from 0), family, template, probability and resemblance of every notice."""
+    """doc_id, paragraph (line where it starts, from 0), family, template, probability and resemblance of every notice."""
     spark = documents.sparkSession
     prepare(spark)
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = spark.sparkContext.broadcast(model or train(sample_lines(source)))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        scan_line = held.value.scan
+        notices = held.value.notices
         out = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for i, line in enumerate((text.as_py() or "").split("\n")):
-                if line and (found := scan_line(line)) is not None:
-                    out.append((doc_id, i, *found))
+            out += [(doc_id, *found) for found in notices(text.as_py() or "")]
         if not out:
             return None
         types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64()]

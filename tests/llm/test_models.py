@@ -138,6 +138,26 @@ def test_rare_words_never_hide_a_notice(notices):
             assert not notices.rare.isdisjoint(kept)
 
 
+MIT = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+GPL = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License"
+LGPL = GPL.replace("program", "library").replace("GNU General", "GNU Lesser General")
+BSD = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+
+
+@pytest.mark.parametrize(("text", "want"), [(MIT, [(2, "MIT")]), (GPL, [(0, "GPL")]), (LGPL, [(1, "LGPL")]), (BSD, [(0, "BSD")]), (f"{GPL}\n{BSD}", [(0, "GPL"), (3, "BSD")])])
+def test_wrapped_notices(notices, text, want):
+    assert [n[:2] for n in notices.notices(text)] == want
+    prose = " ".join(["The house has a garden and two doors."] * 40)
+    assert [n[1] for n in notices.notices(prose + "\n" + text + "\n" + prose)] == [f for _, f in want]
+    assert [n[1] for n in notices.notices(f"{prose} {' '.join(text.split())} {prose}")] == [f for _, f in want]
+
+
+def test_versions_and_clause_counts_are_no_difference(notices):
+    for line, family in (("Licensed under the BSD 2-Clause License.", "BSD"), ("Licensed under CC BY 3.0.", "CC-BY"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL"), ("Licensed under CC BY-NC 3.0.", "CC-BY-NC")):
+        assert notices.scan(line)[0] == family
+    assert notices.notices("\n".join([*licenses.ALIKE, "The house has a garden."])) == []
+
+
 def test_license_scan_of_a_table(spark, notices, middle):
     df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny\nAll rights reserved.", 1), (2, None, 1), (3, "", 1), (None, "Licensed under CC BY-NC 4.0.", 1), (4, "nothing here", 1)], "doc_id long, text string, family int")
     got = sorted(((r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan(df, notices).collect()), key=repr)
