@@ -4,7 +4,9 @@ Markup is stripped to lines: a line is the text of one block element, and what b
 notices, adverts, forms, reader comments, scripts and styles leaves empty lines in its place. The text lengths of `window`
 lines at a time are summed; where the sum leaves zero a region surges, where it falls back it dives, and the text between is
 kept. On a page with an article or main element the regions inside it are kept whole, however short; elsewhere regions count
-that hold `least` characters, or the longest one if none does.
+that hold `least` characters, or the longest one if none does, and those between them. A class, id or role names a part beside
+the article by whole names; on a page without text in an article or main element outside such parts, one that holds such an
+element, or most of the text, is none.
 
 Cases: null or empty html, or a page without text, gives an empty text; unclosed tags, comments and quotes end with the page; a
 page is never cut or capped; repeated rows give repeated results; columns beside page_id, url and html are ignored.
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from halyard.llm.common import by_batch, prepare
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 
 #: Fixed values of HTML: elements without content, with raw text, and those that lie within a line of text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -39,29 +41,59 @@ BESIDE = {
     "dialog", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted", "related", "remark", "replies", "reply",
     "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "alert",
 }
+#: Words that can stand with those in a name.
+PLAIN = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "control", "controls", "fixed", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main",
+    "mobile", "outer", "overlay", "page", "panel", "primary", "right", "secondary", "section", "site", "slot", "sticky", "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
+}
+#: Elements that stay beside the article whatever they hold.
+ALWAYS = BOILERPLATE - {"aside", "form", "header"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "pre", "section", "table", "ul"}
 
 
-def _beside(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
-    if name in ("body", "html", "main") or "=" not in attributes and "hidden" not in attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMED.finditer(attributes):
-        if BESIDE & set(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+def _names(value: str) -> bool:
+    parts = {x for x in re.split(r"[^a-z]+", value.lower()) if x}
+    return not BESIDE.isdisjoint(parts) and parts <= BESIDE | PLAIN
+
+
+def _beside(name: str, attributes: str) -> int:
+    """0 for a part of the article, 1 for a part beside it by its name, 2 for one that is beside it whatever it holds."""
+    if name in ALWAYS:
+        return 2
+    found = int(name in BOILERPLATE)
+    if name in ("body", "html", "main") or "=" not in attributes and "hidden" not in attributes.lower():
+        return found
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "style" and _NONE.search(value):
+            return 2
+        if key in ("class", "id", "role") and any(map(_names, value.split())) or key == "aria-label" and _names(value):
+            found = 1
+    return found
 
 
 def lines(html: str) -> list[tuple[str, bool]]:
     """Lines of text in page order, and whether each is inside an article or main element; "" where something was left out."""
+    out, parts, size = _lines(html, frozenset())
+    if any(inside and text for text, inside in out):
+        return out
+    holding = frozenset(at for at, (chars, article) in parts.items() if article or 2 * chars > size)
+    return _lines(html, holding)[0] if holding else out
+
+
+def _lines(html: str, holding: frozenset[int]) -> tuple[list[tuple[str, bool]], dict[int, tuple[int, bool]], int]:
+    """The lines; the characters of each part beside by its name, by its place, and whether it holds an article; all characters.
+
+    Parts at the places in holding are taken as parts of the article.
+    """
     out: list[tuple[str, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # name, beside, article
     held: list[str] = []
-    at = beside = inside = 0
+    parts: dict[int, tuple[int, bool]] = {}
+    named: list[tuple[int, int, int, int]] = []  # open parts beside by their name: depth, place, characters and articles before
+    at = beside = inside = size = articles = 0
+    shut: list[int] = []  # depths of the open parts that are always beside
 
     def flush() -> None:
         if held:
@@ -73,6 +105,11 @@ def lines(html: str) -> list[tuple[str, bool]]:
     def pop() -> None:
         nonlocal beside, inside
         _, b, a = open_.pop()
+        if shut and shut[-1] == len(open_):
+            shut.pop()
+        if named and named[-1][0] == len(open_):
+            _, place, chars, seen = named.pop()
+            parts[place] = (size - chars, articles > seen)
         beside -= b
         inside -= a
         if b and not beside:
@@ -81,6 +118,8 @@ def lines(html: str) -> list[tuple[str, bool]]:
     while at < len(html):
         m = _TAG.search(html, at)
         text = html[at : m.start() if m else len(html)]
+        if text and not shut:
+            size += len(" ".join(text.split()))
         if text and not beside:
             held.append(text)
         if not m:
@@ -114,8 +153,14 @@ def lines(html: str) -> list[tuple[str, bool]]:
                     break
                 if open_[k][0] not in INLINE:
                     break
-        b = _beside(name, m[3])
+        kind = _beside(name, m[3])
+        b = kind == 2 or kind == 1 and m.start() not in holding
         a = name in ("article", "main") and not b
+        if kind == 2:
+            shut.append(len(open_))
+        elif b and not shut:
+            named.append((len(open_), m.start(), size, articles))
+        articles += a and not shut
         if b and not beside:
             flush()
             out.append(("", inside > 0))
@@ -123,7 +168,9 @@ def lines(html: str) -> list[tuple[str, bool]]:
         beside += b
         inside += a
     flush()
-    return out
+    while open_:
+        pop()
+    return out, parts, size
 
 
 def regions(lengths: list[int], window: int) -> list[tuple[int, int]]:
@@ -157,7 +204,8 @@ def main_text(html: str | None, window: int = 3, least: int = 80) -> str:
     sums = [sum(len(t) for t in spread[a:b]) for a, b in found]
     if not within and found:
         bar = min(least, max(sums))
-        found = [f for f, s in zip(found, sums, strict=True) if s >= bar]
+        long = [i for i, s in enumerate(sums) if s >= bar]
+        found = found[long[0] : long[-1] + 1]
     return "\n\n".join(t for a, b in found for t in spread[a:b] if t)
 
 

@@ -186,6 +186,28 @@ def test_main_text(number):
     assert html.main_text(page) == want
 
 
+LINE = "This paragraph of the article is long enough to count as a region of its own, whatever lies beside it on the page."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='content-sidebar-wrap'><article><p>{LINE}</p></article></div>", LINE),
+        (f"<div id='content' class='with-sidebar'><p>{LINE}</p></div>", LINE),
+        (f"<article class='has-sidebar'><p>{LINE}</p></article>", LINE),
+        (f"<section aria-label='Search results'><p>{LINE}</p></section>", LINE),
+        (f"<p title='the hidden costs'>{LINE}</p>", LINE),
+        (f"<div class='sidebar'><div class='widget'><article><p>{LINE}</p></article></div></div>", LINE),
+        (f"<form id='f'><div class='header'>x</div><p>{LINE}</p><p>{LINE}</p></form>", f"{LINE}\n\n{LINE}"),
+        (f"<p>{LINE}</p><div class='ad'>Buy</div><h2>Head</h2><div class='ad'>Buy</div><p>{LINE}</p>", f"{LINE}\n\nHead\n\n{LINE}"),
+        (f"<p>{LINE}</p><div class='cookie-banner'>Buy</div><p hidden>no</p><p style='display: none'>no</p>", LINE),
+        (f"<article><p>{LINE}</p><div class='comments'>{LINE}{LINE}{LINE}</div></article><aside><article>Other</article></aside>", LINE),
+    ],
+)
+def test_wrappers_of_the_article_stay(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>") == want
+
+
 def test_regions_surge_and_dive():
     assert html.regions([0, 0, 0, 5, 0, 0, 7, 0, 0, 0, 3], 3) == [(1, 7), (8, 11)]
     assert html.regions([], 3) == [] and html.regions([4], 3) == [(0, 1)]
