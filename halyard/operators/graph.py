@@ -139,19 +139,22 @@ def graph_edges(df: DataFrame, metric: Metric | str = Metric.COSINE, m: int = 12
 
 
 def graph_search(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, ef: int | None = None, m: int = 12, ef_construction: int = 64, max_layer: int = 16, seed: int = 42, graph_rows: int = 20_000, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, distance and rank by the graphs; at most search.QUERY_BLOCK queries (query_id, query)."""
-    asked = queries.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>")).limit(S.QUERY_BLOCK + 1).collect()
-    if len(asked) > S.QUERY_BLOCK:
-        raise ValueError(f"more than {S.QUERY_BLOCK} queries at once")
+    """query_id, id, distance and rank by the graphs; queries (query_id, query) go in blocks of about search.QUERY_BLOCK, each a pass."""
+    wanted = queries.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>"))
+    blocks = -(-max(wanted.count(), 1) // S.QUERY_BLOCK)
     beam = ef or max(100, 4 * k)
-
-    def use(ids, graph):
-        out = [(q, ids[i], d) for q, v in asked for d, i in graph.search(np.array(v), k, beam)]
-        if out:
-            q, i, d = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "distance"])
-
-    found = _graphs(df, id, vector, graph_rows, (Metric.of(metric), m, ef_construction, max_layer, seed), "query_id long, id long, distance double", use)
+    found = None
+    for b in range(blocks):
+        asked = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
+
+        def use(ids, graph, asked=asked):
+            out = [(q, ids[i], d) for q, v in asked for d, i in graph.search(np.array(v), k, beam)]
+            if out:
+                q, i, d = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "distance"])
+
+        own = _graphs(df, id, vector, graph_rows, (Metric.of(metric), m, ef_construction, max_layer, seed), "query_id long, id long, distance double", use)
+        found = own if found is None else found.unionByName(own)
     return S.merge_shards(found, k, "id", metric=metric, keys=["query_id"]).withColumnRenamed("id", id)
 
 

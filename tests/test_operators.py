@@ -321,3 +321,10 @@ def test_records_and_variants(spark):
     assert P.where(files.with_variant(df, "props"), P.gt("props.k", 4)).count() == 1
     wire = files.record_json(r)
     assert files.from_record_json(wire, "id string, vector array<float>").first()["id"] == "1"
+
+
+def test_graph_search_takes_any_number_of_queries(spark):
+    vectors = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    queries = spark.range(2100).select(F.col("id").alias("query_id"), F.array(F.cos(F.col("id") % 40), F.sin(F.col("id") % 40)).alias("query"))
+    got = graph.graph_search(vectors, queries, 1, "euclidean").collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(i, i % 40) for i in range(2100)} and len(got) == 2100
