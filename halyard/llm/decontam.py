@@ -94,7 +94,7 @@ class Automaton:
         out.append([])
         return len(self.length) - 1
 
-    def _mark(self, items: list[tuple[str, list[int]]]) -> None:
+    def _mark(self, items: list[tuple[str | None, list[int]]]) -> None:
         """ends: state -> (window length, items) for each state that holds a whole window; above: the nearest such state up the links."""
         ends: dict[int, tuple[int, set[str]]] = {}
         pairs: set[int] = set()
@@ -110,7 +110,9 @@ class Automaton:
                     v = state
                     while self.length[self.link[v]] >= size:
                         v = self.link[v]
-                    ends.setdefault((v, size), (size, set()))[1].add(item_id)
+                    found = ends.setdefault((v, size), (size, set()))[1]
+                    if item_id is not None:
+                        found.add(item_id)
         at: dict[int, list[tuple[int, tuple[str, ...]]]] = defaultdict(list)
         for (v, size), (_, found) in ends.items():
             at[v].append((size, tuple(sorted(found))))
@@ -170,11 +172,11 @@ class Automaton:
                 v = above[v]
 
 
-def shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items of benchmark (item_id, text), at most shard_words words at a time unless one item has more; one empty shard if there are none."""
-    held: list[tuple[str, list[bytes]]] = []
+    held: list[tuple[str | None, list[bytes]]] = []
     words = 0
-    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     for row in named.toLocalIterator():
         own = words_of(row["text"])
         if held and words + len(own) > shard_words:

@@ -116,6 +116,17 @@ def test_decontamination_report(leaks):
     assert decontam.report(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_items_without_an_id_hit_but_are_not_named(leaks):
+    docs, benchmark, _, items = leaks
+    nameless = benchmark.withColumn("item_id", F.lit(None).cast("long"))
+    for n in (10_000, 30):
+        named, got = ({r["doc_id"]: r for r in decontam.report(docs, b, shard_words=n).collect()} for b in (benchmark, nameless))
+        assert {d: (r["n_hit"], r["contaminated"]) for d, r in got.items()} == {d: (r["n_hit"], r["contaminated"]) for d, r in named.items()}
+        assert {r["n_items"] for r in got.values()} == {0} and any(r["n_items"] for r in named.values())
+        cut = [sorted(map(tuple, decontam.decontaminate(docs, b, shard_words=n).collect()), key=repr) for b in (benchmark, nameless)]
+        assert cut[0] == cut[1]
+
+
 def test_shards_find_the_same(leaks):
     docs, benchmark, _, _ = leaks
     parts = list(decontam.shards(benchmark, 30))
