@@ -11,8 +11,8 @@ Queries are packed into tiles. A tile meets all segments in `lanes` streams, so
 holds one tile, its current best rows and `held` segments, whatever the table's size. Each stream returns k rows for each
 query, which a window merges.
 
-Cases: a vector that is null, empty, or holds a null, a non-finite component or one whose weight is not below 2**26 in size
-takes no part; a null id neither; vectors of different lengths are compared as if filled up with zeros; rows with the query's
+Cases: a vector that is null, empty, or holds a null or a non-finite component takes no part; a null id neither; weights and
+scores are exact in 64 bits, and what does not fit there is an error, as in SQL; vectors of different lengths are compared as if filled up with zeros; rows with the query's
 own id are no candidates; repeated rows are separate candidates and separate queries; fewer than k candidates give all of them;
 an empty table gives an empty result.
 """
@@ -27,19 +27,26 @@ from pyspark.sql import functions as F
 from halyard.llm.common import prepare, written
 
 SEGMENT, BLOCK, TILE = 2048, 512, 1024
-LIMIT = 1 << 26
+LIMIT = 1 << 63
 _NONE = np.iinfo(np.int64).min
 
 
 def weights(vector: Column, scale: int) -> Column:
-    """floor(scale * component) as longs; null for a vector that takes no part."""
-    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.floor(x.cast("double") * scale).cast("double")) < LIMIT))
-    return F.when((F.size(vector) > 0) & sound, F.transform(scaled, lambda x: x.cast("int")))
+    """floor(scale * component) as longs; null for a vector that takes no part. A weight beyond 64 bits is an error."""
+    scaled = lambda x: x.cast("double") * scale
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    weight = lambda x: F.when((scaled(x) >= -float(LIMIT)) & (scaled(x) < float(LIMIT)), F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a weight beyond 64 bits")).cast("long"))
+    return F.when((F.size(vector) > 0) & sound, F.transform(vector, weight))
 
 
 def _packed(ids: np.ndarray, rows: np.ndarray) -> dict:
-    return {"ids": ids.astype(np.int64).tobytes(), "width": rows.shape[1], "data": rows.astype(np.int32).tobytes()}
+    """Rows as integers of 32 bits, of 64 where a weight needs them."""
+    narrow = -(1 << 31) <= int(rows.min(initial=0)) and int(rows.max(initial=0)) < 1 << 31
+    return {"ids": ids.astype(np.int64).tobytes(), "width": rows.shape[1], "data": rows.astype(np.int32 if narrow else np.int64).tobytes()}
+
+
+def _unpacked(n: int, width: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * n * width else np.int64).reshape(n, width)
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +54,7 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int32)
+    out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
     out[np.arange(out.shape[1]) < sizes[:, None]] = flat
     return ids, out
 
@@ -62,7 +69,7 @@ def _pack(size: int, by_term: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        task, made, ids, rows = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64), np.zeros((0, 0), np.int32)
+        task, made, ids, rows = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
 
         def out(i, r):
             nonlocal made
@@ -100,8 +107,9 @@ class Search:
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         width = max(rows.shape[1], self.queries.shape[1])
         rows, queries = _widen(rows, width), _widen(self.queries, width)
-        top = max(int(np.abs(rows).max(initial=0)), 1) * max(int(np.abs(queries).max(initial=0)), 1) * width
-        kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64  # all exact
+        largest = lambda a: max(int(a.max(initial=0)), -int(a.min(initial=0)), 1)
+        top = largest(rows) * largest(queries) * width
+        kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64 if top < 1 << 63 else object  # all exact
         rows, queries = rows.astype(kind), queries.astype(kind)
         starts = np.arange(0, len(rows), BLOCK)
         most, least = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
@@ -124,12 +132,13 @@ class Search:
     def _merge(self, who: np.ndarray, ids: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> None:
         """Score the rows of a block for some queries and take over what reaches their k-th best."""
         product = queries[who] @ rows.T
+        screen = product if product.dtype.kind == "f" else product.astype(np.float64)  # rounded alike, so nothing is lost by it
         own = self.ids[who][:, None] == ids[None, :]
         kth = self.scores[who, -1]
         least = np.where(kth == _NONE, -np.inf, kth)
         if product.shape[1] > self.k and (kth == _NONE).any():  # nothing below the block's own k-th best can stay
-            least = np.maximum(least, np.partition(np.where(own, -np.inf, product), -self.k, axis=1)[:, -self.k])
-        r, c = np.nonzero((product >= least[:, None].astype(product.dtype if product.dtype.kind == "f" else np.float64)) & ~own)
+            least = np.maximum(least, np.partition(np.where(own, -np.inf, screen), -self.k, axis=1)[:, -self.k])
+        r, c = np.nonzero((screen >= least[:, None].astype(screen.dtype)) & ~own)
         if not len(r):
             return
         touched, r2 = np.unique(r, return_inverse=True)
@@ -188,7 +197,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
             for i in range(batch.num_rows):
                 r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
                 ids = np.frombuffer(r["ids"], np.int64)
-                rows = np.frombuffer(r["data"], np.int32).reshape(len(ids), r["width"])
+                rows = _unpacked(len(ids), r["width"], r["data"])
                 if (r["tile"], r["lane"]) != key:
                     yield from out()
                     search, key = None, (r["tile"], r["lane"])

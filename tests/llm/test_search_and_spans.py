@@ -116,6 +116,24 @@ def test_decontamination_report(leaks):
     assert decontam.report(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_large_components_take_part(spark):
+    rng = random.Random(4)
+    scales = [1.0, 2.0**19, 2.0**20, 2.0**24]
+    rows = [(i, [rng.uniform(-1, 1) * scales[(i + j) % 4] for j in range(4)]) for i in range(60)]
+    rows += [(100, [2.0**24, 0.0, 0.0, 0.0]), (101, [0.0, 2.0**25, 0.0, 0.0]), (102, [-(2.0**55), 0.0, 0.0, 0.0]), (103, [None, 2.0**30, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id < 10")
+    weight = {i: [math.floor(64 * x) for x in v] for i, v in rows if None not in v}
+    want = set()
+    for q in range(10):
+        scores = sorted((-sum(a * b for a, b in zip(weight[q], w, strict=True)), i) for i, w in weight.items() if i != q and i != 102)
+        want |= {(q, n + 1, i, -x) for n, (x, i) in enumerate(scores[:5])}
+    assert {tuple(r) for r in topk.top_k(df.where("vec_id != 102"), queries, 5).collect()} == want
+    small = spark.createDataFrame([(1, [0.25, 4.0]), (2, [2.0**50, 1.0]), (3, [-(2.0**50), 1.0])], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(small, small.where("vec_id = 1")).collect()}
+    assert got == {(1, 1, 2, (16 << 56) + 256 * 64), (1, 2, 3, -(16 << 56) + 256 * 64)}
+
+
 def test_items_without_an_id_hit_but_are_not_named(leaks):
     docs, benchmark, _, items = leaks
     nameless = benchmark.withColumn("item_id", F.lit(None).cast("long"))
