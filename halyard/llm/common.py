@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,7 +22,10 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and bound their batches."""
+    """Let Python workers import this package and bound their batches.
+
+    Frames run after the call that made them, so these settings of the session stay: the path of the workers and the two of BATCH.
+    """
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -32,28 +36,67 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="halyard-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/halyard/{spark.sparkContext.applicationId}"
 
 
+_SCOPES: list[str] = []
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing is at yet."""
+    return "/".join([shared_folder(spark), *_SCOPES, uuid.uuid4().hex])
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, keeps column pruning and size statistics."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what written() made for df, once nothing that is still to run reads it."""
+    _delete(df.sparkSession, df._written)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What written() makes within is deleted at the end: run and write what is built on it before."""
+    _SCOPES.append(uuid.uuid4().hex)
+    path = "/".join([shared_folder(spark), *_SCOPES])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        _delete(spark, path)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Delete all that written() made in this application; frames built on it end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
+
+
+def spread(df: DataFrame, bytes_each: int = 8 << 20) -> DataFrame:
+    """df over as many partitions as there are cores, where it is so small that a scan would leave cores idle: for heavy work per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * bytes_each
+    return df.repartition(cores) if small else df
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -83,8 +126,8 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
     """Smallest node of the component of every node that has an edge: columns node, label.
 
     Large-star and small-star rounds in turn (each is a minimum per node, pre-aggregated, joined back to the edges), so a
-    component of diameter d needs about log(d) rounds and no component ever meets in one task. The state of each round is a
-    written table. Loops and nulls are ignored; no edges give no rows.
+    component of diameter d needs about log(d) rounds. A hub's edges are pre-aggregated and met in joins that can be split, so no
+    component needs to fit in one task. The state of each round is a written table, freed after the next. Loops and nulls are ignored; no edges give no rows.
     """
     state = written(
         edges.where(F.col(source).isNotNull() & F.col(target).isNotNull() & (F.col(source) != F.col(target)))
@@ -96,11 +139,15 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
         if not mark[0]:
             break
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Each minimum is written, so that its join has shuffles of its own and adaptive execution can split a hub's edges.
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        state = written(small.select("e.u", "e.v").where("u != v").distinct())
+        large = written(large)
+        least2 = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        held, state = (state, least, large, least2), written(small.select("e.u", "e.v").where("u != v").distinct())
+        for used in held:
+            discard(used)
         before, mark = mark, _mark(state)
         if before == mark:
             break

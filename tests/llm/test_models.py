@@ -209,8 +209,48 @@ def test_wrappers_of_the_article_stay(page, want):
 
 
 def test_regions_surge_and_dive():
-    assert html.regions([0, 0, 0, 5, 0, 0, 7, 0, 0, 0, 3], 3) == [(1, 7), (8, 11)]
-    assert html.regions([], 3) == [] and html.regions([4], 3) == [(0, 1)]
+    assert html.regions([0, 0, 0, 5, 0, 0, 7, 0, 0, 0, 3], 3) == [(1, 7, 7), (8, 11, 3)]
+    assert html.regions([], 3) == [] and html.regions([4], 3) == [(0, 1, 4)] and html.regions([0, 0], 3) == []
+    assert html.regions([6, 2, 0, 0, 5], 2) == [(0, 2, 8), (3, 5, 5)]
+
+
+MENU = "<div><ul>" + "".join(f"<li><a href='/{i}'>A menu entry that is as long as a sentence, number {i}</a></li>" for i in range(9)) + "</ul></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"{MENU}<div><p>{LINE}</p><p>{LINE}</p></div><div><p>Short note</p></div>{MENU}", f"{LINE}\n\n{LINE}"),  # nothing is named: only the distribution can tell
+        (f"<div>Top</div><div><div><h2>Head</h2><p>{LINE}</p></div><div><p>Two words</p></div><div><p>{LINE}</p></div></div><div>Bottom</div>", f"Head\n\n{LINE}\n\nTwo words\n\n{LINE}"),
+        (f"<div><article><p>Teaser</p></article></div><div><p>{LINE}</p></div>", f"Teaser\n\n{LINE}"),
+        (f"<nav>{MENU} You are here</nav><article><h1>T</h1></article><div>{'Other pages of this site. ' * 3}</div>", "T"),
+        ("<article class='post has-comments'><header class='entry-header'><h1>Title</h1></header><p>x</p></article>", "Title\n\nx"),
+        (f"<div class='no-sidebar'><p>{LINE}</p></div><div class='reader-comments'><p>{LINE * 9}</p></div><div id='siteFooter'>{LINE}</div>", LINE),
+        (f"<div class='content-with-sidebar'><p>{LINE}<span class='ad'>Buy</span> end</p></div>", f"{LINE} end"),
+        (f"<p>{LINE} <a href='/x'>a link</a> in it</p><table><tr><td>a<td>b</table>", f"{LINE} a link in it\n\na\n\nb"),
+    ],
+)
+def test_line_blocks_decide(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_without_the_distribution_menus_stay(spark, middle):
+    """What the stage takes away: on every page of the table, lines that no list names."""
+    pages = [r["html"] for r in spark.read.parquet(f"{middle}/pages.parquet").collect()]
+    without = ["\n\n".join(x.text for x in html.lines(p) if x.text) for p in pages]
+    assert all(len(html.main_text(p)) < len(w) for p, w in zip(pages, without, strict=True))
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<b>", "<span hidden>", "<p>x<b class='ad'>", "<li><ul>", "</div>", "<a href='x'>"])
+def test_unclosed_tags_take_linear_time(tag):
+    import time
+
+    took = []
+    for n in (3000, 30_000):
+        start = time.process_time()
+        html.main_text(f"<p>{LINE}</p>" + tag * n + "<p></p>" * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * max(took[0], 0.02)
 
 
 def test_pages_of_the_small_table(spark, middle):
