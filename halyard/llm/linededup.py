@@ -3,8 +3,8 @@
 Plan: explode the lines to 128-bit hashes of their keys, which are written; a minimum and maximum of doc_id per hash
 (pre-aggregated, so a line that a third of all documents hold is one row per task) tells which keys at least two documents hold
 and which document keeps them; the hashed lines meet those keys in a shuffled join that adaptive execution may split where a key
-is hot; the dropped positions, a small set per document, meet the documents, which reassemble their lines by position. Texts are
-shuffled once.
+is hot; the dropped positions, a set per document, meet the documents, which reassemble their lines by position in one pass over
+the lines. Texts are shuffled once.
 
 Cases: a null or empty text is one empty line; a null doc_id stands for no document, so its lines count nowhere and all stay;
 rows of one doc_id are one document, a repeated row is treated like the first; an empty table gives an empty table; columns of
@@ -59,17 +59,16 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10, min_docs: int = 2) ->
         .groupBy("_d", "_m")
         .agg(F.collect_set("_p").alias("_gone"))
     )
-    n = F.size(_lines(text))
     own, of, other, gone = (free_name(documents, x) for x in ("_mark", "_doc", "_other", "_gone"))
-    kept = F.when(F.col(gone).isNull(), text).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(gone)), lambda i: F.get(_lines(text), i)), "\n")
-    )
+    # The array of the lines is bound once by the outer function: within a lambda a column is evaluated anew for each element.
+    by_place = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n")
+    kept = F.when(F.col(gone).isNull(), text).otherwise(F.get(F.transform(F.array(_lines(text)), by_place), F.lit(0)))
     joined = documents.withColumn(own, mark).join(
         dropped.select(F.col("_d").alias(of), F.col("_m").alias(other), F.col("_gone").alias(gone)), (doc == F.col(of)) & (F.col(own) == F.col(other)), "left"
     )
     return joined.select(
         *[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_dropped")],
-        n.cast("long").alias("n_lines"),
+        F.size(_lines(text)).cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
 

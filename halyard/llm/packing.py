@@ -7,14 +7,15 @@ capacity, so the plan is a list of rank intervals, not of documents. Documents t
 rank: rank = (pieces of the length in earlier tasks) + (rank in the task), both from the written pieces, so no length, however
 common, meets in one task.
 
-Cases: a null or empty text has no ids but the end id and is packed like any other; repeated rows are packed once each; an
-empty table gives an empty result; columns beside doc_id and text are ignored.
+Cases: a null or empty text has no ids but the end id and is packed like any other; texts of any length or kind (a million blanks,
+newlines or equal letters) are encoded whole; repeated rows, and rows of one doc_id, are packed once each; an empty table gives an empty result; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,18 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import prepare, written
+from halyard.llm.common import prepare, spread, written
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into pieces.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: In longer texts, runs of so many blanks are looked for before that library is tried.
+LONG = 20_000
+_BLANKS = re.compile(r"\s{%d}" % LONG)
+
 
 class Encoder:
     """Ids of whole texts by a tokenizers file.
 
     A byte-level BPE without normalizer gives the same ids whether its merges are applied in the order of their ranks or, as here
     where it can be done, in the order of the ids of what they make: the library for that takes a fourth of the time. Its table
-    is read from the tokenizer itself; any other tokenizer encodes by itself.
+    is read from the tokenizer itself; any other tokenizer encodes by itself, and so does this one where that library fails on a
+    text (its pattern runs out of stack on some hundred thousand blanks in a row).
     """
 
     def __init__(self, path: str):
@@ -70,10 +76,17 @@ class Encoder:
         for text in texts:
             if not text:
                 yield np.zeros(0, np.uint32)
-            elif self.fast is not None:
-                yield self.fast.encode_to_numpy(text, disallowed_special=())
             else:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                ids = self._by_library(text) if self.fast is not None and not (len(text) > LONG and _BLANKS.search(text)) else None
+                yield ids if ids is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _by_library(self, text: str) -> np.ndarray | None:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except (KeyboardInterrupt, SystemExit, GeneratorExit):
+            raise
+        except BaseException:  # a panic of the library is no Exception
+            return None
 
 
 def cut_pieces(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -107,7 +120,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
                         to.append(value)
             yield pa.record_batch([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 _ENCODERS: dict[str, Encoder] = {}

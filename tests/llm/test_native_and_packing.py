@@ -56,6 +56,19 @@ def test_lines_of_odd_rows(spark):
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"], r["fp"], r["_mark"]) for r in out.collect()} == {0: ("x\na shared long line", 2, 0, "f", 1), 1: ("y", 2, 1, "f", 1), 2: ("z", 1, 0, "f", 1)}
 
 
+def test_a_document_of_many_lines(spark):
+    """Reassembly is linear: 200,000 lines, half of them dropped."""
+    import time
+
+    text = "\n".join(f"line that is held twice {i}" if i % 2 else f"line of this text alone {i}" for i in range(200_000))
+    other = "\n".join(f"line that is held twice {i}" for i in range(1, 200_000, 2))
+    start = time.time()
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame([(2, text), (1, other)], "doc_id long, text string")).collect()}
+    assert time.time() - start < 60
+    assert out[2]["n_lines"] == 200_000 and out[2]["n_dropped"] == 100_000 and out[1]["text"] == other
+    assert out[2]["text"] == "\n".join(f"line of this text alone {i}" for i in range(0, 200_000, 2))
+
+
 def test_lines_with_a_higher_threshold(spark):
     df = spark.createDataFrame([(i, "a shared long line") for i in range(3)] + [(8, "held by only two"), (9, "held by only two")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(df, min_docs=3).collect()} == {0: 0, 1: 1, 2: 1, 8: 0, 9: 0}
@@ -212,6 +225,18 @@ def test_encoder_gives_the_tokenizers_ids():
     assert other.fast is None and next(other.encode(["hello"])).tolist() == other.tokenizer.encode("hello", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 10**6, "\n" * 10**6, "a" * 10**6, "x" + " \n\t" * 333_333 + "y", "." * 10**6, "word " * 30_000 + " " * 600_000])
+def test_long_runs_are_encoded_whole(text):
+    encoder = packing.Encoder(queries.tokenizer_path())
+    assert next(encoder.encode([text])).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_text_that_the_library_cannot_take_falls_back(monkeypatch):
+    encoder = packing.Encoder(queries.tokenizer_path())
+    monkeypatch.setattr(packing, "LONG", 1 << 30)
+    assert len(next(encoder.encode([" " * 10**6]))) > 0 and encoder._by_library(" " * 10**6) is None
+
+
 def test_packing_round_trip(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", F.lit(1).alias("rank"), F.lit("t").alias("task"))
     docs = docs.unionByName(spark.createDataFrame([(-1, None, 1, "t"), (-2, "", 1, "t"), (-3, "word " * 9000, 1, "t")], docs.schema))
@@ -235,3 +260,5 @@ def test_packing_round_trip(spark, tiny):
         assert [r["piece"] for r in own] == list(range(len(own))) and all(r["length"] == 2048 for r in own[1:])
     assert len(sequences) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
     assert packing.pack(docs.limit(0), queries.tokenizer_path(), keep_ids=False).count() == 0
+    repeated = packing.pack(spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b")], "doc_id long, text string"), queries.tokenizer_path()).collect()
+    assert len(repeated) == 4 and len({r["sequence_id"] for r in repeated}) == 1 and len({r["offset"] for r in repeated}) == 4
