@@ -41,7 +41,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10, min_docs: int = 2) ->
     mark = F.xxhash64(text)  # tells rows of one doc_id with different texts apart
     lines = (
         documents.where(doc.isNotNull())
-        .select(doc.alias("_d"), mark.alias("_m"), F.posexplode(_lines(text)).alias("_p", "_line"))
+        .select(doc.alias("_d"), mark.alias("_m"), _lines(text).alias("_all"))  # below the generator, so that a text is hashed once, not for each line
+        .select("_d", "_m", F.posexplode("_all").alias("_p", "_line"))
         .select("_d", "_m", "_p", line_key(F.col("_line")).alias("_k"))
         .where(F.length("_k") >= min_chars)
         .select("_d", "_m", "_p", F.xxhash64("_k").alias("_h"), F.xxhash64(F.lit(1), "_k").alias("_g"))
