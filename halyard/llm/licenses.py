@@ -1,17 +1,19 @@
 """Licence notices by a trained paragraph classifier.
 
 A paragraph is a run of lines with words. A multinomial logistic regression over word n-grams (one to three words, as a sparse
-set) tells licence families and an unknown class apart; its scores are calibrated by a temperature fitted on examples that
-training did not see. A predicted family is confirmed by comparison with the family's templates: it counts where the words and
-word pairs of some template, without version numbers and clause counts, occur to a share of `confirm` at least.
+set, of templates and corpus alike, the `features` most frequent) tells licence families and an unknown class apart; its scores
+are calibrated by a temperature fitted on examples that training did not see. A predicted family is confirmed by comparison with
+the family's templates: it counts where the words and word pairs of some template, without version numbers and clause counts,
+occur to a share of `confirm` at least. That bar is low, so that altered wording passes; which family it is, and whether it is
+one, the classifier decides.
 
 Lines are scored first. What no line gives is sought in windows of words over the other lines of a paragraph, and over the words
 of long lines, each window little longer than its template: notices that are wrapped or lie within other text. Of overlapping
 windows the one that resembles its template most counts. A notice is reported at the line where it starts.
 
-Training is on the driver: examples of the families are made from the templates by dropping, adding and replacing words;
-unknown ones are made from phrases that only sound alike, and from at most `sample_lines` lines of the corpus, those with the
-smallest hashes, that resemble no template. Scanning reads every text whole. A line or window that has none of a template's
+Training is on the driver: examples of the families are made from the templates by dropping, adding and replacing words
+but those that only one family has; unknown ones are made from phrases that only sound alike, and from at most `sample_lines` lines of the corpus, those with the
+smallest hashes and 5,000 characters at most, that resemble no template. Scanning reads every text whole. A line or window that has none of a template's
 rarest words, so many that none without them can share `confirm` of its words, can't be confirmed and needs no score.
 
 Cases: null and empty texts have no notices; repeated rows give repeated results; a null doc_id is reported as null; an empty
@@ -21,14 +23,14 @@ table gives an empty result (and a model from the fixed phrases alone); columns
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import by_batch, prepare
+from halyard.llm.common import by_batch, prepare, spread
 
 UNKNOWN = "unknown"
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -48,6 +50,7 @@ TEMPLATES = {
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "You may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "GPL": [
@@ -118,9 +121,11 @@ def resemblance(template: set[tuple[bytes, ...]], line: set[tuple[bytes, ...]])
     return out
 
 
-def _varied(words: list[bytes], other: list[bytes], rng: np.random.Generator) -> list[bytes]:
-    out = [w for w in words if rng.random() > 0.06]
-    out = [other[rng.integers(len(other))] if rng.random() < 0.04 else w for w in out]
+def _varied(words: list[bytes], other: list[bytes], own: set[bytes], rng: np.random.Generator) -> list[bytes]:
+    """words with some dropped, replaced and put around them; those in own stay."""
+    share = 0.06 if rng.random() < 0.7 else 0.25
+    out = [w for w in words if w in own or rng.random() > share]
+    out = [w if w in own else other[rng.integers(len(other))] if rng.random() < 0.04 else w for w in out]
     pad = lambda: [other[rng.integers(len(other))] for _ in range(rng.integers(0, 9) if rng.random() < 0.5 else 0)]
     return [*pad(), *out, *pad()]
 
@@ -137,9 +142,10 @@ class Model:
     sizes: list[int]  # words of each template
     confirm: float
     threshold: float
+    unseen: tuple[np.ndarray, np.ndarray] | None  # calibrated probabilities and classes of the examples that training did not see
 
     def probabilities(self, grams: set[tuple[bytes, ...]]) -> np.ndarray:
-        at = [self.index[g] for g in grams if g in self.index]
+        at = sorted(self.index[g] for g in grams if g in self.index)
         z = (self.weights[at].sum(axis=0) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         return p / p.sum()
@@ -217,29 +223,54 @@ class Model:
         return [found for _, found in sorted(out)]
 
 
-def train(corpus_lines: list[str], confirm: float = 0.75, threshold: float = 0.5, copies: int = 60, steps: int = 200, seed: int = 42) -> Model:
+class _Sparse:
+    """Rows of feature numbers, for products with dense matrices in both directions."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.shape = (len(rows), width)
+        self.flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        sizes = np.array([len(r) for r in rows], np.int64)
+        self.filled = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.filled]
+        order = np.argsort(self.flat, kind="stable")
+        self.by_feature = np.repeat(np.arange(len(rows)), sizes)[order]
+        self.used, self.feature_starts = np.unique(self.flat[order], return_index=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], w.shape[1]), np.float32)
+        if len(self.flat):
+            out[self.filled] = np.add.reduceat(w[self.flat], self.starts)
+        return out
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[1], e.shape[1]), np.float32)
+        if len(self.flat):
+            out[self.used] = np.add.reduceat(e[self.by_feature], self.feature_starts)
+        return out
+
+
+def train(corpus_lines: list[str], confirm: float = 0.6, threshold: float = 0.5, copies: int = 60, steps: int = 150, features: int = 20_000, seed: int = 42) -> Model:
     rng = np.random.default_rng(seed)
     templates = [(f, i, grams_of(plain(words_of(t)), 2)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
     sizes = [len(words_of(t)) for ts in TEMPLATES.values() for t in ts]
     strange = [w for w in map(words_of, corpus_lines) if w and max(resemblance(t, grams_of(plain(w), 2)) for _, _, t in templates) < 0.5]
     alike = [words_of(t) for t in ALIKE]
     filler = sorted({w for line in [*strange, *alike] for w in line}) or [b"text"]
+    families = Counter(w for ts in TEMPLATES.values() for w in {w for t in ts for w in words_of(t)})
+    own_words = {w for w, n in families.items() if n == 1}  # what tells one family from the others
     examples: list[tuple[list[bytes], int]] = [(w, 0) for w in strange]
     for k, family in enumerate(FAMILIES):
         for words in alike if family == UNKNOWN else map(words_of, TEMPLATES[family]):
             examples.append((words, k))
-            examples += [(_varied(words, filler, rng), k) for _ in range(copies)]
+            examples += [(_varied(words, filler, own_words, rng), k) for _ in range(copies)]
     order = rng.permutation(len(examples))
     grams = [grams_of(level(examples[i][0])) for i in order]
     y = np.array([examples[i][1] for i in order])
     cut = len(order) * 4 // 5
     seen = Counter(g for own in grams[:cut] for g in own)
-    wanted = {g for ts in TEMPLATES.values() for t in ts for g in grams_of(level(words_of(t)))} | {g for w in alike for g in grams_of(level(w))}
-    index = {g: i for i, g in enumerate(sorted(g for g in wanted if seen[g] >= 2))}
-    rows = [np.array([index[g] for g in own if g in index], np.int64) for own in grams]
-    x = np.zeros((len(rows), len(index)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
+    index = {g: i for i, g in enumerate(sorted(sorted((g for g in seen if seen[g] >= 2), key=lambda g: (-seen[g], g))[:features]))}
+    rows = [np.array(sorted(index[g] for g in own if g in index), np.int64) for own in grams]
+    x, unseen = _Sparse(rows[:cut], len(index)), _Sparse(rows[cut:], len(index))
     kinds = len(FAMILIES)
     target = np.eye(kinds, dtype=np.float32)[y]
     share = np.sqrt(np.bincount(y[:cut], minlength=kinds).astype(np.float32) + 1)
@@ -248,28 +279,30 @@ def train(corpus_lines: list[str], confirm: float = 0.75, threshold: float = 0.5
     w, b = np.zeros((len(index), kinds), np.float32), np.zeros(kinds, np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        z = x[:cut] @ w + b
+        z = x.times(w) + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         e = (p - target[:cut]) * weight / cut
-        g = x[:cut].T @ e + 1e-5 * w
+        g = x.transposed_times(e) + 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         b -= 2.0 * e.sum(axis=0)
-    z = x[cut:] @ w + b
+    z = unseen.times(w) + b
 
     def loss(t: float) -> float:
         s = z / t - (z / t).max(axis=1, keepdims=True)
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), y[cut:]]).mean())
 
     temperature = min(np.geomspace(0.25, 8, 41), key=loss)
+    held = np.exp(z / temperature - (z / temperature).max(axis=1, keepdims=True))
+    held /= held.sum(axis=1, keepdims=True)
     common = Counter(word for line in strange for word in set(line))
     anchors: dict[bytes, list[int]] = {}
     for n, (_, _, t) in enumerate(templates):
         own = sorted((g[0] for g in t if len(g) == 1), key=lambda word: (common[word], word))
         for word in own[: int((1 - confirm) * len(own)) + 1]:  # without these a line has less than the confirming share
             anchors.setdefault(word, []).append(n)
-    return Model(index, w, b, float(temperature), templates, frozenset(anchors), anchors, sizes, confirm, threshold)
+    return Model(index, w, b, float(temperature), templates, frozenset(anchors), anchors, sizes, confirm, threshold, (held, y[cut:]))
 
 
 def sample_lines(documents: DataFrame, lines: int = 3000, documents_read: int = 1000) -> list[str]:
@@ -285,7 +318,7 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     spark = documents.sparkSession
     prepare(spark)
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = spark.sparkContext.broadcast(model or train(sample_lines(source)))
+    held = spark.sparkContext.broadcast(replace(model or train(sample_lines(source)), unseen=None))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         notices = held.value.notices
@@ -297,4 +330,4 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
         types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "paragraph", "family", "template", "probability", "resemblance"])
 
-    return source.mapInArrow(by_batch(each), "doc_id long, paragraph int, family string, template int, probability double, resemblance double")
+    return spread(source).mapInArrow(by_batch(each), "doc_id long, paragraph int, family string, template int, probability double, resemblance double")
