@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import by_batch, free_name, prepare
+from halyard.llm.common import by_batch, prepare, spread
 
 DIMENSIONS, LETTERS, SEED = 1024, 64, 42
 UNDETERMINED = "und"
@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 def _letters() -> np.ndarray:
     """Letter number of each code point: 0 for what is no letter, 1 to 26 for a to z, others dealt out by a hash; case is folded."""
     numbers = np.zeros(0x110000, np.int16)
-    for c in range(0x30000):
+    for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
             low = ord(x.lower()[0])
@@ -47,11 +47,17 @@ def _vectors() -> tuple[np.ndarray, np.ndarray]:
     return pairs.reshape(LETTERS * LETTERS, DIMENSIONS), letters
 
 
+def _sequence(text: str | None) -> np.ndarray:
+    return _letters()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(_sequence(text).any())
+
+
 def encode(text: str | None) -> np.ndarray | None:
     """The bundle of the text's trigrams of letters and gaps; None without a letter."""
-    if not text:
-        return None
-    seq = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    seq = _sequence(text)
     if not seq.any():
         return None
     seq = np.concatenate([[0], seq, [0]]).astype(np.int64)
@@ -86,7 +92,7 @@ def train(documents: DataFrame, sample_rows: int = 20_000, scale: int = 1 << 20)
         for lang, v in sums.items():
             yield pa.record_batch([pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(v)], names=["lang", "i", "v"])
 
-    rows = wanted.select("text", "lang").mapInArrow(bundle, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    rows = spread(wanted.select("text", "lang")).mapInArrow(bundle, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     names = sorted({r["lang"] for r in rows})
     out = np.zeros((len(names), DIMENSIONS))
     for r in rows:
@@ -118,7 +124,7 @@ def predict(documents: DataFrame, names: list[str], prototypes: np.ndarray, lang
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    return source.mapInArrow(by_batch(each), StructType([*kept, StructField(lang, StringType()), StructField(score, DoubleType())]))
+    return spread(source).mapInArrow(by_batch(each), StructType([*kept, StructField(lang, StringType()), StructField(score, DoubleType())]))
 
 
 def identify(documents: DataFrame, sample_rows: int = 20_000) -> DataFrame:
@@ -130,7 +136,24 @@ def identify(documents: DataFrame, sample_rows: int = 20_000) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """The documents whose language can be told: those of a text without letters go."""
-    model = train(documents.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), sample_rows)
-    lang, score = free_name(documents, "_lang"), free_name(documents, "_score")
-    return predict(documents, *model, lang, score).where(F.col(lang) != UNDETERMINED).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The documents with a letter, whose lang is the language that their text has; those without a letter go.
+
+    Where no language is known to learn from, or a bundle is all zeros, lang stays as it was.
+    """
+    prepare(documents.sparkSession)
+    names, prototypes = train(documents.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), sample_rows)
+    schema, columns = documents.schema, documents.columns
+    at, of = columns.index("text"), columns.index("lang")
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stay, langs = [], batch.column(of).to_pylist()
+        for i, text in enumerate(batch.column(at)):
+            v = encode(text.as_py())
+            stay.append(v is not None)
+            if names and v is not None and v.any():
+                langs[i] = names[int(np.argmax(prototypes @ v))]
+        own = list(batch.columns)
+        own[of] = pa.array(langs, own[of].type)
+        return pa.record_batch(own, names=batch.schema.names).filter(pa.array(stay, pa.bool_()))
+
+    return spread(documents).mapInArrow(by_batch(each), schema)
