@@ -1,8 +1,10 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of all test items.
 
 The automaton is built on the driver from the benchmark, whose size is checked: items are put into shards of at most
-`shard_words` words, so each automaton has a bounded number of states. A larger benchmark makes more shards, one after the other:
-each is a pass over the documents whose hits are written beside them, so neither the driver nor a worker holds two at a time. Documents are streamed past it batch by batch: the length of the longest suffix of the
+`shard_words` words, so each automaton has a bounded number of states; workers get it as flat sorted arrays. A larger benchmark
+makes more shards, one after the other: each is a pass over the texts that writes the hits alone, by two hashes of doc_id and text,
+which are few; the last pass meets the hits of the others in a join, so neither the driver nor a worker holds two automata at a
+time and documents are never rewritten. Documents are streamed past it batch by batch: the length of the longest suffix of the
 words read that occurs in some item is tracked, and where it reaches a window its words are hit. Runs of words too short to
 hold a window, or without the pairs of words that every window consists of, are skipped beforehand; a skipped word cannot end
 or begin a match, so the tracked lengths of all others that matter are as in a full pass.
@@ -10,7 +12,7 @@ or begin a match, so the tracked lengths of all others that matter are as in a f
 A window is `window` consecutive words of an item; a shorter item, if it has words, is one window.
 
 Cases: null has no words; a document without words has no hits and is not contaminated; items without words never occur;
-repeated items and item_ids count once; an empty benchmark or table gives no hits or rows; columns beside the named ones are
+repeated items and item_ids count once; items without an id hit, but are neither counted nor named; an empty benchmark or table gives no hits or rows; columns beside the named ones are
 carried through by decontaminate() untouched.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import by_batch, free_name, prepare, written
+from halyard.llm.common import by_batch, free_name, prepare, spread, written
 
 #: Lower-cases A-Z, keeps digits, a-z and all bytes above 0x7F, and makes any other byte a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -40,14 +43,15 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; next-state tables are dictionaries keyed by state and word together."""
+    """Suffix automaton of several word sequences; transitions are sorted arrays of state and word together, and of the next state."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.words: dict[bytes, int] = {}
-        self.length, self.link, self.next = array("q", [0]), array("q", [-1]), {}
-        out: list[list[int]] = [[]]
-        named: list[tuple[str, list[int]]] = []
+        self.length, self.link = array("q", [0]), array("q", [-1])
+        self.next: dict[int, int] = {}  # while it is built: (state << 32 | word) -> state
+        out: list[array] = [array("l")]
+        named: list[tuple[str | None, list[int]]] = []
         for item_id, words in items:
             if words:
                 ids = [self.words.setdefault(w, len(self.words) + 1) for w in words]
@@ -56,44 +60,55 @@ class Automaton:
                 for w in ids:
                     last = self._extend(last, w, out)
         self._mark(named)
+        keys = np.fromiter(self.next.keys(), np.int64, len(self.next))
+        order = np.argsort(keys, kind="stable")
+        self.keys = array("q", keys[order].tobytes())
+        self.targets = array("q", np.fromiter(self.next.values(), np.int64, len(self.next))[order].tobytes())
+        self.next = {}
 
-    def _extend(self, last: int, word: int, out: list[list[int]]) -> int:
+    def _extend(self, last: int, word: int, out: list[array]) -> int:
         """The state of the sequence read so far and word, made if there is none; out: words with a transition, by state."""
         step = self.next
-        there = step.get((last, word))
+        there = step.get(last << 32 | word)
         if there is not None and self.length[there] == self.length[last] + 1:
             return there
         if there is None:
             made = self._state(self.length[last] + 1, out)
             p = last
-            while p != -1 and (p, word) not in step:
-                step[p, word] = made
+            while p != -1 and (p << 32 | word) not in step:
+                step[p << 32 | word] = made
                 out[p].append(word)
                 p = self.link[p]
-            self.link[made] = 0 if p == -1 else self._split(p, step[p, word], word, out)
+            self.link[made] = 0 if p == -1 else self._split(p, step[p << 32 | word], word, out)
             return made
         return self._split(last, there, word, out)
 
-    def _split(self, p: int, q: int, word: int, out: list[list[int]]) -> int:
+    def _split(self, p: int, q: int, word: int, out: list[array]) -> int:
         """q itself if it holds just what p and word spell, else a copy of q for the shorter of what it held."""
         if self.length[q] == self.length[p] + 1:
             return q
         copy = self._state(self.length[p] + 1, out)
-        out[copy] = list(out[q])
+        out[copy] = out[q][:]
         for w in out[q]:
-            self.next[copy, w] = self.next[q, w]
+            self.next[copy << 32 | w] = self.next[q << 32 | w]
         self.link[copy], self.link[q] = self.link[q], copy
-        while p != -1 and self.next.get((p, word)) == q:
-            self.next[p, word] = copy
+        while p != -1 and self.next.get(p << 32 | word) == q:
+            self.next[p << 32 | word] = copy
             p = self.link[p]
         return copy
 
-    def _state(self, length: int, out: list[list[int]]) -> int:
+    def _state(self, length: int, out: list[array]) -> int:
         self.length.append(length)
         self.link.append(-1)
-        out.append([])
+        out.append(array("l"))
         return len(self.length) - 1
 
+    def after(self, state: int, word: int) -> int:
+        """The next state, -1 if there is none."""
+        key = state << 32 | word
+        at = bisect_left(self.keys, key)
+        return self.targets[at] if at < len(self.keys) and self.keys[at] == key else -1
+
     def _mark(self, items: list[tuple[str | None, list[int]]]) -> None:
         """ends: state -> (window length, items) for each state that holds a whole window; above: the nearest such state up the links."""
         ends: dict[int, tuple[int, set[str]]] = {}
@@ -105,7 +120,7 @@ class Automaton:
             pairs.update(a << 32 | b for a, b in zip(ids, ids[1:], strict=False))
             state = 0
             for i, w in enumerate(ids):
-                state = self.next[state, w]
+                state = self.next[state << 32 | w]
                 if i + 1 >= size:
                     v = state
                     while self.length[self.link[v]] >= size:
@@ -154,14 +169,16 @@ class Automaton:
         return [(int(a), int(b) + 1) for a, b in zip(edge[::2], edge[1::2], strict=True) if b + 1 - a >= self.shortest]
 
     def _stream(self, ids: list[int], base: int, spans: list[tuple[int, int]], items: set[str]) -> None:
-        step, link, lengths, ends, above = self.next, self.link, self.length, self.ends, self.above
+        after, link, lengths, ends, above = self.after, self.link, self.length, self.ends, self.above
         state = matched = 0
         for i, w in enumerate(ids):
-            while state and (state, w) not in step:
+            there = after(state, w)
+            while there < 0 and state:
                 state = link[state]
                 matched = lengths[state]
-            if (state, w) in step:
-                state = step[state, w]
+                there = after(state, w)
+            if there >= 0:
+                state = there
                 matched += 1
             v = state if state in ends else above[state]
             while v > 0:
@@ -198,7 +215,7 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _last_pass(documents: DataFrame, benchmark: DataFrame, window: int, shard_words: int):
-    """documents with the hits of all shards but the last in two more columns, and a function that finds all hits of a batch.
+    """documents with the hits of all shards but the last in two more columns if there are several, and a function that finds all hits of a batch.
 
     The function gives for each row its words' number, the spans that are hit and the items that occur.
     """
@@ -206,38 +223,51 @@ def _last_pass(documents: DataFrame, benchmark: DataFrame, window: int, shard_wo
     prepare(spark)
     at = documents.columns.index("text")
     width = len(documents.columns)
-    names = [free_name(documents, "_spans"), free_name(documents, "_items")]
-    kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())]
     parts = shards(benchmark, shard_words)
     own = next(parts)
-
-    def finder(held):
-        def find(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-            earlier = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True) if batch.num_columns > width else repeat((None, None))
-            for text, (spans, items) in zip(batch.column(at), earlier, strict=False):
-                words = words_of(text.as_py())
-                found, occur = held.value.hits(words)
-                if spans:
-                    found = merged([*found, *map(tuple, spans)])
-                yield len(words), found, occur | set(items or ())
-
-        return find
-
+    key = [F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_g")]
+    schema = "_k long, _g long, spans array<array<int>>, items array<string>"
+    earlier: list[DataFrame] = []
     for following in parts:
-        find = finder(spark.sparkContext.broadcast(Automaton(own, window)))
-        schema = documents.select(*documents.columns[:width], F.lit(None).cast("array<array<int>>").alias(names[0]), F.lit(None).cast("array<string>").alias(names[1])).schema
-
-        def each(batch: pa.RecordBatch, find=find) -> pa.RecordBatch:
-            hits = list(find(batch))
-            new = [pa.array([[list(s) for s in spans] for _, spans, _ in hits], kinds[0]), pa.array([sorted(items) for _, _, items in hits], kinds[1])]
-            return pa.record_batch([*batch.columns[:width], *new], names=[*batch.schema.names[:width], *names])
-
-        documents = written(documents.mapInArrow(by_batch(each), schema))
+        held = spark.sparkContext.broadcast(Automaton(own, window))
+
+        def hits(batch: pa.RecordBatch, held=held) -> pa.RecordBatch | None:
+            found = [(i, *held.value.hits(words_of(t.as_py()))) for i, t in enumerate(batch.column(2))]
+            found = [(i, spans, items) for i, spans, items in found if spans]
+            if not found:
+                return None
+            rows, spans, items = zip(*found, strict=True)
+            spans = pa.array([[list(x) for x in s] for s in spans], pa.list_(pa.list_(pa.int32())))
+            columns = [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            return pa.record_batch(columns, names=["_k", "_g", "spans", "items"])
+
+        found = spread(documents.select(*key, "text")).mapInArrow(by_batch(hits), schema)
+        earlier.append(written(found.groupBy("_k", "_g").agg(F.any_value("spans").alias("spans"), F.any_value("items").alias("items"))))  # copies have equal hits
+        held.unpersist()
         own = following
-    return documents, finder(spark.sparkContext.broadcast(Automaton(own, window)))
+    if earlier:
+        whole = earlier[0]
+        for part in earlier[1:]:
+            whole = whole.unionByName(part)
+        spans, items, k, g = (free_name(documents, x) for x in ("_spans", "_items", "_k", "_g"))
+        # One row a shard and text.
+        by_text = written(whole.groupBy(F.col("_k").alias(k), F.col("_g").alias(g)).agg(F.flatten(F.collect_list("spans")).alias(spans), F.flatten(F.collect_list("items")).alias(items)))
+        documents = documents.withColumns({k: key[0], g: key[1]}).join(by_text, [k, g], "left").select(*[F.col(f"`{c}`") for c in documents.columns], spans, items)
+    held = spark.sparkContext.broadcast(Automaton(own, window))
+
+    def find(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+        before = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True) if batch.num_columns > width else repeat((None, None))
+        for text, (spans, items) in zip(batch.column(at), before, strict=False):
+            words = words_of(text.as_py())
+            found, occur = held.value.hits(words)
+            if spans:
+                found = merged([*found, *map(tuple, spans)])
+            yield len(words), found, occur | set(items or ())
+
+    return documents if earlier else spread(documents), find
 
 
-def report(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 200_000) -> DataFrame:
+def report(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 500_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words > 0 and a hit) per document."""
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source, find = _last_pass(source, benchmark, window, shard_words)
@@ -263,7 +293,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 200_000) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 500_000) -> DataFrame:
     """documents without contaminated rows, and the rest without the spans of words inside windows; untouched texts stay as they are.
 
     Column n_chars, where there is one, follows the text.
@@ -292,3 +322,28 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13,
         return pa.record_batch(columns, names=batch.schema.names[:width]).filter(pa.array(stay))
 
     return source.mapInArrow(by_batch(each), schema)
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (
+  SELECT *, least(13, len(w)) AS size FROM i WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda p: array_to_string(w[p : p + size - 1], ' '))) AS s FROM sized
+), places AS (
+  SELECT r, size, unnest(list_transform(range(1, len(w) - size + 2), lambda p: {'p': p, 's': array_to_string(w[p : p + size - 1], ' ')})) AS x
+  FROM d JOIN (SELECT DISTINCT size FROM windows) ON len(w) >= size
+), hits AS (
+  SELECT r, x.p AS p, places.size, item_id FROM places JOIN windows ON places.size = windows.size AND x.s = windows.s
+), words AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + size)) AS q FROM (SELECT DISTINCT r, p, size FROM hits)) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS digest FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
