@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import by_batch, prepare
+from halyard.llm.common import by_batch, prepare, spread
 from halyard.llm.langid import held_out
 
 CHUNK, HOP, WIDTH, STRIDE = 192, 168, 8, 2
@@ -150,7 +150,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, samp
     share = min(1.0, sample_rows / max(total, 1))
     wanted = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = documents.where(~held_out(F.col("doc_id"), 5, 0)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "text")
-    rows = texts.join(wanted, "doc_id").where(F.length("text") <= sample_chars).limit(4 * sample_rows).collect()  # about sample_rows; the limit only bounds the driver
+    # About sample_rows; should doc_ids repeat much, those with the smallest hashes, so that the driver's share is bounded all the same.
+    rows = texts.join(wanted, "doc_id").where(F.length("text") <= sample_chars).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "_y", "text").limit(2 * sample_rows).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["_y"], r["text"]))
     y = np.array([r["_y"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
@@ -166,7 +167,7 @@ def score(documents: DataFrame, model: Network | float) -> DataFrame:
         found = [model if isinstance(model, float) else model.score(t.as_py()) for t in batch.column(1)]
         return pa.record_batch([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(by_batch(each), "doc_id long, score double")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(by_batch(each), "doc_id long, score double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
