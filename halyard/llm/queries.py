@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op10_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op4_decontamination": decontam.SQL, "op5_suffix_array_dedup": suffixdedup.SQL, "op10_line_dedup": linededup.SQL}

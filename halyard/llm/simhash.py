@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import by_batch, connected_components, free_name, prepare, written
+from halyard.llm.common import by_batch, connected_components, free_name, prepare, spread, written
 
 BLOCK, TILE = 32768, 1024
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -53,7 +53,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42) -> Data
         found = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
         return pa.record_batch([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_batch(each), "doc_id long, fp long")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(by_batch(each), "doc_id long, fp long")
 
 
 def quarter_counts(fps: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import prepare, written
+from halyard.llm.common import prepare, spread, written
 
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -121,7 +121,7 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
                     out[3].append(np.full(len(at), doc_id, np.int64))
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["gram", "mark", "at", "doc_id"])
 
-    rows = written(source.mapInArrow(anchors, "gram long, mark long, at int, doc_id long"))
+    rows = written(spread(source).mapInArrow(anchors, "gram long, mark long, at int, doc_id long"))
     texts = rows.where("at < 0").select("doc_id", "mark", (-1 - F.col("at")).alias("n_words"))
     kept = rows.where("at >= 0").select("gram", "mark", "at")
     # Written, so that the join below has a shuffle of its own on both sides and adaptive execution can split a hot k-gram.
@@ -270,3 +270,19 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
     return each.select("doc_id", "n_words", F.explode(F.when(F.col("copied"), whole).otherwise(F.col("s"))).alias("e")).select(
         "doc_id", F.col("e.start").cast("long").alias("start_word"), F.col("e.end").cast("long").alias("end_word"), F.col("n_words").cast("long").alias("n_words")
     )
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\x0c\r]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), places AS (
+  SELECT doc_id, len(w) AS n_words, unnest(list_transform(range(0, len(w) - 49), lambda p: {'p': p, 's': array_to_string(w[p + 1 : p + 50], ' ')})) AS x FROM d WHERE len(w) >= 50
+), shared AS (
+  SELECT x.s AS s FROM places GROUP BY x.s HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, n_words, x.p AS p, x.p - lag(x.p) OVER (PARTITION BY doc_id ORDER BY x.p) AS gap FROM places JOIN shared ON x.s = shared.s
+), passages AS (
+  SELECT *, count(*) FILTER (WHERE gap IS NULL OR gap > 50) OVER (PARTITION BY doc_id ORDER BY p) AS passage FROM hits
+)
+SELECT doc_id, CAST(min(p) AS BIGINT) AS start_word, CAST(max(p) + 50 AS BIGINT) AS end_word, CAST(min(n_words) AS BIGINT) AS n_words FROM passages GROUP BY doc_id, passage
+"""

@@ -45,6 +45,51 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_letters_of_all_planes():
+    assert langid.has_letter("\U00030001\U00030002") and langid.encode("\U00030001") is not None
+    assert not langid.has_letter("12 -- \U0001f600") and not langid.has_letter(None) and not langid.has_letter("")
+
+
+def test_predictions_against_plain_loops(spark):
+    """The nearest prototype by the definition, component by component."""
+    rng = np.random.default_rng(3)
+    names = ["aa", "bb", "cc"]
+    prototypes = rng.normal(size=(3, langid.DIMENSIONS)).astype(np.float32)
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    texts = ["Of the reeshe", "Èlelean est rean", "x", "the THE the, the", "Ümlaut und mehr, viel mehr " * 20, "1", None]
+    letters = langid._vectors()[1].astype(int).tolist()
+    d = langid.DIMENSIONS
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), names, prototypes).orderBy("doc_id").collect()
+    for text, row in zip(texts, got, strict=True):
+        seq = [0]
+        for c in (text or "") + " ":
+            n = int(langid._letters()[ord(c)])
+            if n or seq[-1]:
+                seq.append(n)
+        if not any(seq):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        total = [0] * d
+        for a, b, c in zip(seq, seq[1:], seq[2:], strict=False):
+            for j in range(d):
+                total[j] += letters[a][(j - 2) % d] * letters[b][(j - 1) % d] * letters[c][j]
+        length = sum(x * x for x in total) ** 0.5
+        cosines = [sum(float(p) * x for p, x in zip(own, total, strict=True)) / length for own in prototypes]
+        best = max(range(3), key=lambda i: cosines[i])
+        assert row["lang_pred"] == names[best] and row["score"] == pytest.approx(max(0.0, cosines[best]), abs=1e-5)
+
+
+def test_stage_writes_the_language_and_keeps_what_has_letters(spark):
+    rows = [(i, ("der die das und nicht " if i % 2 else "the and that with this ") * 5, None if i > 50 else "de" if i % 2 else "en") for i in range(60)]
+    df = spark.createDataFrame([*rows, (100, "12 !", "en"), (101, None, "en")], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["lang"] for r in langid.keep_identified(df).collect()}
+    assert out == {i: "de" if i % 2 else "en" for i in range(60)}
+    unlabelled = langid.keep_identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r["doc_id"] for r in unlabelled} == set(range(60)) and {r["lang"] for r in unlabelled} == {None}
+    assert langid.keep_identified(df.limit(0)).count() == 0
+    assert langid.keep_identified(df.where("doc_id >= 100")).count() == 0
+
+
 @pytest.fixture(scope="module")
 def graded(spark, middle):
     docs, labels = (spark.read.parquet(f"{middle}/{t}.parquet") for t in ("documents", "labels"))
@@ -79,6 +124,7 @@ def test_quality_gradients_are_those_of_the_loss():
     net = quality.Network.fresh(1)
     for p in net.parameters():
         p += rng.normal(0, 0.05, p.shape).astype(np.float32)
+    net = quality.Network(*[p.astype(np.float64) for p in net.parameters()])
     docs = [quality.to_chunks(quality.to_bytes(t)) for t in ("some text of words " * 30, "OTHER!! " * 20)]
     y = np.array([1.0, 0.0], np.float32)
 
@@ -89,14 +135,39 @@ def test_quality_gradients_are_those_of_the_loss():
             out.append(1 / (1 + np.exp(-z)))
         return -np.mean([np.log(p if t else 1 - p) for p, t in zip(out, y, strict=True)])
 
-    for p, g in zip(net.parameters()[3:], quality._gradients(net, docs, y)[3:], strict=True):
-        i = np.unravel_index(np.abs(g).argmax(), g.shape)
-        p[i] += 1e-2
-        up = loss()
-        p[i] -= 2e-2
-        down = loss()
-        p[i] += 1e-2
-        assert (up - down) / 2e-2 == pytest.approx(g[i], rel=0.15, abs=1e-3)
+    for p, g in zip(net.parameters(), quality._gradients(net, docs, y), strict=True):
+        assert np.abs(g).max() > 0
+        for i in (np.unravel_index(k, g.shape) for k in np.argsort(-np.abs(g), axis=None)[:5]):
+            p[i] += 1e-5
+            up = loss()
+            p[i] -= 2e-5
+            down = loss()
+            p[i] += 1e-5
+            assert (up - down) / 2e-5 == pytest.approx(g[i], rel=0.02, abs=1e-5)
+
+
+def test_scores_against_plain_loops():
+    """The network's probability by its definition, byte by byte."""
+    net = quality.Network.fresh(4)
+    for text in ("", "short", "Some words of text, some more! " * 20):
+        data = list(text.encode())
+        units = [0.0] * quality.HIDDEN
+        start = 0
+        while True:
+            chunk = (data[start : start + quality.CHUNK] + [0] * quality.CHUNK)[: quality.CHUNK]
+            pooled = []
+            for f in range(quality.FILTERS):
+                responses = []
+                for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                    responses.append(sum(float(net.embedding[chunk[at + i], e]) * float(net.filters[i * quality.EMBEDDED + e, f]) for i in range(quality.WIDTH) for e in range(quality.EMBEDDED)))
+                pooled.append(max(0.0, max(responses) + float(net.filter_bias[f])))
+            for h in range(quality.HIDDEN):
+                units[h] = max(units[h], sum(p * float(net.hidden[f, h]) for f, p in enumerate(pooled)) + float(net.hidden_bias[h]))
+            start += quality.HOP
+            if start + quality.CHUNK - quality.HOP >= len(data):
+                break
+        z = sum(u * float(w) for u, w in zip(units, net.out, strict=True)) + float(net.out_bias[0])
+        assert net.score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
 
 
 def test_quality_of_odd_rows(spark, graded):
@@ -166,8 +237,54 @@ def test_license_scan_of_a_table(spark, notices, middle):
     docs = spark.read.parquet(f"{middle}/documents.parquet")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     want = lines.where("line rlike '^(Released under the MIT License|This work is licensed under the GNU General Public License, version 3|Licensed under CC BY-NC 4.0|Licensed under the Apache License, Version 2.0)[.]$'")
-    found = {(r["doc_id"], r["paragraph"]) for r in queries.op2_license_scan(spark, middle).where("family != 'Proprietary'").collect()}
+    rows = queries.op2_license_scan(spark, middle).collect()
+    found = {(r["doc_id"], r["paragraph"]) for r in rows if r["family"] != "Proprietary"}
     assert found == {(r["doc_id"], r["p"]) for r in want.collect()} and found
+    reserved = {(r["doc_id"], r["p"]) for r in lines.where("lower(line) like '%all rights reserved%'").collect()}
+    assert {(r["doc_id"], r["paragraph"]) for r in rows if r["family"] == "Proprietary"} == reserved and reserved
+    twice = spark.createDataFrame([(7, "All rights reserved.")] * 2, "doc_id long, text string")
+    assert [(r["doc_id"], r["family"]) for r in licenses.scan(twice, notices).collect()] == [(7, "Proprietary")] * 2
+    long = "word " * 50_000 + "\nThis file is made available under the terms of the MIT license.\n" + "word " * 50_000
+    assert [r["family"] for r in licenses.scan(spark.createDataFrame([(1, long)], "doc_id long, text string"), notices).collect()] == ["MIT"]
+
+
+ALTERED = [
+    ("This file is made available under the terms of the MIT license.", "MIT"), ("The code is released under the MIT License, see below.", "MIT"), ("Permission is hereby granted, free of charge, to any person who obtains a copy of this software", "MIT"),
+    ("You may not use these files except in compliance with the Apache License, Version 2.0.", "Apache"), ("All of it is licensed under the Apache License.", "Apache"),
+    ("The work is licensed under the GNU General Public License.", "GPL"), ("you can redistribute it and/or modify it under the terms of the GNU General Public License version 2", "GPL"),
+    ("Licensed under the GNU Lesser General Public License.", "LGPL"), ("It is licensed under the GNU Affero General Public License version 3 or later.", "AGPL"),
+    ("Licensed under the BSD License.", "BSD"), ("Redistribution and use in source and binary forms are permitted provided that the following conditions are met", "BSD"),
+    ("This file is subject to the terms of the Mozilla Public License.", "MPL"), ("Permission to use, copy, modify, and distribute this software for any purpose is hereby granted", "ISC"),
+    ("The text is licensed under a Creative Commons Attribution International License.", "CC-BY"), ("This article is licensed under a Creative Commons Attribution-ShareAlike License.", "CC-BY-SA"),
+    ("This image is licensed under a Creative Commons Attribution-NonCommercial License.", "CC-BY-NC"), ("This image is licensed under a Creative Commons Attribution-NoDerivatives License.", "CC-BY-ND"),
+    ("This is free software released into the public domain.", "Unlicense"), ("Copyright 2020 by the author. All rights reserved worldwide.", "Proprietary"),
+]
+
+
+def test_altered_wording_is_found_and_the_classifier_decides(notices):
+    for text, family in ALTERED:
+        found = notices.scan(text)
+        assert found is not None and found[0] == family, text
+        assert [n[1] for n in notices.notices(text)] == [family]
+
+    def by_template(text):
+        own = licenses.grams_of(licenses.plain(licenses.words_of(text)), 2)
+        return {f for f, _, t in notices.templates if licenses.resemblance(t, own) >= notices.confirm}
+
+    exact = [(t, f) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    assert sum(len(by_template(t)) > 1 for t, _ in [*ALTERED, *exact]) >= 8  # so many that templates alone can't tell
+    none = ["Permission is hereby granted by the owner to any person of this house.", "The terms of the general public are subject to the source.", "He redistributed the copy in the public domain of the city."]
+    assert all(notices.scan(t) is None for t in none)
+
+
+def test_probabilities_are_calibrated(notices):
+    p, y = notices.unseen
+    assert len(y) > 100 and (p.argmax(axis=1) == y).mean() > 0.95
+    top, right = p.max(axis=1), p.argmax(axis=1) == y
+    error = sum(abs(top[own].mean() - right[own].mean()) * own.mean() for own in (top < 0.6, (top >= 0.6) & (top < 0.9), top >= 0.9) if own.any())
+    assert error < 0.05
+    unknown = y == 0
+    assert ((p[unknown, 0] > 0.5).mean()) > 0.95 and (p[~unknown, 0] > 0.5).mean() < 0.05
 
 
 PAGES = [
