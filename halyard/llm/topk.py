@@ -7,13 +7,14 @@ is negative) bounds every score in the block. Each query visits blocks in fallin
 forward index, and stops when the next sum falls below its k-th best score so far; a block that could only tie is still
 visited, since ties go to the smaller id.
 
-Queries are packed into tiles. A tile meets all segments in `lanes` streams, so that work for one tile is spread too; a task
-holds one tile, its current best rows and `held` segments, whatever the table's size. Each stream returns k rows for each
-query, which a window merges.
+Queries are packed into tiles, segments dealt into chunks of `chunk_bytes`. A task holds one chunk and streams all tiles past it
+(the stated queries against all rows, in blocks): the table is shuffled once, the queries once for each chunk, and what a task
+holds is bounded by its chunk and one tile, whatever the size of either table. Each chunk returns k rows for each query; a window
+merges them, after each task of its input has kept its own k best.
 
 Cases: a vector that is null, empty, or holds a null or a non-finite component takes no part; a null id neither; weights and
-scores are exact in 64 bits, and what does not fit there is an error, as in SQL; vectors of different lengths are compared as if filled up with zeros; rows with the query's
-own id are no candidates; repeated rows are separate candidates and separate queries; fewer than k candidates give all of them;
+scores are exact in 64 bits, and what does not fit there is an error, as in SQL; vectors of different lengths are compared as if
+filled up with zeros; rows with the query's own id are no candidates; repeated rows are separate candidates and separate queries; fewer than k candidates give all of them;
 an empty table gives an empty result.
 """
 
@@ -95,8 +96,25 @@ def _pack(size: int, by_term: bool):
     return run
 
 
+class Blocks:
+    """The rows of a chunk as blocks, with the largest and smallest weight of each term."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows = ids, rows
+        self.starts = np.arange(0, len(rows), BLOCK)
+        self.most, self.least = np.maximum.reduceat(rows, self.starts), np.minimum.reduceat(rows, self.starts)
+        self.largest = max(int(rows.max(initial=0)), -int(rows.min(initial=0)), 1)
+        self.held: dict = {}
+
+    def of(self, kind, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and their bounds as numbers of a kind that holds all sums exactly."""
+        if (kind, width) not in self.held:
+            self.held = {(kind, width): tuple(_widen(x, width).astype(kind) for x in (self.rows, self.most, self.least))}
+        return self.held[kind, width]
+
+
 class Search:
-    """Best k rows of each query of a tile among the segments added so far."""
+    """Best k rows of each query of a tile among the blocks added so far."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
@@ -104,15 +122,14 @@ class Search:
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.scored = 0  # blocks scored, by query
 
-    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        width = max(rows.shape[1], self.queries.shape[1])
-        rows, queries = _widen(rows, width), _widen(self.queries, width)
-        largest = lambda a: max(int(a.max(initial=0)), -int(a.min(initial=0)), 1)
-        top = largest(rows) * largest(queries) * width
+    def add(self, blocks: Blocks) -> None:
+        ids, starts = blocks.ids, blocks.starts
+        width = max(blocks.rows.shape[1], self.queries.shape[1])
+        queries = _widen(self.queries, width)
+        top = blocks.largest * max(int(queries.max(initial=0)), -int(queries.min(initial=0)), 1) * width
         kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64 if top < 1 << 63 else object  # all exact
-        rows, queries = rows.astype(kind), queries.astype(kind)
-        starts = np.arange(0, len(rows), BLOCK)
-        most, least = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
+        queries = queries.astype(kind)
+        rows, most, least = blocks.of(kind, width)
         bounds = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
         order = np.argsort(-bounds, axis=1, kind="stable")
         alive = np.arange(len(queries))
@@ -154,7 +171,7 @@ class Search:
         self.found[who[touched]] = i[keep].reshape(-1, self.k)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, lanes: int = 8, held: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, chunk_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row of queries its k best rows of vectors (both: vec_id, embedding)."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -164,53 +181,45 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         return df.select(F.col("vec_id").cast("long").alias("id"), weights(F.col("embedding"), scale).alias("w")).where("id IS NOT NULL AND w IS NOT NULL")
 
     asked = sound(queries)
-    tiles = max(1, -(-asked.count() // TILE))
-    tile_rows = written(asked.repartition(tiles).mapInArrow(_pack(1 << 30, False), packed))
+    tile_rows = written(asked.repartition(max(1, -(-asked.count() // TILE))).mapInArrow(_pack(TILE, False), packed))
     segments = written(sound(vectors).mapInArrow(_pack(SEGMENT, True), packed))
-    lane = F.pmod(F.hash("task", "made"), F.lit(lanes))
-    # Every tile with its share of the segments: the stated queries against all rows, in blocks.
+    size = segments.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("data") + F.length("ids")), F.lit(0)).alias("b")).first()
+    cores = spark.sparkContext.defaultParallelism
+    chunks = max(1, min(size["n"], max(-(-size["b"] // chunk_bytes), cores)))  # a small table is spread over the cores
+    chunk = F.pmod(F.hash("task", "made"), F.lit(chunks))
     stream = (
-        tile_rows.select(F.col("task").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("kind"), "task", "made", "ids", "width", "data")
-        .unionByName(segments.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), lane.alias("lane"), F.lit(1).alias("kind"), "task", "made", "ids", "width", "data"))
-        .repartition(tiles * lanes, "tile", "lane")
-        .sortWithinPartitions("tile", "lane", "kind", "task", "made")
+        segments.select(chunk.alias("chunk"), F.lit(0).alias("kind"), "task", "made", "ids", "width", "data")
+        .unionByName(tile_rows.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("kind"), "task", "made", "ids", "width", "data"))
+        .repartition(chunks, "chunk")
+        .sortWithinPartitions("chunk", "kind", "task", "made")
     )
 
     def run(batches):
-        search, key, wait = None, None, []
-
-        def add():
-            nonlocal wait
-            if wait and search is not None:
-                width = max(r.shape[1] for _, r in wait)
-                search.add(np.concatenate([i for i, _ in wait]), np.concatenate([_widen(r, width) for _, r in wait]))
-            wait = []
-
-        def out():
-            add()
-            if search is not None:
-                q, at = np.nonzero(search.found != np.iinfo(np.int64).max)
-                if len(q):
-                    yield pa.record_batch([pa.array(np.full(len(q), key[0], np.int32)), pa.array(q.astype(np.int32)), pa.array(search.ids[q]), pa.array(search.found[q, at]), pa.array(search.scores[q, at])], names=["tile", "row", "query_id", "vec_id", "score"])
-
+        key, blocks, wait = None, None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
                 ids = np.frombuffer(r["ids"], np.int64)
                 rows = _unpacked(len(ids), r["width"], r["data"])
-                if (r["tile"], r["lane"]) != key:
-                    yield from out()
-                    search, key = None, (r["tile"], r["lane"])
+                if r["chunk"] != key:
+                    key, blocks, wait = r["chunk"], None, []
                 if r["kind"] == 0:
-                    search = Search(ids, rows, k)
-                else:
                     wait.append((ids, rows))
-                    if len(wait) == held:
-                        add()
-        yield from out()
+                    continue
+                if wait:
+                    width = max(x.shape[1] for _, x in wait)
+                    blocks, wait = Blocks(np.concatenate([x for x, _ in wait]), np.concatenate([_widen(x, width) for _, x in wait])), []
+                if blocks is None:
+                    continue
+                search = Search(ids, rows, k)
+                search.add(blocks)
+                q, at = np.nonzero(search.found != np.iinfo(np.int64).max)
+                if len(q):
+                    tile = [pa.array(np.full(len(q), r[x], np.int32)) for x in ("task", "made")]
+                    yield pa.record_batch([*tile, pa.array(q.astype(np.int32)), pa.array(search.ids[q]), pa.array(search.found[q, at]), pa.array(search.scores[q, at])], names=["task", "made", "row", "query_id", "vec_id", "score"])
 
-    part = stream.mapInArrow(run, "tile int, row int, query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("tile", "row").orderBy(F.desc("score"), "vec_id"))
+    part = stream.mapInArrow(run, "task int, made int, row int, query_id long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("task", "made", "row").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -29,8 +29,19 @@ def test_top_k_against_brute_force(spark):
     rows += [(300, None), (301, []), (302, [1.0, None, 1, 1, 1, 1]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (305, [9.0]), (306, [-2.0] * 9), (None, [1.0] * 6), (307, [0.0] * 6), (308, [300.0, -5000.0, 1, 1, 1, 1])]
     rows = [(i, v and [x if x is None else float(x) for x in v]) for i, v in rows]
     df = spark.createDataFrame([(i, v, 1, 7, "x") for i, v in rows], V).repartition(3)
-    got = topk.top_k(df, df.where("vec_id % 20 = 0 OR vec_id > 299")).select("query_id", "rank", "vec_id", "score")
-    assert sorted(map(tuple, got.collect())) == brute_top(rows, {i for i, _ in rows if i is not None and (i % 20 == 0 or i > 299)})
+    for n in (1 << 30, 2000):  # one chunk, many chunks
+        got = topk.top_k(df, df.where("vec_id % 20 = 0 OR vec_id > 299"), chunk_bytes=n).select("query_id", "rank", "vec_id", "score")
+        assert sorted(map(tuple, got.collect())) == brute_top(rows, {i for i, _ in rows if i is not None and (i % 20 == 0 or i > 299)})
+
+
+def test_top_k_over_many_tiles_and_chunks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(200)]) for i in range(60)]  # long vectors too
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = topk.top_k(df, df, 7, chunk_bytes=1)
+    assert sorted(map(tuple, got.collect())) == sorted(
+        (q, n + 1, i, -s) for q, w in rows for n, (s, i) in enumerate(sorted((-sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(w, d, strict=True)), i) for i, d in rows if i != q)[:7])
+    )
 
 
 def test_top_k_of_little(spark):
@@ -46,7 +57,7 @@ def test_blocks_that_cannot_matter_are_not_scored():
     rows = np.concatenate([c + rng.integers(-3, 4, (topk.BLOCK, 8)) for c in centres]).astype(np.int32)
     ids = np.arange(len(rows))
     search = topk.Search(ids[::50], rows[::50], 5)
-    search.add(ids, rows)
+    search.add(topk.Blocks(ids, rows))
     assert search.scored < 2 * len(ids[::50])
     q = rows[::50][3]
     want = sorted((-int(s), int(i)) for i, s in zip(ids, rows @ q, strict=True) if i != ids[::50][3])[:5]
@@ -134,6 +145,19 @@ def test_large_components_take_part(spark):
     assert got == {(1, 1, 2, (16 << 56) + 256 * 64), (1, 2, 3, -(16 << 56) + 256 * 64)}
 
 
+def test_decontamination_sql(leaks):
+    import duckdb
+
+    docs, benchmark, _, _ = leaks
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", benchmark.toPandas())
+    rel = con.sql(decontam.SQL)
+    names = [d[0] for d in rel.description]
+    want = sorted((tuple(None if v != v else v for v in r) for r in rel.fetchall()), key=repr)
+    assert sorted((tuple(r[n] for n in names) for r in decontam.report(docs, benchmark).collect()), key=repr) == want
+
+
 def test_items_without_an_id_hit_but_are_not_named(leaks):
     docs, benchmark, _, items = leaks
     nameless = benchmark.withColumn("item_id", F.lit(None).cast("long"))
