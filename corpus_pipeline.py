@@ -5,17 +5,15 @@ Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Pa
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import decontam, langid, linededup, packing, queries, simhash
-from halyard.llm.common import shared_folder, table
+from halyard.llm.common import delete, new_path, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has letters; the others have no language and go."""
+    """Documents whose text has letters, with lang as their text has it; the others have no language and go."""
     return langid.keep_identified(docs)
 
 
@@ -54,10 +52,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = new_path(spark)
+        with scratch(spark):  # what the stage wrote for itself goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

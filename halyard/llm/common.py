@@ -65,14 +65,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Hadoop's file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def discard(df: DataFrame) -> None:
     """Delete what written() made for df, once nothing that is still to run reads it."""
-    _delete(df.sparkSession, df._written)
+    delete(df.sparkSession, df._written)
 
 
 @contextmanager
@@ -84,12 +85,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCOPES.pop()
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Delete all that written() made in this application; frames built on it end with it."""
-    _delete(spark, shared_folder(spark))
+    delete(spark, shared_folder(spark))
 
 
 def spread(df: DataFrame, bytes_each: int = 8 << 20) -> DataFrame:

@@ -2,11 +2,13 @@
 
 Fingerprints come from XXH64 of word shingles. Equal fingerprints are one row (a pre-aggregated minimum of doc_id), so copies
 never meet as pairs. The distinct fingerprints are sorted by population count and then by the population counts of their four
-16-bit quarters, and cut into blocks; blocks meet only where their population counts come within the radius (an equi-join on
-the count). In a block pair numpy compares tile by tile with exclusive-or and bit counts and skips every tile pair whose
-population counts, in whole or summed over the quarters, lie further apart than the radius: no linked pair can be there. Links
-of a block pair leave it only as a spanning forest (less than one edge a fingerprint), so a large group never emits its pairs.
-The forests are joined to components by star rounds over written tables. The comparison is exact and so quadratic in the number
+16-bit quarters, and cut into blocks; neighbouring blocks make chunks, at most `CHUNK` blocks each. Two chunks meet only where
+their population counts come within the radius (an equi-join on the count), and in one of the two by turns: a task holds a chunk
+and streams the blocks of the others past it, so fingerprints are shuffled once for each chunk that they meet, not once for each
+block. There numpy compares tile by tile with exclusive-or and bit counts and skips every tile pair whose population counts, in
+whole or summed over the quarters, lie further apart than the radius: no linked pair can be there. Links leave a task only as
+spanning forests, one for each block streamed (less than one edge a fingerprint), so a large group never emits its pairs. The
+forests are joined to components by star rounds over written tables. The comparison is exact and so quadratic in the number
 of distinct fingerprints, with the constant that the skipping leaves.
 
 Cases: a text that is null or has no word has fingerprint zero and links like any other; fewer words than a shingle: the whole
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import by_batch, connected_components, free_name, prepare, spread, written
 
-BLOCK, TILE = 32768, 1024
+BLOCK, TILE, CHUNK = 4096, 1024, 256
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -90,31 +92,26 @@ def _settle(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             labels = further
 
 
-def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two blocks (right None: within one): the two ends of each edge."""
+def block_links(left: np.ndarray, right: np.ndarray | None, radius: int, tiles: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two sorted arrays (right None: within one): the two ends of each edge. tiles: those of left."""
     nodes = left if right is None else np.concatenate([left, right])
     base, other = (0, left) if right is None else (len(left), right)
     labels = np.arange(len(nodes))
-    s, lo, hi, qlo, qhi = _tiles(left)
+    s, lo, hi, qlo, qhi = tiles or _tiles(left)
     t, lo2, hi2, qlo2, qhi2 = (s, lo, hi, qlo, qhi) if right is None else _tiles(right)
-    for x in range(len(s)):
-        near = np.maximum(lo2 - hi[x], lo[x] - hi2) <= radius
-        near &= np.maximum(0, np.maximum(qlo2 - qhi[x], qlo[x] - qhi2)).sum(axis=1) <= radius
-        if right is None:
-            near[:x] = False
-        a = left[s[x] : s[x] + TILE]
-        for y in np.flatnonzero(near):
-            b = other[t[y] : t[y] + TILE]
-            i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
-            if len(i):
-                labels = _settle(labels, s[x] + i, base + t[y] + j)
+    near = np.maximum(lo2[None] - hi[:, None], lo[:, None] - hi2[None]) <= radius
+    x, y = np.nonzero(near if right is not None else np.triu(near))
+    apart = np.maximum(0, np.maximum(qlo2[y] - qhi[x], qlo[x] - qhi2[y])).sum(axis=1)
+    for x, y in zip(x[apart <= radius].tolist(), y[apart <= radius].tolist(), strict=True):
+        i, j = np.nonzero(np.bitwise_count(left[s[x] : s[x] + TILE, None] ^ other[None, t[y] : t[y] + TILE]) <= radius)
+        if len(i):
+            labels = _settle(labels, s[x] + i, base + t[y] + j)
     child = np.flatnonzero(labels != np.arange(len(nodes)))
     return nodes[child], nodes[labels[child]]
 
 
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (a, b) that connect just the distinct fingerprints (column fp) that chains of links connect."""
-    schema = "block long, low int, high int, data binary"
 
     def cut(batches):
         from pyspark import TaskContext
@@ -125,9 +122,9 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         def out(part: np.ndarray) -> pa.RecordBatch:
             nonlocal made
             pops = np.bitwise_count(part)
-            row = [[(task << 32) + made], [int(pops.min())], [int(pops.max())], [part.tobytes()]]
+            row = [[task], [made], [int(pops.min())], [int(pops.max())], [part.tobytes()]]
             made += 1
-            return pa.record_batch([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int32()), pa.array(row[2], pa.int32()), pa.array(row[3], pa.binary())], names=["block", "low", "high", "data"])
+            return pa.record_batch([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["task", "made", "low", "high", "data"])
 
         for batch in batches:
             held = np.concatenate([held, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
@@ -138,24 +135,49 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             yield out(held)
 
     def compare(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                left = np.frombuffer(row["ldata"], np.uint64)
-                right = None if row["l"] == row["r"] else np.frombuffer(row["rdata"], np.uint64)
-                a, b = block_links(left, right, radius)
-                if len(a):
-                    yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def edges(a, b):
+            if len(a):
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        key, left, tiles, wait = None, _EMPTY, None, []
 
+        def settled():
+            nonlocal left, tiles, wait
+            if wait:
+                left, wait = np.concatenate(wait), []
+                tiles = _tiles(left)
+                yield from edges(*block_links(left, None, radius, tiles))
+
+        for batch in batches:
+            for chunk, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if chunk != key:
+                    yield from settled()
+                    key = chunk
+                block = np.frombuffer(data.as_py(), np.uint64)
+                if kind == 0:
+                    wait.append(block)
+                else:
+                    yield from settled()
+                    yield from edges(*block_links(left, block, radius, tiles))
+        yield from settled()
+
+    spark = distinct.sparkSession
     quarter = lambda i: F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")))
     keys = [F.bit_count("fp").alias("pop"), *[quarter(i).alias(f"q{i}") for i in range(3)]]
     order = ["pop", "q0", "q1", "q2", "fp"]
-    blocks = written(distinct.select("fp", *keys).repartitionByRange(*order).sortWithinPartitions(*order).select("fp").mapInArrow(cut, schema))
-    left = blocks.select(F.col("block").alias("l"), F.explode(F.sequence("low", F.col("high") + radius)).alias("pop"))
-    right = blocks.select(F.col("block").alias("r"), F.explode(F.sequence("low", "high")).alias("pop"))
-    pairs = left.join(right, "pop").where("l <= r").select("l", "r").distinct()
-    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    filled = pairs.join(blocks.select(F.col("block").alias("l"), F.col("data").alias("ldata")), "l").join(blocks.select(F.col("block").alias("r"), F.col("data").alias("rdata")), "r")
-    return filled.repartition(tasks).mapInArrow(compare, "a long, b long")
+    blocks = written(distinct.select("fp", *keys).repartitionByRange(*order).sortWithinPartitions(*order).select("fp").mapInArrow(cut, "task int, made int, low int, high int, data binary"))
+    each = max(1, min(CHUNK, blocks.count() // (8 * spark.sparkContext.defaultParallelism)))  # a small table is spread over the cores
+    blocks = blocks.withColumn("chunk", F.shiftleft(F.col("task").cast("long"), 32) + F.floor(F.col("made") / each))
+    chunks = written(blocks.groupBy("chunk").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    left = chunks.select(F.col("chunk").alias("l"), F.explode(F.sequence("low", F.col("high") + radius)).alias("pop"))
+    right = chunks.select(F.col("chunk").alias("r"), F.explode(F.sequence(F.col("low"), F.col("high") + radius)).alias("pop"))
+    pairs = left.join(right, "pop").where("l < r").select("l", "r").distinct()
+    turn = F.pmod(F.xxhash64("l", "r"), F.lit(2)) == 0
+    meets = written(pairs.select(F.when(turn, F.col("l")).otherwise(F.col("r")).alias("holder"), F.when(turn, F.col("r")).otherwise(F.col("l")).alias("chunk")))
+    streamed = meets.join(blocks, "chunk").select(F.col("holder").alias("chunk"), F.lit(1).alias("kind"), "task", "made", "data")
+    held = blocks.select("chunk", F.lit(0).alias("kind"), "task", "made", "data")
+    tasks = max(1, chunks.count())
+    return held.unionByName(streamed).repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "task", "made").select("chunk", "kind", "data").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:

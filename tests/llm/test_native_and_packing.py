@@ -153,6 +153,44 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize(("block", "chunk"), [(8, 1), (16, 3), (4096, 256)])
+def test_chunks_meet_each_other(spark, monkeypatch, block, chunk):
+    """All links are found however the fingerprints are cut into blocks and chunks."""
+    monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(7)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 120, dtype=np.int64)
+    flip = lambda n: np.array([sum(1 << int(b) for b in rng.choice(62, n, replace=False)) for _ in base], np.int64)
+    fps = np.unique(np.concatenate([base, base ^ flip(1), base ^ flip(3), (base ^ flip(3))[:50] ^ flip(2)[:50]]))
+    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long")).collect()
+    parent = {int(x): int(x) for x in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for e in edges:
+        p, q = find(e["a"]), find(e["b"])
+        parent[max(p, q)] = min(p, q)
+    ids = [int(x) for x in fps]
+    want = components(ids, [i % (1 << 64) for i in ids], 3)
+    assert {i: find(i) for i in ids} == {i: want[i] for i in ids}
+
+
+def test_scratch_frees_what_was_written(spark):
+    import os
+
+    with common.scratch(spark):
+        path = common.written(spark.range(3))._written
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+    df = common.written(spark.range(3))
+    common.discard(df)
+    assert not os.path.isdir(df._written)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "nobody else has this")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=repr)
