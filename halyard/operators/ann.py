@@ -20,7 +20,12 @@ from halyard.operators import search as S
 from halyard.operators.kmeans import assign, kmeans
 
 
-def _append(df: DataFrame, vector: str, name: str, kind: str, function) -> DataFrame:
+def share_scanned(pairs: DataFrame, rows: int) -> DataFrame:
+    """Of candidate pairs (query_id, ...) the mean share of the table's rows that a query met."""
+    return pairs.groupBy("query_id").agg(F.count("*").alias("n")).agg((F.avg("n") / rows).alias("share"))
+
+
+def append_column(df: DataFrame, vector: str, name: str, kind: str, function) -> DataFrame:
     """df with a column that function makes from the matrix of the vectors, batch by batch."""
     at = df.columns.index(vector)
     schema = StructType([*df.schema.fields, StructField(name, StructType.fromDDL(f"x {kind}")["x"].dataType)])
@@ -49,7 +54,7 @@ class InvertedLists:
     def index(self, df: DataFrame, vector: str = "embedding") -> DataFrame:
         """All rows with their cell; written partitioned by it, a search reads its cells only."""
         centres = np.array(self.centres)
-        return _append(df, vector, "cell", "int", lambda x: pa.array(assign(x, centres).astype(np.int32)))
+        return append_column(df, vector, "cell", "int", lambda x: pa.array(assign(x, centres).astype(np.int32)))
 
     def cells_of(self, query: Sequence[float], probes: int) -> list[int]:
         d = ((np.array(self.centres) - np.array(query)) ** 2).sum(axis=1)
@@ -59,17 +64,19 @@ class InvertedLists:
         near = indexed.where(F.col("cell").isin(self.cells_of(checked_vector(query), probes)))
         return S.top_k(near, query, k, self.metric, filter, id=id, vector=vector)
 
-    def search_batch(self, indexed: DataFrame, queries: DataFrame, k: int, probes: int = 4, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """queries: query_id, query. Queries meet the rows of their cells in an equi-join."""
+    def candidates(self, indexed: DataFrame, queries: DataFrame, probes: int = 4, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        """query_id, query, id and vector of the rows in the probed cells. Queries (query_id, query) meet the rows of their cells in an equi-join."""
         centres = np.array(self.centres)
 
         def nearest(x: np.ndarray) -> pa.Array:
             d = (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T
             return pa.array(np.argsort(d, axis=1, kind="stable")[:, :probes].tolist(), pa.list_(pa.int32()))
 
-        probed = _append(queries.select("query_id", F.col("query").cast("array<double>").alias("query")), "query", "cells", "array<int>", nearest)
-        pairs = probed.select("query_id", "query", F.explode("cells").alias("cell")).join(indexed.select(id, vector, "cell"), "cell")
-        return _ranked(pairs, k, self.metric, id, vector)
+        probed = append_column(queries.select("query_id", F.col("query").cast("array<double>").alias("query")), "query", "cells", "array<int>", nearest)
+        return probed.select("query_id", "query", F.explode("cells").alias("cell")).join(indexed.select(id, vector, "cell"), "cell").drop("cell")
+
+    def search_batch(self, indexed: DataFrame, queries: DataFrame, k: int, probes: int = 4, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        return _ranked(self.candidates(indexed, queries, probes, id, vector), k, self.metric, id, vector)
 
 
 def _ranked(pairs: DataFrame, k: int, metric: Metric, id: str, vector: str) -> DataFrame:
@@ -84,27 +91,49 @@ def _ranked(pairs: DataFrame, k: int, metric: Metric, id: str, vector: str) -> D
 
 @dataclass(frozen=True)
 class HyperplaneHashing:
-    """`tables` signatures of `bits` signs against seeded random hyperplanes; equal signatures meet."""
+    """`tables` signatures of `bits` signs against seeded random hyperplanes.
+
+    A query looks into `probes` buckets of each table: its own and those that differ in signs that it lies nearest to the
+    hyperplanes of. Candidates share such a bucket in `hits` tables at least. Bits should grow with the logarithm of the rows.
+    """
 
     dimension: int
-    tables: int = 16
-    bits: int = 6
+    tables: int = 52
+    bits: int = 12
+    probes: int = 48
+    hits: int = 2
     seed: int = 42
     metric: Metric = Metric.COSINE
 
-    def signatures(self, x: np.ndarray) -> np.ndarray:
+    def _projections(self, x: np.ndarray) -> np.ndarray:
         planes = np.random.default_rng(self.seed).normal(size=(self.dimension, self.tables * self.bits))
-        signs = (x @ planes > 0).reshape(len(x), self.tables, self.bits)
-        return signs @ (1 << np.arange(self.bits))
+        return (x @ planes).reshape(len(x), self.tables, self.bits)
+
+    def signatures(self, x: np.ndarray) -> np.ndarray:
+        return (self._projections(x) > 0) @ (1 << np.arange(self.bits))
+
+    def probed(self, x: np.ndarray) -> np.ndarray:
+        """For each vector and table the buckets to look into, its own first."""
+        near = self._projections(x)
+        own = (near > 0) @ (1 << np.arange(self.bits))
+        flips = np.arange(1 << self.bits)
+        flips = flips[np.bitwise_count(flips) <= 4]
+        cost = near**2 @ ((flips[:, None] >> np.arange(self.bits)) & 1).T.astype(float)  # how far the vector is from that bucket
+        return own[:, :, None] ^ flips[np.argsort(cost, axis=2, kind="stable")[:, :, : self.probes]]
 
     def index(self, df: DataFrame, vector: str = "embedding") -> DataFrame:
-        return _append(df, vector, "buckets", "array<long>", lambda x: pa.array(self.signatures(x).tolist(), pa.list_(pa.int64())))
+        return append_column(df, vector, "buckets", "array<long>", lambda x: pa.array(self.signatures(x).tolist(), pa.list_(pa.int64())))
 
-    def search_batch(self, indexed: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """Candidates share a bucket in some table, each once; they are joined to the vectors by id only then."""
-        asked = _append(queries.select("query_id", F.col("query").cast("array<double>").alias("query")), "query", "buckets", "array<long>", lambda x: pa.array(self.signatures(x).tolist(), pa.list_(pa.int64())))
-        left = asked.select("query_id", F.posexplode("buckets").alias("table", "bucket"))
+    def candidates(self, indexed: DataFrame, queries: DataFrame, id: str = "vec_id") -> DataFrame:
+        """query_id and id of the candidates, each once: a count of common buckets, pre-aggregated."""
+        kind = pa.list_(pa.list_(pa.int64()))
+        asked = append_column(queries.select("query_id", F.col("query").cast("array<double>").alias("query")), "query", "buckets", "array<array<long>>", lambda x: pa.array(self.probed(x).tolist(), kind))
+        left = asked.select("query_id", F.posexplode("buckets").alias("table", "b")).select("query_id", "table", F.explode("b").alias("bucket"))
         right = indexed.select(id, F.posexplode("buckets").alias("table", "bucket"))
-        candidates = left.join(right, ["table", "bucket"]).select("query_id", id).distinct()
-        pairs = candidates.join(indexed.select(id, vector), id).join(asked.select("query_id", "query"), "query_id")
+        return left.join(right, ["table", "bucket"]).groupBy("query_id", id).agg(F.count("*").alias("n")).where(F.col("n") >= self.hits).select("query_id", id)
+
+    def search_batch(self, indexed: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        """Candidates are joined to the vectors by id only when they are known."""
+        asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
+        pairs = self.candidates(indexed, queries, id).join(indexed.select(id, vector), id).join(asked, "query_id")
         return _ranked(pairs, k, self.metric, id, vector)

@@ -15,6 +15,9 @@ from halyard.contract import AlreadyExists, CapacityExceeded, Closed, Collection
 from halyard.functions import vectors as V
 from halyard.functions.predicates import Filter, where
 from halyard.operators import search as S
+from halyard.operators.ann import InvertedLists
+from halyard.operators.graph import search_graphs
+from halyard.plans.planner import choose_strategy
 
 
 def page(df: DataFrame, id: str, limit: int = 0, offset: int = 0) -> DataFrame:
@@ -73,9 +76,14 @@ def invalid_rows(df: DataFrame, id: str, vector: str, dimension: int | None = No
 
 
 class Collection:
+    """Records and a configuration; with indexes (see indexed()) searches are routed to them."""
+
     def __init__(self, config: CollectionConfig, df: DataFrame):
         self.config, self.df = config, df
         self._open = True
+        self._rows: int | None = None
+        self._cells: tuple[InvertedLists, DataFrame, int] | None = None
+        self._graphs: DataFrame | None = None
         for c in (config.id_column, config.vector_column):
             if c not in df.columns:
                 raise InvalidConfig(f"no column {c}")
@@ -195,9 +203,41 @@ class Collection:
         df, id, _ = self._use()
         return where(df, f).select(id).orderBy(id)
 
-    def search(self, request: SearchRequest) -> DataFrame:
+    def indexed(self, rows: int, cells: InvertedLists | None = None, lists: DataFrame | None = None, probes: int = 8, graphs: DataFrame | None = None) -> Collection:
+        """The collection with stored indexes of just its records: inverted lists, graphs or both. Writes give collections without them."""
+        self._use()
+        out = self._with(self.df)
+        out._rows, out._graphs = rows, graphs
+        out._cells = (cells, lists, probes) if cells is not None and lists is not None else None
+        return out
+
+    def strategy(self, request: SearchRequest, exact: bool = False, selectivity: float = 1.0) -> str:
+        """flat, cells or graph, of the indexes that there are."""
+        if self._rows is None:
+            return "flat"
+        wanted = choose_strategy(self.config.dimension, request.k, self._rows, selectivity, exact)
+        if wanted == "graph" and (self._graphs is None or request.filter is not None):  # a filter must hold before the k best are chosen
+            wanted = "cells"
+        if wanted == "cells" and self._cells is None:
+            wanted = "graph" if self._graphs is not None and request.filter is None else "flat"
+        return wanted
+
+    def search(self, request: SearchRequest, exact: bool = False, selectivity: float = 1.0) -> DataFrame:
+        """By an index where there is one and the request is for it, else by a scan; exact asks for the scan."""
         df, id, vector = self._use()
         SearchRequest(request.vector, request.k, request.filter, request.max_distance, request.min_score, dimension=self.config.dimension).validate()
+        way = self.strategy(request, exact, selectivity)
+        if way == "cells":
+            cells, lists, probes = self._cells
+            return S.search(lists.where(F.col("cell").isin(cells.cells_of(request.vector, probes))).drop("cell"), request, self.config.metric, id, vector)
+        if way == "graph":
+            spark = df.sparkSession
+            asked = spark.createDataFrame([(0, [float(x) for x in request.vector])], "query_id long, query array<double>")
+            found = search_graphs(self._graphs, asked, request.k, self.config.metric, id=id).drop("query_id")
+            near = S._cut(found, request.max_distance, request.min_score)
+            records = df if request.include_vector else df.drop(vector)
+            out = records.join(F.broadcast(near), id).orderBy("rank")  # at most k rows
+            return out if request.include_metadata else out.select(id, "distance", "score", "rank", *([vector] if request.include_vector else []))
         return S.search(df, request, self.config.metric, id, vector)
 
     def search_batch(self, queries: DataFrame, k: int = 10, filter: Filter | None = None) -> DataFrame:
@@ -217,39 +257,3 @@ class Collection:
     def repair(self) -> Collection:
         df, id, vector = self._use()
         return self._with(df.where(~invalid_rows(df, id, vector, self.config.dimension)))
-
-
-class Catalog:
-    """Collections by name, with properties and states."""
-
-    def __init__(self) -> None:
-        self._held: dict[str, Collection] = {}
-        self._properties: dict[str, dict[str, str]] = {}
-
-    def create(self, collection: Collection, **properties: str) -> Collection:
-        if collection.config.name in self._held:
-            raise AlreadyExists(collection.config.name)
-        self._held[collection.config.name] = collection
-        self._properties[collection.config.name] = dict(properties)
-        return collection
-
-    def get(self, name: str) -> Collection:
-        if name not in self._held:
-            raise NotFound(name)
-        return self._held[name]
-
-    def update(self, collection: Collection, **properties: str) -> None:
-        self.get(collection.config.name)
-        self._held[collection.config.name] = collection
-        self._properties[collection.config.name] |= properties
-
-    def properties(self, name: str) -> dict[str, str]:
-        self.get(name)
-        return dict(self._properties[name])
-
-    def drop(self, name: str) -> None:
-        self.get(name).close()
-        del self._held[name], self._properties[name]
-
-    def names(self) -> list[str]:
-        return sorted(self._held)

@@ -1,9 +1,11 @@
-"""Layered proximity graphs as an accelerator: one graph per partition of the table, searched together.
+"""Layered proximity graphs as a stored index: one graph for each `graph_rows` rows of a partition, searched together.
 
-Each task builds a graph over its rows: a row gets a geometric number of layers, is linked to the best of its beam of
+A graph is built once, over bounded rows while they are read, and is one row of a table that is written and read like any other;
+a search reads that table alone. New rows make graphs of their own beside the stored ones (a batch add touches nothing that is
+there); compacting builds all anew. In a graph a row gets a geometric number of layers, is linked to the best of its beam of
 `ef_construction` candidates that are not closer to an earlier chosen one than to it, and links are cut to m (2m in the base
-layer). A search walks every graph from its entry point down and merges the results, so a row is found in its partition's graph
-whatever the number of partitions. Edges can be had as a table for statistics.
+layer). A search walks every graph from its entry point down and merges the results, so a row is found in its graph whatever their
+number. Edges can be had as a table for statistics.
 """
 
 from __future__ import annotations
@@ -100,6 +102,29 @@ class Graph:
             starts = self._beam(q, starts, 1, layer)
         return self._beam(q, starts, max(ef, k), 0)[:k]
 
+    def packed(self) -> dict[str, bytes | int]:
+        """The graph without its vectors as flat arrays."""
+        flat = [own for near in self.links for own in near]
+        return {
+            "entry": -1 if self.entry is None else self.entry,
+            "layers": np.array([len(x) for x in self.links], np.int32).tobytes(),
+            "degrees": np.array([len(x) for x in flat], np.int32).tobytes(),
+            "targets": np.array([j for own in flat for j in own], np.int32).tobytes(),
+        }
+
+    @classmethod
+    def unpacked(cls, rows: np.ndarray, metric: Metric, entry: int, layers: bytes, degrees: bytes, targets: bytes) -> Graph:
+        """A graph that can be searched, not added to."""
+        out = cls.__new__(cls)
+        out.rows, out.metric, out.entry = rows, metric, None if entry < 0 else entry
+        ends = np.cumsum(np.frombuffer(degrees, np.int32))
+        near = [x.tolist() for x in np.split(np.frombuffer(targets, np.int32), ends[:-1])] if len(ends) else []
+        at, out.links = 0, []
+        for n in np.frombuffer(layers, np.int32).tolist():
+            out.links.append(near[at : at + n])
+            at += n
+        return out
+
     def edges(self) -> list[tuple[int, int, int, float]]:
         return [(i, j, layer, d) for i, own in enumerate(self.links) for layer, near in enumerate(own) for j, d in near.items()]
 
@@ -110,7 +135,7 @@ def tuned(dimension: int) -> tuple[int, int]:
 
 
 def _graphs(df: DataFrame, id: str, vector: str, graph_rows: int, parameters: tuple, schema: str, use) -> DataFrame:
-    """What use makes of each graph over at most graph_rows rows of a partition (its memory is bounded by that)."""
+    """What use makes of each graph over at most graph_rows rows of a partition; a task holds no more than that and a batch."""
 
     def run(batches):
         ids: list = []
@@ -119,13 +144,48 @@ def _graphs(df: DataFrame, id: str, vector: str, graph_rows: int, parameters: tu
             if batch.num_rows:
                 ids += batch.column(0).to_pylist()
                 held.append(np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1))
-        rows = np.concatenate(held) if held else np.zeros((0, 0))
-        for i in range(0, len(ids), graph_rows):
-            yield from use(ids[i : i + graph_rows], Graph(rows[i : i + graph_rows], *parameters))
+            while len(ids) >= graph_rows:
+                rows = np.concatenate(held)
+                yield from use(ids[:graph_rows], Graph(rows[:graph_rows], *parameters))
+                ids, held = ids[graph_rows:], [rows[graph_rows:]]
+        if ids:
+            yield from use(ids, Graph(np.concatenate(held), *parameters))
 
     return df.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, schema)
 
 
+INDEX = "ids array<long>, width int, data binary, entry int, layers binary, degrees binary, targets binary"
+
+
+def build_graphs(df: DataFrame, metric: Metric | str = Metric.COSINE, m: int = 12, ef_construction: int = 64, max_layer: int = 16, seed: int = 42, graph_rows: int = 20_000, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The index: one row a graph, to be written."""
+
+    def use(ids, graph):
+        p = graph.packed()
+        columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([graph.rows.shape[1]], pa.int32()), pa.array([graph.rows.tobytes()], pa.binary()), pa.array([p["entry"]], pa.int32())]
+        yield pa.record_batch([*columns, *[pa.array([p[x]], pa.binary()) for x in ("layers", "degrees", "targets")]], names=["ids", "width", "data", "entry", "layers", "degrees", "targets"])
+
+    return _graphs(df, id, vector, graph_rows, (Metric.of(metric), m, ef_construction, max_layer, seed), INDEX, use)
+
+
+def write_graphs(df: DataFrame, path: str, **parameters) -> DataFrame:
+    """Build and store the index of df at path, beside what is stored there already (a batch add)."""
+    build_graphs(df, **parameters).write.mode("append").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def compact_graphs(index: DataFrame, path: str, **parameters) -> DataFrame:
+    """Store at another path the graphs of all rows of an index, built anew, so that many small ones become few."""
+
+    def rows(batches):
+        for batch in batches:
+            for ids, width, data in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = np.frombuffer(data.as_py(), float).reshape(-1, width)
+                yield pa.record_batch([ids.values, pa.array(own.tolist(), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+
+    return write_graphs(index.select("ids", "width", "data").mapInArrow(rows, "vec_id long, embedding array<double>").coalesce(1 + index.count() // 8), path, **parameters)
+
+
 def graph_edges(df: DataFrame, metric: Metric | str = Metric.COSINE, m: int = 12, ef_construction: int = 64, max_layer: int = 16, seed: int = 42, graph_rows: int = 20_000, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The edges of the graphs: src, dst, layer, distance."""
 
@@ -138,26 +198,35 @@ def graph_edges(df: DataFrame, metric: Metric | str = Metric.COSINE, m: int = 12
     return _graphs(df, id, vector, graph_rows, (Metric.of(metric), m, ef_construction, max_layer, seed), "src long, dst long, layer int, distance double", use)
 
 
-def graph_search(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, ef: int | None = None, m: int = 12, ef_construction: int = 64, max_layer: int = 16, seed: int = 42, graph_rows: int = 20_000, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, distance and rank by the graphs; queries (query_id, query) go in blocks of about search.QUERY_BLOCK, each a pass."""
+def search_graphs(index: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, ef: int | None = None, id: str = "vec_id") -> DataFrame:
+    """query_id, id, distance, score and rank by a stored index; queries (query_id, query) go in blocks of about 4 * search.QUERY_BLOCK, each a pass over it."""
+    metric = Metric.of(metric)
     wanted = queries.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>"))
-    blocks = -(-max(wanted.count(), 1) // S.QUERY_BLOCK)
+    blocks = -(-max(wanted.count(), 1) // (4 * S.QUERY_BLOCK))
     beam = ef or max(100, 4 * k)
     found = None
     for b in range(blocks):
-        asked = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
-
-        def use(ids, graph, asked=asked):
-            out = [(q, ids[i], d) for q, v in asked for d, i in graph.search(np.array(v), k, beam)]
-            if out:
-                q, i, d = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "distance"])
-
-        own = _graphs(df, id, vector, graph_rows, (Metric.of(metric), m, ef_construction, max_layer, seed), "query_id long, id long, distance double", use)
+        asked = [(q, np.array(v)) for q, v in (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()]
+
+        def run(batches, asked=asked):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    graph = Graph.unpacked(np.frombuffer(row["data"], float).reshape(-1, row["width"]), metric, row["entry"], row["layers"], row["degrees"], row["targets"])
+                    out = [(q, row["ids"][i], d) for q, v in asked if len(v) == row["width"] for d, i in graph.search(v, k, beam)]
+                    if out:
+                        q, i, d = zip(*out, strict=True)
+                        yield pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "distance"])
+
+        own = index.mapInArrow(run, "query_id long, id long, distance double")
         found = own if found is None else found.unionByName(own)
     return S.merge_shards(found, k, "id", metric=metric, keys=["query_id"]).withColumnRenamed("id", id)
 
 
+def graph_search(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, ef: int | None = None, id: str = "vec_id", **parameters) -> DataFrame:
+    """search_graphs over an index that is built for this search alone."""
+    return search_graphs(build_graphs(df, metric, id=id, **parameters), queries, k, metric, ef, id)
+
+
 def graph_stats(edges: DataFrame) -> DataFrame:
     """Nodes, edges, highest layer and mean degree in the base layer."""
     base = F.col("layer") == 0

@@ -6,6 +6,8 @@ maximum for the last clear and one maximum of the last operation per id, both pr
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +64,41 @@ def recover(snapshot: DataFrame, log: DataFrame, snapshot_lsn: int, id: str = "i
     return replay(base.unionByName(suffix.select(*base.columns)), snapshot_lsn, id).select(*payload)
 
 
-def write_snapshot(df: DataFrame, path: str, name: str, keep: int = 3) -> None:
-    """A Parquet folder beside the earlier ones, of which the newest `keep` stay; names sort by age."""
+def _digest(df: DataFrame) -> dict[str, str]:
+    """Rows and a checksum of them all that does not depend on their order."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return {k: str(v) for k, v in df.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("sum")).first().asDict().items()}
+
+
+def write_snapshot(df: DataFrame, path: str, name: str, keep: int = 3, lsn: int | None = None) -> None:
+    """A Parquet folder with the checksum of its rows and the last lsn in it, beside the earlier ones, of which the newest `keep` stay; names sort by age."""
+    spark = df.sparkSession
     df.write.mode("errorifexists").parquet(f"{path}/{name}")
-    for old in list_snapshots(df.sparkSession, path)[keep:]:
-        delete_snapshot(df.sparkSession, path, old)
+    written = spark.read.parquet(f"{path}/{name}")
+    p, fs = _folder(spark, f"{path}/{name}/_checksum.json")
+    stream = fs.create(p, True)
+    stream.write(bytearray(json.dumps({"digest": _digest(written), "lsn": lsn}).encode()))
+    stream.close()
+    for old in list_snapshots(spark, path)[keep:]:
+        delete_snapshot(spark, path, old)
+
+
+def snapshot_lsn(spark: SparkSession, path: str, name: str) -> int | None:
+    """The last lsn in a snapshot, None if it was written without one."""
+    return _stored(spark, path, name).get("lsn")
+
+
+def _stored(spark: SparkSession, path: str, name: str) -> dict:
+    p, fs = _folder(spark, f"{path}/{name}/_checksum.json")
+    if not fs.exists(p):
+        return {}
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
+        return {"digest": None}  # broke off
+    finally:
+        stream.close()
 
 
 def _folder(spark: SparkSession, path: str):
@@ -84,11 +116,54 @@ def list_snapshots(spark: SparkSession, path: str) -> list[str]:
     return sorted(names, reverse=True)
 
 
-def restore_snapshot(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+def restore_snapshot(spark: SparkSession, path: str, name: str | None = None, verify: bool = False) -> DataFrame:
+    """The rows of a snapshot, the newest by default; verify compares them with their checksum, where there is one."""
     names = list_snapshots(spark, path)
     if not names or (name is not None and name not in names):
         raise EngineError("no such snapshot")
-    return spark.read.parquet(f"{path}/{name or names[0]}")
+    out = spark.read.parquet(f"{path}/{name or names[0]}")
+    if verify:
+        stored = _stored(spark, path, name or names[0])
+        if "digest" in stored and stored["digest"] != _digest(out):
+            raise EngineError(f"snapshot {name or names[0]} does not match its checksum")
+    return out
+
+
+def recover_from(spark: SparkSession, path: str, log: DataFrame, id: str = "id", skip_corrupt: bool = False) -> DataFrame:
+    """The state after a crash: the newest snapshot that matches its checksum, and the log after it.
+
+    A damaged snapshot gives way to the one before; without any, the whole log is replayed. Entries with a wrong checksum (column
+    crc, if there is one) are an error, or left out with skip_corrupt.
+    """
+    if "crc" in log.columns:
+        bad = corrupt(log)
+        if not skip_corrupt and not bad.isEmpty():
+            raise EngineError("the log has damaged entries")
+        payload = [c for c in log.columns if c not in ("lsn", "crc")]
+        log = log.where(F.col("crc").eqNullSafe(checksum("lsn", *payload))).drop("crc")
+    for name in list_snapshots(spark, path):
+        lsn = snapshot_lsn(spark, path, name)
+        try:
+            snapshot = restore_snapshot(spark, path, name, verify=True)
+        except EngineError:
+            continue
+        if lsn is not None:
+            return recover(snapshot, log, lsn, id)
+    return replay(log, id=id).drop("lsn")
+
+
+def checkpoint(log: DataFrame, state: DataFrame, lsn: int, snapshots: str, logs: str, keep: int = 3) -> DataFrame:
+    """Store the state up to an lsn as a snapshot and what follows in the log as its next version; the stored suffix.
+
+    The snapshot comes first, so a crash in between leaves a log that repeats operations of the snapshot, which replay ignores.
+    """
+    spark = log.sparkSession
+    name = f"s{lsn:020d}"
+    if name not in list_snapshots(spark, snapshots):
+        write_snapshot(state, snapshots, name, keep, lsn)
+    if name not in list_snapshots(spark, logs):
+        write_snapshot(since(log, lsn + 1), logs, name, keep)
+    return restore_snapshot(spark, logs, name)
 
 
 def delete_snapshot(spark: SparkSession, path: str, name: str) -> None:

@@ -10,11 +10,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.contract import InvalidConfig
 from halyard.functions import vectors as V
+from halyard.operators.ann import append_column
 from halyard.operators.kmeans import kmeans
 
 
@@ -80,6 +82,13 @@ class BinaryQuantizer:
         return F.get(F.transform(F.array(weighted), packed), F.lit(0))  # bound to a variable, the signs are worked out once
 
 
+    def encoded(self, df: DataFrame, vector: str = "embedding", to: str = "codes") -> DataFrame:
+        """df with the codes of its vectors, signs by one matrix product a batch."""
+        planes = np.array(self.projections)
+        kind = pa.list_(pa.int16())
+        return append_column(df, vector, to, "array<smallint>", lambda x: pa.array(np.packbits(x @ planes.T > 0, axis=1, bitorder="little").astype(np.int16).tolist(), kind))
+
+
 @dataclass(frozen=True)
 class ProductQuantizer:
     """Nearest centroid per subspace: codebooks[subspace][code] is a centroid."""

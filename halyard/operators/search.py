@@ -1,26 +1,28 @@
 """Exact nearest-neighbour search.
 
 A single query is a projection and TakeOrderedAndProject, filters pushed into the scan. Several queries at once run as matrix
-products over Arrow batches: every task keeps the best k rows of each query of a block, so only queries * k rows a task are
-shuffled, and a window merges them. A block holds `QUERY_BLOCK` queries at most (its size on executors is bounded by that and
-the dimension); more queries mean more passes over the table, never a larger broadcast.
+products over Arrow batches, `QUERY_BLOCK` queries at a time, in one pass over the table: every task keeps the best k rows of each
+query, so only queries * k rows a task are shuffled, and a window merges them. Queries of at most `BROADCAST_BYTES` in all go to
+the tasks as they are. Beyond that, rows are packed into segments and segments dealt into chunks of `CHUNK_BYTES`; a task holds a
+chunk and streams the packed queries past it, so nothing of either table passes the driver and the rows are shuffled once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from halyard.contract import DimensionMismatch, InvalidRequest, Metric, SearchRequest, check_cuts, checked_vector
 from halyard.functions import vectors as V
 from halyard.functions.predicates import Filter, where
 
 QUERY_BLOCK = 1024
+BROADCAST_BYTES, CHUNK_BYTES, SEGMENT_ROWS = 64 << 20, 64 << 20, 4096
 
 
 def with_distance(df: DataFrame, query: Sequence[float], metric: Metric | str, vector: str = "embedding") -> DataFrame:
@@ -98,65 +100,142 @@ def _nearest(held: list[np.ndarray], k: int) -> np.ndarray:
 
 def batch_top_k(
     df: DataFrame, queries: DataFrame, k: int = 10, metric: Metric | str = Metric.COSINE, filter: Filter | None = None, max_distance: float | None = None, min_score: float | None = None,
-    id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query: str = "query", block: int = QUERY_BLOCK,
+    id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query: str = "query", max_broadcast: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """query_id, id, distance, score and rank of the k nearest rows of every query (columns query_id, query)."""
     if k <= 0:
         raise InvalidRequest("k must be positive")
     metric = Metric.of(metric)
     wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query).cast("array<double>").alias("q")).where(F.col("q").isNotNull())
-    blocks = -(-max(wanted.count(), 1) // block)
     source = where(df, filter).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    schema = StructType([StructField("query_id", wanted.schema["query_id"].dataType), StructField("id", source.schema["id"].dataType), StructField("distance", StructType.fromDDL("d double")["d"].dataType)])
-    parts = []
-    for b in range(blocks):
-        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = own.collect()  # about `block` of them
-        if rows:
-            parts.append(_pass(source, [r[0] for r in rows], [r[1] for r in rows], k, metric, schema))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], StructType([*schema.fields, *StructType.fromDDL("score double, rank int").fields])).withColumnRenamed("id", id)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    schema = StructType([StructField("query_id", wanted.schema["query_id"].dataType), StructField("id", source.schema["id"].dataType), StructField("distance", DoubleType())])
+    few = wanted.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows > QUERY_BLOCK:
+        size = wanted.agg(F.count("*").alias("n"), F.min(F.size("q")).alias("least"), F.max(F.size("q")).alias("most")).first()
+        if size["least"] != size["most"]:
+            raise DimensionMismatch("queries of different dimensions")
+        if size["n"] * size["most"] * 8 > max_broadcast:
+            out = _chunked(source.where(F.size("v") == size["most"]), wanted, size["most"], k, metric, schema)
+        else:
+            out = _pass(source, wanted.toArrow(), k, metric, schema)
+    elif few.num_rows:
+        out = _pass(source, few, k, metric, schema)
+    else:
+        out = queries.sparkSession.createDataFrame([], schema)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
     scored = _cut(ranked.withColumn("score", V.score_of(metric, F.col("distance"))), max_distance, min_score)
     return scored.select("query_id", F.col("id").alias(id), "distance", "score", "rank")
 
 
-def _pass(source: DataFrame, names: list, vectors: list, k: int, metric: Metric, schema: StructType) -> DataFrame:
-    if len({len(v) for v in vectors}) != 1:
+class Best:
+    """The k nearest rows so far of each of some queries."""
+
+    def __init__(self, names: pa.Array, q: np.ndarray, k: int, metric: Metric):
+        self.names, self.q, self.k, self.metric = names, q, k, metric
+        self.held: list[np.ndarray] | None = None  # distances and ids, row by row
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        k = self.k
+        for i in range(0, len(ids), 4096):
+            own_rows = rows[i : i + 4096]
+            d = distances(self.q, own_rows, self.metric)
+            at = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+            if d.shape[1] > 4 * k:  # all that can be among the best: not above the k-th smallest
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                most = int((d <= kth).sum(axis=1).max())
+                at = np.argsort(d, axis=1, kind="stable")[:, :most] if most > 4 * k else np.argpartition(d, most - 1, axis=1)[:, :most]
+                d = np.take_along_axis(d, at, axis=1)
+            if self.metric is Metric.EUCLIDEAN:  # the product form loses digits where vectors are close
+                d = np.stack([np.sqrt(((own_rows[n] - v) ** 2).sum(axis=1)) for n, v in zip(at, self.q, strict=True)])
+            own = [d, ids[i : i + 4096][at]]
+            best = own if self.held is None else [np.concatenate([x, y], axis=1) for x, y in zip(self.held, own, strict=True)]
+            places = _nearest(best, k)
+            self.held = [np.take_along_axis(x, places, axis=1) for x in best]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            n = self.held[0].shape[1]
+            yield pa.record_batch([self.names.take(pa.array(np.repeat(np.arange(len(self.names)), n))), pa.array(self.held[1].ravel().tolist()), pa.array(self.held[0].ravel())], names=["query_id", "id", "distance"])
+
+
+def _blocks(names: pa.Array, q: np.ndarray, k: int, metric: Metric) -> list[Best]:
+    return [Best(names[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK], k, metric) for i in range(0, len(q), QUERY_BLOCK)]
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _pass(source: DataFrame, queries: pa.Table, k: int, metric: Metric, schema: StructType) -> DataFrame:
+    """The best of each task for queries that all tasks hold."""
+    names, vectors = _flat(queries.column(0)), _flat(queries.column(1))
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if len(set(sizes.tolist())) != 1:
         raise DimensionMismatch("queries of different dimensions")
-    q = np.array(vectors, np.float64)
-    width = q.shape[1]
+    width = int(sizes[0])
+    q = matrix(vectors, width)
+    held = source.sparkSession.sparkContext.broadcast((names, q))
 
     def run(batches):
-        best: list[np.ndarray] | None = None  # distances and ids
+        blocks = _blocks(*held.value, k, metric)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, rows = np.array(batch.column(0).to_pylist()), matrix(batch.column(1), width)
-            for i in range(0, len(ids), 4096):
-                d = distances(q, rows[i : i + 4096], metric)
-                own = [d, np.broadcast_to(ids[i : i + 4096], d.shape)]
-                if d.shape[1] > 4 * k:  # all that can be among the best: not above the k-th smallest
-                    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    most = int((d <= kth).sum(axis=1).max())
-                    at = np.argsort(d, axis=1, kind="stable")[:, :most] if most > 4 * k else np.argpartition(d, most - 1, axis=1)[:, :most]
-                    own = [np.take_along_axis(x, at, axis=1) for x in own]
-                if metric is Metric.EUCLIDEAN:  # the product form loses digits where vectors are close
-                    near = np.take_along_axis(np.broadcast_to(np.arange(i, i + d.shape[1]), d.shape), at, axis=1) if own[0] is not d else np.broadcast_to(np.arange(i, i + d.shape[1]), d.shape)
-                    own[0] = np.stack([np.sqrt(((rows[n] - v) ** 2).sum(axis=1)) for n, v in zip(near, q, strict=True)])
-                best = own if best is None else [np.concatenate([x, y], axis=1) for x, y in zip(best, own, strict=True)]
-                at = _nearest(best, k)
-                best = [np.take_along_axis(x, at, axis=1) for x in best]
-        if best is not None:
-            n = best[0].shape[1]
-            yield pa.record_batch([pa.array([x for x in names for _ in range(n)]), pa.array(best[1].ravel().tolist()), pa.array(best[0].ravel())], names=["query_id", "id", "distance"])
+            if batch.num_rows:
+                ids, rows = np.array(batch.column(0).to_pylist()), matrix(batch.column(1), width)
+                for b in blocks:
+                    b.add(ids, rows)
+        for b in blocks:
+            yield from b.found()
 
     return source.where(F.size("v") == width).mapInArrow(run, schema)
 
 
+def _chunked(source: DataFrame, wanted: DataFrame, width: int, k: int, metric: Metric, schema: StructType) -> DataFrame:
+    """The best of each chunk of rows for queries in packed blocks that stream past it."""
+
+    def pack(size: int):
+        def run(batches):
+            from pyspark import TaskContext
+
+            task, made = TaskContext.get().partitionId(), 0
+            for batch in batches:
+                for i in range(0, batch.num_rows, size):
+                    part = batch.slice(i, size)
+                    made += 1
+                    yield pa.record_batch(
+                        [pa.array([task], pa.int32()), pa.array([made], pa.int32()), pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)), pa.array([matrix(part.column(1), width).tobytes()], pa.binary())],
+                        names=["task", "made", "ids", "data"],
+                    )
+
+        return run
+
+    def packed(df: DataFrame, size: int) -> DataFrame:
+        kind = df.schema[0].dataType
+        return df.mapInArrow(pack(size), StructType([StructField("task", IntegerType()), StructField("made", IntegerType()), StructField("ids", ArrayType(kind)), StructField("data", BinaryType())]))
+
+    chunks = max(1, -(-source.count() * width * 8 // CHUNK_BYTES), source.sparkSession.sparkContext.defaultParallelism)
+    rows = packed(source, SEGMENT_ROWS).select(F.pmod(F.hash("task", "made"), F.lit(chunks)).alias("chunk"), F.col("ids").alias("row_ids"), F.lit(None).cast(ArrayType(schema["query_id"].dataType)).alias("query_ids"), "task", "made", "data")
+    tiles = packed(wanted, QUERY_BLOCK).select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(None).cast(ArrayType(schema["id"].dataType)).alias("row_ids"), F.col("ids").alias("query_ids"), "task", "made", "data")
+    stream = rows.unionByName(tiles).repartition(chunks, "chunk").sortWithinPartitions("chunk", F.col("row_ids").isNull(), "task", "made")
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, row_ids, query_ids, data = batch.column(0)[i].as_py(), batch.column(1)[i], batch.column(2)[i], batch.column(5)[i]
+                vectors = np.frombuffer(data.as_py(), np.float64).reshape(-1, width)
+                if chunk != key:
+                    key, held = chunk, []
+                if row_ids.is_valid:
+                    held.append((np.array(row_ids.as_py()), vectors))
+                else:
+                    best = Best(query_ids.values, vectors, k, metric)
+                    for ids, own in held:
+                        best.add(ids, own)
+                    yield from best.found()
+
+    return stream.mapInArrow(run, schema)
+
+
 def self_match(df: DataFrame, queries: DataFrame, metric: Metric | str = Metric.COSINE, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For stored vectors as queries: query_id, the nearest id and whether it is the vector itself."""
     best = batch_top_k(df, queries.select(F.col(id).alias("query_id"), F.col(vector).alias("query")), 1, metric, id=id, vector=vector)

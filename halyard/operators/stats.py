@@ -92,19 +92,46 @@ def compaction_benefit(segments: DataFrame) -> DataFrame:
 def index_percentiles(df: DataFrame, value: str, quantiles: Sequence[tuple[str, float]] = (("median", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999)), keys: Sequence[str] = ()) -> DataFrame:
     """min, max, mean and the values at place floor(n * q) of the sorted values (from 0), of each group.
 
-    Ungrouped, the place is found by counting equal values first, so the sort runs over distinct values of pre-aggregated counts.
+    Places are found by counting equal values first, so the sort runs over distinct values of pre-aggregated counts; ungrouped, it
+    is a range sort over all tasks, with totals carried from one to the next.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_n"))
     up = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_x").alias("min"), F.max("_x").alias("max"), (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("mean"))
-    placed = counts.withColumn("_to", F.sum("_n").over(up))
+    placed = counts.withColumn("_to", F.sum("_n").over(up)) if keys else running_total(counts, "_x", "_n", "_to")
     joined = placed.join(total, list(keys)) if keys else placed.crossJoin(F.broadcast(total))  # one row
     place = lambda q: F.least(F.floor(F.col("_total") * q), F.col("_total") - 1)
     at = [F.max(F.when((F.col("_to") > place(q)) & (F.col("_to") - F.col("_n") <= place(q)), F.col("_x"))).alias(name) for name, q in quantiles]
     return joined.groupBy(*keys).agg(F.first("_total").alias("n"), F.first("min").alias("min"), F.first("max").alias("max"), F.first("mean").alias("mean"), *at)
 
 
-def histogram(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
+def running_total(df: DataFrame, order: str | Sequence[Column | str], n: str, to: str) -> DataFrame:
+    """df with the sum of n up to each row in a global order: a range sort, sums within each task, and an offset a task.
+
+    The sorted rows are kept until the application ends or Spark drops them, so that both uses see the same tasks.
+    """
+    ordered = df.orderBy(*([order] if isinstance(order, str) else order)).withColumn("_m", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_m", 33)
+    sums = ordered.groupBy(part.alias("_p")).agg(F.sum(n).alias("_s")).orderBy("_p").collect()  # a row a task
+    offsets, total = [], 0
+    for r in sums:
+        offsets.append((r["_p"], total))
+        total += r["_s"]
+    before = df.sparkSession.createDataFrame(offsets, "_p long, _before long")
+    own = F.sum(n).over(Window.partitionBy(part).orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
+    return ordered.withColumn(to, own).withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(to, F.col(to) + F.col("_before")).drop("_m", "_p", "_before")
+
+
+def positions(df: DataFrame, order: Sequence[Column | str], to: str = "place") -> DataFrame:
+    """df with each row's place (from 1) in a global order, without a window over all rows."""
+    return running_total(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", to).drop("_one")
+
+
+#: Upper bounds of latency buckets in seconds where the caller names none. Fixed values, as the reference's histograms have them.
+SECONDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+
+
+def histogram(df: DataFrame, value: str, bounds: Sequence[float] = SECONDS) -> DataFrame:
     """Counts per bucket, not cumulative: the first bound >= value, or infinity."""
     bucket = F.lit(float("inf"))
     for b in sorted(bounds, reverse=True):
@@ -123,7 +150,7 @@ def moving_average(df: DataFrame, value: str, order: str, keys: Sequence[str], w
 def exponential_average(df: DataFrame, value: str, order: str, keys: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """The last exponentially weighted average of each group, started with its first value.
 
-    The weight of the i-th value from the end is alpha * (1 - alpha)**i (1 - alpha)**i for the first): a sum over a rank, not a
+    The weight of the i-th value from the end is alpha * (1 - alpha)**i ((1 - alpha)**i for the first): a sum over a rank, not a
     fold over a collected list.
     """
     w = Window.partitionBy(*keys)

@@ -108,13 +108,13 @@ def hybrid_request_search(spark, sf_dir):
 
 
 MULTI_SQL = f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT b.vec_id AS query_id, a.vec_id, {distance_sql("cosine", "a.e", "b.e")} AS d FROM v a, v b WHERE b.vec_id < 100),
+s AS (SELECT b.vec_id AS query_id, a.vec_id, {distance_sql("cosine", "a.e", "b.e")} AS d FROM v a, v b WHERE b.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM s)
 SELECT query_id, vec_id, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 
 
-def _queries(vectors: DataFrame, n: int = 100) -> DataFrame:
-    return vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _queries(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @register(MULTI_SQL)
@@ -136,7 +136,9 @@ def topk_avg_distance(spark, sf_dir):
     return rounded(search.average_distance(found), "avg_distance", digits=4)
 
 
-@register("SELECT count(*) AS queries, CAST(count(*) AS BIGINT) AS matched, 1.0::DOUBLE AS recall_at_1 FROM embeddings")
+@register(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT b.vec_id AS q, a.vec_id AS id, {distance_sql("cosine", "a.e", "b.e")} AS d FROM v a, v b),
+n AS (SELECT q, arg_min(id, struct_pack(d := round(d, 9), id := id)) AS nearest FROM s GROUP BY q)
+SELECT count(*) AS queries, count(*) FILTER (WHERE q = nearest) AS matched, avg(CASE WHEN q = nearest THEN 1.0::DOUBLE ELSE 0 END) AS recall_at_1 FROM n""")
 def self_match_recall_at_1(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     found = search.self_match(vectors, vectors)
@@ -150,13 +152,9 @@ SELECT vec_id, round(d, 6) AS distance, round(1 - d, 6) AS score, CAST(rank AS I
 def shard_merge_topk(spark, sf_dir):
     """Hits of four shards, some of them twice (replicas), in one ranking."""
     vectors = table(spark, sf_dir, "embeddings")
-    q = query_vector(vectors)
-    hits = None
-    for shard in range(4):
-        own = vectors.where(F.col("vec_id") % 4 == shard)
-        for k in (10, 3):
-            part = search.top_k(own, q, k).select("vec_id", "distance")
-            hits = part if hits is None else hits.unionByName(part)
+    near = search.with_distance(vectors, query_vector(vectors), "cosine").select("vec_id", "distance", (F.col("vec_id") % 4).alias("shard"))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("shard").orderBy("distance", "vec_id"))).where("r <= 10")
+    hits = ranked.select("vec_id", "distance", F.explode(F.when(F.col("r") <= 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
     return rounded(search.merge_shards(hits, 10, "vec_id"), "distance", "score")
 
 
@@ -351,11 +349,11 @@ def delete_batch(spark, sf_dir):
     return collection.delete(table(spark, sf_dir, "orders"), gone, "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
-@register("SELECT vec_id, label FROM embeddings WHERE vec_id < 20")
+@register("SELECT vec_id, label FROM embeddings")
 def clear_then_put(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     c = collection.Collection(CollectionConfig("vectors", 64, id_column="vec_id", vector_column="embedding"), vectors)
-    return c.clear().put(vectors.where("vec_id < 20")).df.select("vec_id", "label")
+    return c.clear().put(vectors).df.select("vec_id", "label")
 
 
 @register("SELECT count(*) AS count, CAST(64 AS INTEGER) AS dimension, CAST(sum(length(CAST(vec_id AS VARCHAR)) + 4 * len(embedding) + 5 + 8) AS BIGINT) AS size_bytes FROM embeddings")
@@ -397,9 +395,10 @@ def set_union(spark, sf_dir):
     return table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup")).select("user_id").distinct()
 
 
-@register("SELECT DISTINCT user_id FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'click'")
+@register("SELECT DISTINCT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_complement(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id").distinct().join(_users(spark, sf_dir, "click"), "user_id", "left_anti")
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").distinct().join(done, "c_custkey", "left_anti")
 
 
 # --- statistics -------------------------------------------------------------------------------------------------------------
@@ -540,7 +539,7 @@ def segment_merge(spark, sf_dir):
     return oplog.merge_by_segment(rows.withColumn("version", F.struct("segment", "event_id")), "id", "version", F.col("tomb")).select("id", "value", "segment")
 
 
-@register("SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, 0::BIGINT AS faulty, true AS valid FROM embeddings")
+@register("WITH f AS (SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, count(*) FILTER (WHERE vec_id IS NULL OR embedding IS NULL OR len(embedding) <> 64) AS faulty FROM embeddings) SELECT *, faulty = 0 AND rows = ids AS valid FROM f")
 def segment_validation(spark, sf_dir):
     return oplog.valid_segment(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
 
@@ -571,7 +570,8 @@ BITS_SQL = f"bits AS (SELECT vec_id, b, CAST({dot_sql('e', 'w')} > 0 AS INTEGER)
 @register(f"WITH {V_SQL}, {PROJECTIONS_SQL}, {BITS_SQL}, y AS (SELECT vec_id, b // 8 AS i, CAST(sum(s * pow(2, b % 8)) AS INTEGER) AS c FROM bits GROUP BY vec_id, b // 8) SELECT vec_id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY i) AS codes FROM y GROUP BY vec_id")
 def bq_codes(spark, sf_dir):
     bq = quantize.BinaryQuantizer(64, 32)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(bq.encode("embedding"), lambda x: x.cast("string")), ",").alias("codes"))
+    coded = bq.encoded(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return coded.select("vec_id", F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"))
 
 
 @register(f"""WITH {V_SQL}, {PROJECTIONS_SQL}, {BITS_SQL}, h AS (SELECT a.vec_id, CAST(sum(CASE WHEN a.s <> z.s THEN 1 ELSE 0 END) AS INTEGER) AS distance FROM bits a JOIN bits z ON a.b = z.b AND z.vec_id = 0 GROUP BY a.vec_id)
@@ -580,7 +580,7 @@ def bq_hamming_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     bq = quantize.BinaryQuantizer(64, 32)
     q = vectors.where("vec_id = 0").select(bq.encode("embedding")).first()[0]
-    return quantize.hamming_top_k(vectors.select("vec_id", bq.encode("embedding").alias("codes")), q, 10)
+    return quantize.hamming_top_k(bq.encoded(vectors.select("vec_id", "embedding")), q, 10)
 
 
 @register("SELECT vec_id, CAST(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(least(greatest(x, 0.0), 1.0) * 255 + 0.5))) AS BIGINT) AS code_sum, CAST(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(least(greatest((x + 1) * 127.5, 0.0), 255.0)))) AS BIGINT) AS signed_sum FROM embeddings")
@@ -594,6 +594,39 @@ def batch_quantize_report(spark, sf_dir):
     return rounded(rounded(quantize.batch_report(table(spark, sf_dir, "embeddings")), "low", "high", "range", digits=9), "ratio")
 
 
+PQ_SQL = f"""{V_SQL}, p AS (SELECT vec_id, s, e[s * 8 + 1 : s * 8 + 8] AS x FROM v, (SELECT unnest(range(8)) AS s)), b AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY vec_id) - 1 AS c, x AS y FROM p WHERE vec_id < 16),
+n AS (SELECT p.vec_id, p.s, c, y, row_number() OVER (PARTITION BY p.vec_id, p.s ORDER BY list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c) AS r FROM p JOIN b USING (s)), k AS (SELECT * FROM n WHERE r = 1)"""
+
+
+def _given_codebooks(vectors: DataFrame) -> quantize.ProductQuantizer:
+    """Centroids that are parts of the first stored vectors."""
+    rows = [list(r["embedding"]) for r in vectors.where("vec_id < 16").orderBy("vec_id").collect()]
+    return quantize.ProductQuantizer(tuple(tuple(tuple(map(float, v[8 * s : 8 * s + 8])) for v in rows) for s in range(8)))
+
+
+@register(f"WITH {PQ_SQL} SELECT vec_id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY s) AS codes FROM k GROUP BY vec_id")
+def pq_encode_given(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    pq = _given_codebooks(vectors)
+    return vectors.select("vec_id", F.array_join(F.transform(pq.encode("embedding"), lambda c: c.cast("string")), ",").alias("codes"))
+
+
+@register(f"""WITH {PQ_SQL}, d AS (SELECT k.vec_id, sum(list_sum(list_transform(list_zip(q[s * 8 + 1 : s * 8 + 8], y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM k, q GROUP BY k.vec_id), r AS (SELECT *, row_number() OVER (ORDER BY round(d, 9), vec_id) AS rank FROM d)
+SELECT vec_id, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def pq_adc_given(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    pq = _given_codebooks(vectors)
+    return rounded(quantize.adc_top_k(vectors.select("vec_id", pq.encode("embedding").alias("codes")), pq, query_vector(vectors), 10), "distance")
+
+
+@register()
+def quantizer_choice(spark, sf_dir):
+    """The coarsest quantizer whose error stays under a bound."""
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = [(float(most), quantize.choose(vectors, largest_mse=most)[0]) for most in (1e-4, 1e-2)]
+    return spark.createDataFrame(rows, "largest_mse double, quantizer string")
+
+
 @register()
 def pq_train_encode(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
@@ -634,18 +667,27 @@ def _recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return rounded(search.recall(found, truth, k).agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.min("recall").alias("worst")), "recall", "worst")
 
 
+def _share(recall: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+    """Recall beside the share of the table that a query met."""
+    return recall.crossJoin(rounded(ann.share_scanned(pairs, rows), "share"))  # one row each
+
+
 @register()
 def recall_at_10_cells(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    cells = ann.InvertedLists.train(vectors, 16, "cosine", 8)
-    return _recall(cells.search_batch(cells.index(vectors), _queries(vectors), 10, 10), search.batch_top_k(vectors, _queries(vectors), 10), 10)
+    cells, asked = ann.InvertedLists.train(vectors, 128, "cosine", 8), _queries(vectors)
+    lists = cells.index(vectors)
+    recall = _recall(cells.search_batch(lists, asked, 10, 52), search.batch_top_k(vectors, asked, 10), 10)
+    return _share(recall, cells.candidates(lists, asked, 52), vectors.count())
 
 
 @register()
 def recall_at_10_hyperplanes(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    lsh = ann.HyperplaneHashing(64, 32, 4)
-    return _recall(lsh.search_batch(lsh.index(vectors), _queries(vectors), 10), search.batch_top_k(vectors, _queries(vectors), 10), 10)
+    lsh, asked = ann.HyperplaneHashing(64), _queries(vectors)
+    tables = lsh.index(vectors)
+    recall = _recall(lsh.search_batch(tables, asked, 10), search.batch_top_k(vectors, asked, 10), 10)
+    return _share(recall, lsh.candidates(tables, asked), vectors.count())
 
 
 @register()
@@ -654,6 +696,16 @@ def recall_at_10_graph(spark, sf_dir):
     return _recall(graph.graph_search(vectors, _queries(vectors), 10), search.batch_top_k(vectors, _queries(vectors), 10), 10)
 
 
+@register()
+def recall_at_10_stored_graph(spark, sf_dir):
+    """Graphs that are stored, half of them by a later batch, then searched through a collection and in a batch."""
+    vectors = table(spark, sf_dir, "embeddings")
+    path = f"{_stream_root(spark)}/graphs"
+    graph.write_graphs(vectors.where("vec_id % 2 = 0"), path)
+    index = graph.write_graphs(vectors.where("vec_id % 2 = 1"), path)
+    return _recall(graph.search_graphs(index, _queries(vectors), 10), search.batch_top_k(vectors, _queries(vectors), 10), 10)
+
+
 @register()
 def graph_statistics(spark, sf_dir):
     return rounded(graph.graph_stats(graph.graph_edges(table(spark, sf_dir, "embeddings"))), "avg_degree")
@@ -706,7 +758,9 @@ def ring_load(spark, sf_dir):
     return rounded(placement.balanced(placement.load(ring.place(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")), 5, 0.05), "share", "deviation", digits=9)
 
 
-@register()
+@register(f"""WITH {RING_SQL}, six AS (SELECT * FROM ring UNION ALL SELECT 'node5', {SHA_SQL.format("'node5-' || i")} FROM (SELECT unnest(range(160)) AS i)),
+after AS (SELECT c_custkey, coalesce((SELECT arg_min(node, r.h) FROM six r WHERE r.h >= k.h), (SELECT arg_min(node, r.h) FROM six r)) AS target FROM k)
+SELECT c_custkey, node AS source, target FROM placed JOIN after USING (c_custkey) WHERE node <> target""")
 def ring_rebalance(spark, sf_dir):
     ring = placement.Ring(NODES, 160)
     return placement.moves(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", ring, ring.with_node("node5"))
@@ -720,6 +774,20 @@ def hash_range_shards(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", placement.shard_of("s_suppkey", 4).alias("shard"), wrapped.alias("around"))
 
 
+@register(f"WITH {RING_SQL} SELECT c_custkey, 3::BIGINT AS copies, 3::BIGINT AS nodes, node AS first_node FROM placed")
+def replicated_put(spark, sf_dir):
+    """Each key on three nodes, all different, the first by the ring."""
+    copies = placement.replicate(table(spark, sf_dir, "customer").select("c_custkey"), placement.Ring(NODES, 160), "c_custkey", 3)
+    return copies.groupBy("c_custkey").agg(F.count("*").alias("copies"), F.count_distinct("node").alias("nodes"), F.max(F.when(F.col("replica") == 0, F.col("node"))).alias("first_node"))
+
+
+@register("""WITH n AS (SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'failed' WHEN s_suppkey % 5 = 0 THEN 'joining' ELSE 'active' END AS state FROM supplier), c AS (SELECT count(*) AS nodes, count(*) FILTER (WHERE state = 'active') AS active, count(*) FILTER (WHERE state = 'failed') AS failed FROM n)
+SELECT *, CASE WHEN active * 2 < nodes THEN 'critical' WHEN active < nodes THEN 'degraded' ELSE 'healthy' END AS status FROM c""")
+def cluster_health(spark, sf_dir):
+    state = F.when(F.col("s_suppkey") % 7 == 0, "failed").when(F.col("s_suppkey") % 5 == 0, "joining").otherwise("active")
+    return placement.cluster_health(table(spark, sf_dir, "supplier").select(state.alias("state")))
+
+
 # --- streaming --------------------------------------------------------------------------------------------------------------
 
 def _stream_root(spark: SparkSession) -> str:
@@ -731,6 +799,8 @@ def _stream_root(spark: SparkSession) -> str:
 
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="halyard-stream-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -769,10 +839,39 @@ def windowed_statistics(spark, sf_dir):
     return rounded(stream.windowed_stats(table(spark, sf_dir, "events"), "ts", "value", ["event_type"]), "avg_value", digits=4)
 
 
-@register("SELECT event_id, user_id, CAST(row_number() OVER (ORDER BY user_id % 5 DESC, event_id) AS INTEGER) AS place FROM events WHERE event_id < 500")
+@register("SELECT event_id, user_id, row_number() OVER (ORDER BY user_id % 5 DESC, event_id) AS place FROM events")
 def priority_order(spark, sf_dir):
-    batch = table(spark, sf_dir, "events").where("event_id < 500").select("event_id", "user_id", (F.col("user_id") % 5).alias("priority"), F.col("event_id").alias("seq"))
-    return stream.prioritized(batch).select("event_id", "user_id", F.row_number().over(Window.orderBy(F.desc("priority"), "seq")).alias("place"))
+    batch = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 5).alias("priority"), F.col("event_id").alias("seq"))
+    return stats.positions(batch, [F.desc("priority"), "seq"]).select("event_id", "user_id", "place")
+
+
+@register("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place, true AS sound FROM events")
+def log_append(spark, sf_dir):
+    """Entries appended in two batches: numbers follow the order, checksums are right."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", F.lit("insert").alias("op"), F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("seq")).drop("ts")
+    empty = spark.createDataFrame([], "lsn long, event_id long, op string, id long, crc long")
+    log = oplog.append(empty, events, "seq")
+    sound = F.col("crc").eqNullSafe(oplog.checksum("lsn", "event_id", "op", "id"))
+    return stats.positions(log, ["lsn"]).select("event_id", "place", sound.alias("sound"))
+
+
+@register(f"WITH {REPLAY_SQL}, r AS (SELECT l.*, row_number() OVER (PARTITION BY id ORDER BY lsn DESC) AS n FROM l, c WHERE lsn > m) SELECT id, value FROM r WHERE n = 1 AND op <> 'delete'")
+def crash_recovery(spark, sf_dir):
+    """Snapshot, log truncated at it, and the state from what is stored."""
+    root, log = _stream_root(spark), _log(spark, sf_dir)
+    oplog.checkpoint(log, oplog.replay(log.where("lsn <= 400")).select("id", "value"), 400, f"{root}/snapshots", f"{root}/log")
+    suffix = oplog.checkpoint(log, oplog.replay(log.where("lsn <= 800")).select("id", "value"), 800, f"{root}/snapshots", f"{root}/log")
+    return oplog.recover_from(spark, f"{root}/snapshots", suffix)
+
+
+@register("SELECT count(*) AS rows, 0::BIGINT AS errors FROM events")
+def stream_progress(spark, sf_dir):
+    root = _stream_root(spark)
+    source = stream.read_files(spark, sf_dir, table(spark, sf_dir, "events").schema, glob="events.parquet")
+    query = stream.append_stream(source.select("event_id", "value"), f"{root}/table", f"{root}/state")
+    query.awaitTermination()
+    p = stream.progress(query)
+    return spark.createDataFrame([(p["rows"], p["errors"])], "rows long, errors long")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

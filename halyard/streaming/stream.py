@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from halyard.functions import vectors as V
 from halyard.functions.predicates import Filter, where
 from halyard.operators import oplog
+from halyard.operators import search as S
 from halyard.operators.collection import delete, last_writes, upsert
 from halyard.operators.quantize import signed_encode
 
@@ -99,9 +100,14 @@ def windowed_stats(df: DataFrame, timestamp: str, value: str, keys: Sequence[str
 
 
 def progress(query: StreamingQuery) -> dict[str, float]:
-    """Rows and batches so far."""
-    rows = [p["numInputRows"] for p in query.recentProgress]
-    return {"batches": len(rows), "rows": sum(rows)}
+    """Batches and rows so far, mean and largest batch latency in ms, rows per second, and errors with their share of the batches begun."""
+    done = [p for p in query.recentProgress if "addBatch" in p["durationMs"]]
+    took = [p["durationMs"]["triggerExecution"] for p in done]
+    rows, errors = sum(p["numInputRows"] for p in done), int(query.exception() is not None)
+    return {
+        "batches": len(done), "rows": rows, "avg_latency_ms": sum(took) / len(took) if took else 0.0, "max_latency_ms": max(took, default=0), "rows_per_second": 1000 * rows / sum(took) if sum(took) else 0.0,
+        "errors": errors, "error_rate": errors / (len(done) + errors) if done or errors else 0.0,
+    }
 
 
 def apply_operations(base: DataFrame, operations: DataFrame, id: str = "id", op: str = "op", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -115,3 +121,35 @@ def apply_operations(base: DataFrame, operations: DataFrame, id: str = "id", op:
     out = upsert(delete(base, gone, id), last.where(F.col(op) != "delete"), id)
     report = operations.groupBy(op).agg(F.count("*").alias("total"), F.count_if(good).alias("succeeded"), F.count_if(~good | good.isNull()).alias("failed"))
     return out, report
+
+
+def run_operations(
+    base: DataFrame, operations: DataFrame, stop_on_error: bool = False, k: int = 10, metric: str = "cosine", id: str = "id", vector: str = "vector", op: str = "op", seq: str = "seq",
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """A batch of insert, update, delete and search operations in order of seq: the table, a result for each operation, the hits of the searches.
+
+    An operation fails if its kind is unknown, it has no id (a search: no vector), or its vector has another dimension than the
+    table's first. With stop_on_error those from the first failure on are skipped. Searches see the table after the batch; their
+    query_id is seq. Hits are None if there can be none (no vector column).
+    """
+    searches = F.col(op) == "search"
+    writes = F.col(op).isin("insert", "update", "delete")
+    error = F.when(~F.coalesce(writes | searches, F.lit(False)), F.lit("unknown operation")).when(~searches & F.col(id).isNull(), F.lit("no id"))
+    if vector in operations.columns:
+        first = base.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+        error = error.when((F.col(op) != "delete") & F.col(vector).isNull(), F.lit("no vector"))
+        if first is not None:
+            error = error.when((F.col(op) != "delete") & (F.size(vector) != first[0]), F.lit("dimension"))
+    else:
+        error = error.when(searches, F.lit("no vector"))
+    marked = operations.withColumn("error", error)
+    if stop_on_error:
+        at = marked.where("error IS NOT NULL").agg(F.min(seq)).first()[0]
+        if at is not None:
+            marked = marked.withColumn("error", F.when(F.col(seq) > at, F.lit("skipped")).otherwise(F.col("error")))
+    good = marked.where("error IS NULL").drop("error")
+    table, _ = apply_operations(base, good.where(writes), id, op, seq)
+    hits = None
+    if vector in operations.columns:
+        hits = S.batch_top_k(table, good.where(searches).select(F.col(seq).alias("query_id"), F.col(vector).alias("query")), k, metric, id=id, vector=vector)
+    return table, marked.select(seq, op, id, F.col("error").isNull().alias("ok"), "error"), hits

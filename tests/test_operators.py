@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from halyard.contract import AlreadyExists, CapacityExceeded, Closed, CollectionConfig, EngineError, InvalidConfig, InvalidRequest, NotFound, SearchRequest
 from halyard.functions import predicates as P
 from halyard.operators import ann, graph, oplog, placement, quantize, search, stats
-from halyard.operators.collection import Catalog, Collection
+from halyard.operators.catalog import Catalog
+from halyard.operators.collection import Collection
 from halyard.operators.kmeans import kmeans
 from halyard.plans import planner
 from halyard.sources import files
@@ -124,10 +125,13 @@ def vectors(spark):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan", "dot_product"])
-@pytest.mark.parametrize("block", [4, 1000])
-def test_batches_equal_single_searches(spark, vectors, metric, block):
+@pytest.mark.parametrize("way", ["one block", "blocks", "chunks"])
+def test_batches_equal_single_searches(spark, vectors, metric, way, monkeypatch):
+    if way != "one block":
+        monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+        monkeypatch.setattr(search, "SEGMENT_ROWS", 64)
     queries = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    got = search.batch_top_k(vectors, queries, 5, metric, P.ne("label", 1), block=block).collect()
+    got = search.batch_top_k(vectors, queries, 5, metric, P.ne("label", 1), max_broadcast=0 if way == "chunks" else 1 << 20).collect()
     for q in queries.where("query_id IN (0, 7)").collect():
         want = search.top_k(vectors, q["query"], 5, metric, P.ne("label", 1)).collect()
         own = sorted((r for r in got if r["query_id"] == q["query_id"]), key=lambda r: r["rank"])
@@ -160,7 +164,7 @@ def test_approximate_search_recall(vectors):
     queries = vectors.where("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     truth = search.batch_top_k(vectors, queries, 5)
     cells = ann.InvertedLists.train(vectors, 6, "cosine", 5)
-    lsh = ann.HyperplaneHashing(16, 20, 3)
+    lsh = ann.HyperplaneHashing(16, 40, 8, 24)
     ways = [cells.search_batch(cells.index(vectors), queries, 5, 5), lsh.search_batch(lsh.index(vectors), queries, 5), graph.graph_search(vectors, queries, 5)]
     for found in ways:
         assert search.recall(found, truth, 5).agg(F.avg("recall")).first()[0] >= 0.9
@@ -328,3 +332,101 @@ def test_graph_search_takes_any_number_of_queries(spark):
     queries = spark.range(2100).select(F.col("id").alias("query_id"), F.array(F.cos(F.col("id") % 40), F.sin(F.col("id") % 40)).alias("query"))
     got = graph.graph_search(vectors, queries, 1, "euclidean").collect()
     assert {(r["query_id"], r["vec_id"]) for r in got} == {(i, i % 40) for i in range(2100)} and len(got) == 2100
+
+
+def test_stored_graphs_take_batches_and_are_compacted(spark, vectors, tmp_path):
+    index = graph.write_graphs(vectors.where("vec_id < 200"), str(tmp_path / "g"), graph_rows=50)
+    few = index.count()
+    index = graph.write_graphs(vectors.where("vec_id >= 200"), str(tmp_path / "g"), graph_rows=50)
+    assert index.count() > few and index.agg(F.sum(F.size("ids"))).first()[0] == 300
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for stored in (index, graph.compact_graphs(index, str(tmp_path / "h"))):
+        found = graph.search_graphs(stored, queries, 5)
+        assert search.recall(found, search.batch_top_k(vectors, queries, 5), 5).agg(F.avg("recall")).first()[0] >= 0.95
+
+
+def test_searches_are_routed_to_indexes(spark, vectors, tmp_path):
+    c = Collection(CollectionConfig("v", 16, id_column="vec_id", vector_column="embedding"), vectors)
+    cells = ann.InvertedLists.train(vectors, 6, "cosine", 5)
+    graphs = graph.write_graphs(vectors, str(tmp_path / "g"))
+    q = vectors.where("vec_id = 7").first()["embedding"]
+    request, filtered = SearchRequest(q, 3), SearchRequest(q, 3, P.eq("label", 1))
+    assert c.strategy(request) == "flat"
+    few, many = (c.indexed(n, cells, cells.index(vectors), 6, graphs) for n in (300, 10**9))
+    assert few.strategy(request) == "flat" and many.strategy(request) == "graph" and many.strategy(request, exact=True) == "flat"
+    assert many.strategy(filtered) == "cells" and c.indexed(10**9, graphs=graphs).strategy(filtered) == "flat" and many.strategy(filtered, selectivity=1e-6) == "flat"
+    want = [(r["vec_id"], round(r["distance"], 9), r["rank"]) for r in c.search(request).collect()]
+    for way in (many, c.indexed(10**9, cells, cells.index(vectors), 6)):
+        assert [(r["vec_id"], round(r["distance"], 9), r["rank"]) for r in way.search(request).collect()] == want
+        assert set(way.search(request).columns) == set(c.search(request).columns)
+    assert [r["vec_id"] for r in many.search(filtered).collect()] == [r["vec_id"] for r in c.search(filtered).collect()]
+    assert many.delete(0).strategy(request) == "flat"  # a write leaves the indexes behind
+
+
+def test_stored_catalog(spark, articles, tmp_path):
+    path = str(tmp_path / "cat")
+    cat = Catalog(spark, path)
+    cat.create(articles, owner="x")
+    with pytest.raises(AlreadyExists):
+        Catalog(spark, path).create(articles)
+    again = Catalog(spark, path)
+    assert again.names() == ["articles"] and again.get("articles").count() == articles.count() and again.get("articles").config == articles.config
+    first = articles.list(1).first()[articles.config.id_column]
+    again.update(again.get("articles").delete(first), state="cut")
+    assert Catalog(spark, path).get("articles").count() == articles.count() - 1 and Catalog(spark, path).properties("articles") == {"owner": "x", "state": "cut"}
+    with pytest.raises(EngineError):  # a writer that has not seen the newest version
+        stale = Catalog(spark, path)
+        monkey = stale.versions
+        stale.versions = lambda: [stale.version - 1]
+        stale.version -= 1
+        stale.update(articles)
+    again = Catalog(spark, path)
+    again._entries["articles"]["state"] = "dropping"  # a crash amid a drop
+    again._save()
+    assert Catalog(spark, path).names() == []
+    newest = max((tmp_path / "cat" / "_manifest").glob("v*.json"))
+    newest.write_text(newest.read_text()[:20])  # a write that broke off
+    for crc in (tmp_path / "cat" / "_manifest").glob(".*.crc"):
+        crc.unlink()
+    assert Catalog(spark, path).version < int(newest.name[1:-5]) or monkey
+
+
+def test_recovery_checks_snapshots_and_log(spark, tmp_path):
+    path = str(tmp_path / "s")
+    ops = [(i, "insert", f"k{i % 7}", i) for i in range(1, 31)] + [(31, "delete", "k0", None)]
+    log = spark.createDataFrame(ops, "lsn long, op string, id string, x int")
+    want = {r["id"]: r["x"] for r in oplog.replay(log).collect()}
+    got = lambda log_, **k: {r["id"]: r["x"] for r in oplog.recover_from(spark, path, log_, **k).collect()}
+    assert got(log) == want  # no snapshot yet
+    for lsn in (10, 20):
+        suffix = oplog.checkpoint(log, oplog.replay(log.where(F.col("lsn") <= lsn)).select("id", "x"), lsn, path, str(tmp_path / "l"))
+        assert suffix.count() == 31 - lsn and got(suffix) == want and got(log) == want
+    spark.createDataFrame([("zz", 1)], "id string, x int").write.mode("append").parquet(f"{path}/{oplog.list_snapshots(spark, path)[0]}")
+    with pytest.raises(EngineError):
+        oplog.restore_snapshot(spark, path, verify=True)
+    assert got(log) == want  # from the snapshot before
+    checked = log.withColumn("crc", oplog.checksum("lsn", "op", "id", "x"))
+    assert got(checked) == want
+    damaged = checked.withColumn("crc", F.when(F.col("lsn") == 30, 0).otherwise(F.col("crc")))
+    with pytest.raises(EngineError):
+        got(damaged)
+    assert got(damaged, skip_corrupt=True) != want
+    assert [r["lsn"] for r in oplog.since(log, 30).orderBy("lsn").collect()] == [30, 31]
+
+
+def test_places_and_totals_over_tasks(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7)
+    assert {r["x"]: r["place"] for r in stats.positions(df, ["x"]).collect()} == {i: i + 1 for i in range(1000)}
+    assert stats.histogram(spark.createDataFrame([(0.002,), (99.0,)], "x double"), "x").count() == 2
+
+
+def test_operations_with_searches_and_stops(spark):
+    base = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
+    ops = [(1, "insert", "c", [1.0, 1.0]), (2, "search", None, [1.0, 0.9]), (3, "delete", "b", None), (4, "insert", None, [1.0, 1.0]), (5, "update", "a", [1.0]), (6, "explode", "a", None), (7, "delete", "a", None)]
+    operations = spark.createDataFrame(ops, "seq int, op string, id string, vector array<double>")
+    table, results, hits = stream.run_operations(base, operations, k=1)
+    assert {r["id"] for r in table.collect()} == {"c"} and hits.first()["id"] == "c" and hits.first()["query_id"] == 2
+    assert {r["seq"]: r["error"] for r in results.collect()} == {1: None, 2: None, 3: None, 4: "no id", 5: "dimension", 6: "unknown operation", 7: None}
+    table, results, _ = stream.run_operations(base, operations, stop_on_error=True)
+    assert {r["id"] for r in table.collect()} == {"a", "c"} and {r["seq"] for r in results.where("ok").collect()} == {1, 2, 3}
+    assert {r["error"] for r in results.where("seq > 4").collect()} == {"skipped"}
