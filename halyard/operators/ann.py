@@ -98,7 +98,7 @@ class HyperplaneHashing:
     """
 
     dimension: int
-    tables: int = 52
+    tables: int = 64
     bits: int = 12
     probes: int = 48
     hits: int = 2
