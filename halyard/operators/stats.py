@@ -127,8 +127,8 @@ def positions(df: DataFrame, order: Sequence[Column | str], to: str = "place") -
     return running_total(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", to).drop("_one")
 
 
-#: Upper bounds of latency buckets in seconds where the caller names none. Fixed values, as the reference's histograms have them.
-SECONDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+#: Upper bounds of buckets, in seconds, where the caller names none.
+SECONDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
 def histogram(df: DataFrame, value: str, bounds: Sequence[float] = SECONDS) -> DataFrame:
