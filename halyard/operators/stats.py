@@ -139,25 +139,66 @@ def histogram(df: DataFrame, value: str, bounds: Sequence[float] = SECONDS) -> D
     return df.where(F.col(value).isNotNull()).groupBy(bucket.alias("upper")).agg(F.count("*").alias("n"), F.sum(F.col(value)).alias("total"))
 
 
+def _in_tasks(df: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
+    """df in the order of keys and order over all tasks, so that a hot key spans many, with the task (_p) and the place in it (_m)."""
+    return df.orderBy(*keys, order).withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
+
+
+def _carried(ordered: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
+    """ordered (kept) with sums over the rows of the same key in earlier tasks, 0 where there are none.
+
+    Only the first key of a task goes on from others, so what is broadcast is a row a task at most.
+    """
+    each = ordered.groupBy("_p", *keys).agg(*[s.alias(n) for n, s in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select(F.col("_p").alias("_q"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], *[F.sum(n).over(earlier).alias(n) for n in sums], F.count("*").over(earlier).alias("_tasks"))
+    on = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    out = ordered.join(F.broadcast(before.where("_tasks > 0")), on, "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in sums}).drop("_q", "_tasks", *[f"_k{i}" for i in range(len(keys))])
+
+
 def running_average(df: DataFrame, value: str, order: str, keys: Sequence[str]) -> DataFrame:
-    return df.withColumn("running_avg", F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Mean of the values up to each row, in the order within each key: sums within tasks and what earlier tasks carry over."""
+    x = F.col(value).cast("double")
+    rows = _carried(_in_tasks(df, order, keys).persist(), keys, _s=F.coalesce(F.sum(x), F.lit(0.0)), _c=F.count(x))
+    up = Window.partitionBy("_p", *keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    total, n = F.col("_s") + F.coalesce(F.sum(x).over(up), F.lit(0.0)), F.col("_c") + F.count(x).over(up)
+    return rows.withColumn("running_avg", F.try_divide(total, n)).drop("_m", "_p", "_s", "_c")
 
 
-def moving_average(df: DataFrame, value: str, order: str, keys: Sequence[str], width: int = 100) -> DataFrame:
-    return df.withColumn("moving_avg", F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width - 1), 0)))
+def moving_average(df: DataFrame, value: str, order: str, keys: Sequence[str], width: int = 100, block: int = 65_536) -> DataFrame:
+    """Mean over the last `width` rows of each key, this one included.
+
+    The rows of a key are cut into blocks of `block` by their place; the last rows of a block are copied to the next one, so the
+    windows of a hot key run in many tasks.
+    """
+    block = max(block, width)
+    rows = _carried(_in_tasks(df, order, keys).persist(), keys, _c=F.count("*"))
+    place = F.col("_c") + F.row_number().over(Window.partitionBy("_p", *keys).orderBy("_m")) - 1
+    own = F.floor(F.col("_n") / block)
+    copies = F.when(F.col("_n") % block > block - width, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = rows.withColumn("_n", place).withColumn("_own", own).withColumn("_block", F.explode(copies))
+    last = Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(-(width - 1), 0)
+    return cut.withColumn("moving_avg", F.avg(value).over(last)).where("_own = _block").drop("_m", "_p", "_c", "_n", "_own", "_block")
 
 
 def exponential_average(df: DataFrame, value: str, order: str, keys: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """The last exponentially weighted average of each group, started with its first value.
 
     The weight of the i-th value from the end is alpha * (1 - alpha)**i ((1 - alpha)**i for the first): a sum over a rank, not a
-    fold over a collected list.
+    fold over a collected list. Tasks weigh from their own end; a task's sum then fades by the number of values after it.
     """
-    w = Window.partitionBy(*keys)
-    back = F.row_number().over(w.orderBy(F.desc(order))) - 1
-    placed = df.where(F.col(value).isNotNull()).withColumn("_i", back).withColumn("_n", F.count("*").over(w))
-    weight = F.pow(F.lit(1 - alpha), F.col("_i")) * F.when(F.col("_i") == F.col("_n") - 1, 1.0).otherwise(alpha)
-    return placed.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias("ema"), F.count("*").alias("samples"))
+    fade = lambda i: F.pow(F.lit(1 - alpha), i)
+    ordered = _in_tasks(df.where(F.col(value).isNotNull()), order, keys)
+    back = F.row_number().over(Window.partitionBy("_p", *keys).orderBy(F.desc("_m"))) - 1
+    parts = ordered.withColumn("_i", back).groupBy("_p", *keys).agg(F.sum(alpha * fade(F.col("_i")) * F.col(value)).alias("_s"), F.count("*").alias("_n"), F.min_by(value, "_m").alias("_first"))
+    by_task = Window.partitionBy(*keys).orderBy("_p")
+    after = F.coalesce(F.sum("_n").over(by_task.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    joined = parts.withColumn("_after", after).withColumn("_start", F.row_number().over(by_task) == 1)
+    start = F.when(F.col("_start"), (1 - alpha) * fade(F.col("_after") + F.col("_n") - 1) * F.col("_first")).otherwise(0.0)
+    return joined.groupBy(*keys).agg(F.sum(fade(F.col("_after")) * F.col("_s") + start).alias("ema"), F.sum("_n").alias("samples"))
 
 
 def batch_statistics(df: DataFrame, ok: Column, latency: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -421,6 +421,42 @@ def test_places_and_totals_over_tasks(spark):
     assert stats.histogram(spark.createDataFrame([(0.002,), (99.0,)], "x double"), "x").count() == 2
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_averages_in_order_over_tasks(spark, parts):
+    rng = np.random.default_rng(5)
+    rows = [(k, int(i), None if rng.random() < 0.1 else float(rng.normal())) for k, n in (("hot", 900), ("b", 40), (None, 60), ("one", 1), ("c", 1)) for i in range(n)]
+    rows = [(k, i, None if k == "c" else v) for k, i, v in rows]
+    held = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "g string, i int, v double")
+        assert df.orderBy("g", "i").rdd.getNumPartitions() == parts
+        moving = {(r["g"], r["i"]): r["moving_avg"] for r in stats.moving_average(df, "v", "i", ["g"], 10, 16).collect()}
+        running = {(r["g"], r["i"]): r["running_avg"] for r in stats.running_average(df, "v", "i", ["g"]).collect()}
+        ema = {r["g"]: (r["ema"], r["samples"]) for r in stats.exponential_average(df, "v", "i", ["g"]).collect()}
+        whole = [r["moving_avg"] for r in stats.moving_average(df.where("g = 'b'"), "v", "i", [], 10, 16).orderBy("i").collect()]
+    finally:
+        for n, v in held.items():
+            spark.conf.set(n, v)
+    assert len(moving) == len(running) == len(rows)
+    mean = lambda xs: pytest.approx(sum(xs) / len(xs)) if xs else None
+    want_ema = {}
+    for k in {r[0] for r in rows}:
+        values = [v for g, _, v in rows if g == k]
+        for i in range(len(values)):
+            assert moving[k, i] == mean([v for v in values[max(0, i - 9) : i + 1] if v is not None])
+            assert running[k, i] == mean([v for v in values[: i + 1] if v is not None])
+        present = [v for v in values if v is not None]
+        if present:
+            e = present[0]
+            for v in present[1:]:
+                e = 0.9 * e + 0.1 * v
+            want_ema[k] = (pytest.approx(e), len(present))
+    assert ema == want_ema
+    assert whole == [moving["b", i] for i in range(40)]
+
+
 def test_operations_with_searches_and_stops(spark):
     base = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
     ops = [(1, "insert", "c", [1.0, 1.0]), (2, "search", None, [1.0, 0.9]), (3, "delete", "b", None), (4, "insert", None, [1.0, 1.0]), (5, "update", "a", [1.0]), (6, "explode", "a", None), (7, "delete", "a", None)]
