@@ -75,10 +75,7 @@ def write_snapshot(df: DataFrame, path: str, name: str, keep: int = 3, lsn: int
     spark = df.sparkSession
     df.write.mode("errorifexists").parquet(f"{path}/{name}")
     written = spark.read.parquet(f"{path}/{name}")
-    p, fs = _folder(spark, f"{path}/{name}/_checksum.json")
-    stream = fs.create(p, True)
-    stream.write(bytearray(json.dumps({"digest": _digest(written), "lsn": lsn}).encode()))
-    stream.close()
+    write_json(spark, f"{path}/{name}/_checksum.json", {"digest": _digest(written), "lsn": lsn})
     for old in list_snapshots(spark, path)[keep:]:
         delete_snapshot(spark, path, old)
 
@@ -89,18 +86,37 @@ def snapshot_lsn(spark: SparkSession, path: str, name: str) -> int | None:
 
 
 def _stored(spark: SparkSession, path: str, name: str) -> dict:
-    p, fs = _folder(spark, f"{path}/{name}/_checksum.json")
+    stored = read_json(spark, f"{path}/{name}/_checksum.json")
+    return {"digest": None} if stored is None else stored
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    p, fs = _folder(spark, path)
+    stream = fs.create(p, True)
+    stream.write(bytearray(json.dumps(value).encode()))
+    stream.close()
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """What write_json stored; empty if there is no such file, None if its writing broke off."""
+    p, fs = _folder(spark, path)
     if not fs.exists(p):
         return {}
     stream = fs.open(p)
     try:
         return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     except ValueError:
-        return {"digest": None}  # broke off
+        return None
     finally:
         stream.close()
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    p, fs = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _folder(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -1,19 +1,23 @@
 """Streams of records (id, vector, metadata..., timestamp, priority).
 
 Transforms are frame-to-frame functions, so they chain and work on batches and streams alike. Back-pressure is the source's rate
-limit; nothing is dropped. The upsert sink applies each micro-batch to a table of Parquet versions: version n is written beside
-version n - 1 and the newest complete one counts, so a batch that is run again after a failure gives the same table.
+limit; nothing is dropped. The upsert sink keeps its table in buckets by a hash of the id: a micro-batch writes the buckets that it
+touches anew, beside the others, and then a manifest of which version of each bucket counts. The newest manifest that can be read
+counts, so a batch that is run again after a failure gives the same table, and readers never see half a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from halyard.contract import EngineError
 from halyard.functions import vectors as V
 from halyard.functions.predicates import Filter, where
 from halyard.operators import oplog
@@ -57,29 +61,78 @@ def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of an upserted table."""
-    return oplog.restore_snapshot(spark, path)
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the stored manifests of an upserted table, newest first."""
+    return sorted((int(n[1:-5]) for n in oplog.children(spark, f"{path}/_manifest") if n.startswith("v") and n.endswith(".json")), reverse=True)
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict | None:
+    return oplog.read_json(spark, f"{path}/_manifest/v{number:012d}.json") or None
+
+
+def _newest(spark: SparkSession, path: str) -> dict | None:
+    return next((m for m in (_manifest(spark, path, n) for n in _manifests(spark, path)) if m), None)
+
 
+def _read_buckets(spark: SparkSession, path: str, manifest: dict, buckets: Iterable[str]) -> DataFrame:
+    schema = StructType.fromJson(manifest["schema"])
+    folders = [f"{path}/v{manifest['held'][b]:012d}/_bucket={b}" for b in buckets if b in manifest["held"]]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, id: str = "id", seq: str = "seq", deleted: Column | None = None, keep: int = 3, available_now: bool = True, interval: str = "10 seconds") -> StreamingQuery:
-    """Write a stream as upserts (and deletes, where `deleted` holds) into the table at path."""
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of an upserted table."""
+    manifest = _newest(spark, path)
+    if manifest is None:
+        raise EngineError("no such table")
+    return _read_buckets(spark, path, manifest, manifest["held"])
+
+
+def _forget(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all manifests but the newest, and the buckets that only they name."""
+    numbers = _manifests(spark, path)
+    kept = {tuple(x) for n in numbers[:keep] for x in (_manifest(spark, path, n) or {"held": {}})["held"].items()}
+    for number in numbers[keep:]:
+        for b, version in (_manifest(spark, path, number) or {"held": {}})["held"].items():
+            if (b, version) not in kept:
+                oplog.delete_snapshot(spark, path, f"v{version:012d}/_bucket={b}")
+                if version not in {v for _, v in kept} and not any(n.startswith("_bucket=") for n in oplog.children(spark, f"{path}/v{version:012d}")):
+                    oplog.delete_snapshot(spark, path, f"v{version:012d}")
+        oplog.delete_snapshot(spark, path, f"_manifest/v{number:012d}.json")
+
+
+def upsert_stream(
+    stream: DataFrame, path: str, checkpoint: str, id: str = "id", seq: str = "seq", deleted: Column | None = None, keep: int = 3, available_now: bool = True, interval: str = "10 seconds", buckets: int = 64,
+) -> StreamingQuery:
+    """Write a stream as upserts (and deletes, where `deleted` holds) into the table at path.
+
+    The number of buckets is fixed by the first batch: choose it so that a bucket is a few files. A batch costs the buckets that it
+    touches, which for a batch of few ids is a small part of the table.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        name = f"v{number:012d}"
-        done = oplog.list_snapshots(spark, path)
-        if name in done or (done and done[0] > name):
+        before = _newest(spark, path)
+        if before and before["number"] >= number:
             return  # this batch was applied before
-        batch = batch.persist()  # it is read for what stays and for what goes
-        latest = last_writes(batch.withColumn("_gone", deleted if deleted is not None else F.lit(False)), id, seq)
+        count = before["buckets"] if before else buckets
+        bucket = F.pmod(F.xxhash64(id), F.lit(count)).cast("int")
+        # Kept, since it is read for the buckets touched, for what stays and for what goes.
+        latest = last_writes(batch.withColumn("_gone", deleted if deleted is not None else F.lit(False)), id, seq).persist()
+        touched = {str(r[0]) for r in latest.select(bucket).distinct().collect()}  # at most `count`
         new = latest.where(~F.col("_gone")).drop("_gone")
-        base = spark.read.parquet(f"{path}/{done[0]}") if done else None
-        whole = new if base is None else upsert(delete(base, latest.where("_gone"), id), new, id)
-        whole.write.mode("overwrite").parquet(f"{path}/{name}")
-        batch.unpersist()
-        for old in oplog.list_snapshots(spark, path)[keep:]:
-            oplog.delete_snapshot(spark, path, old)
+        whole = new
+        if before:
+            whole = upsert(delete(_read_buckets(spark, path, before, sorted(touched)), latest.where("_gone"), id), new, id)
+        name = f"v{number:012d}"
+        oplog.delete_snapshot(spark, path, name)  # what an attempt that broke off left
+        whole.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{name}")
+        latest.unpersist()
+        held = {b: v for b, v in before["held"].items() if b not in touched} if before else {}
+        held |= {n.partition("=")[2]: number for n in oplog.children(spark, f"{path}/{name}") if n.startswith("_bucket=")}
+        schema = before["schema"] if before else json.loads(new.schema.json())
+        oplog.write_json(spark, f"{path}/_manifest/{name}.json", {"number": number, "buckets": count, "schema": schema, "held": held})
+        _forget(spark, path, keep)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()

@@ -20,6 +20,35 @@ def test_upserts_from_a_stream_of_files(spark, tmp_path):
     assert stream.read_table(spark, table).count() == 2
 
 
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    src, table, state = (str(tmp_path / x) for x in ("src", "table", "state"))
+    schema = "id long, seq long, x int, gone boolean"
+    want = {}
+
+    def batch(rows):
+        for i, _, x, gone in rows:
+            want.pop(i, None)
+            if not gone:
+                want[i] = x
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream.upsert_stream(stream.read_files(spark, src, schema, files_per_trigger=1), table, state, deleted=F.col("gone"), keep=2, buckets=8).awaitTermination()
+        assert {r["id"]: r["x"] for r in stream.read_table(spark, table).collect()} == want
+
+    batch([(i, 1, i, False) for i in range(200)])
+    first = stream._newest(spark, table)
+    assert set(first["held"].values()) == {0} and len(first["held"]) == 8
+    batch([(7, 2, 70, False)])
+    second = stream._newest(spark, table)
+    assert sorted(second["held"].values()) == [0] * 7 + [1]  # one bucket is new, the others stay where they are
+    batch([(7, 3, 0, True), (500, 3, 5, False)])
+    batch([(i, 4, 0, True) for i in range(600)])  # nothing is left
+    assert stream.read_table(spark, table).columns == ["id", "seq", "x", "gone"]
+    batch([(1, 5, 1, False)])
+    assert stream._manifests(spark, table) == [4, 3] and not (tmp_path / "table" / "v000000000000").exists()
+    (tmp_path / "table" / "_manifest" / "v000000000009.json").write_text('{"number"')  # a write that broke off
+    assert {r["id"]: r["x"] for r in stream.read_table(spark, table).collect()} == want
+
+
 def test_processors_chain_on_a_stream(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     spark.createDataFrame([("a", [3.0, 4.0], 1), ("b", [0.0, 1.0], 2)], "id string, vector array<double>, priority int").write.parquet(src)
