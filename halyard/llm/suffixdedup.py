@@ -9,10 +9,15 @@ side, the match is extended to the right and to the left, and where it has `leas
 passage. Rows of one text in a row wait for the next text, rows with equal contexts as one; the runs at the edges of a task are
 compared with what lies next to them in other tasks. Longer passages are the union over their positions.
 
-A passage of least + window - 1 words that occurs in two texts always has a kept position with a match of `least` words to its
-right, and then a sorted neighbour has too; a shorter one, of `least` words at least, is found unless suffixes that share its
-right part, but not its left, sort between all of its copies. Whatever is reported occurs in another text (up to hashes: 64 bits
-for the k-gram, 32 for each word around it).
+Rows that share a passage's right part, but not its left, can sort between its copies, so that no neighbour shows it. Any `least`
+words have a kept position within their first `window` words (least >= k + window - 1), so such rows share least - window + 1
+words to their right. Where neighbours share that much, but less to their left, or are of one text, both emit hashes of the
+windows of `least` words around their position that the other does not have. In each set of rows with an equal window that does
+not lie in one piece, each piece has such a border, where it also names a text of the piece that the row itself has met, so the
+windows whose hash comes from two texts (a minimum and maximum of text hashes, pre-aggregated) are what the neighbours do not show. Stretches of one text, or of two rows, need none.
+
+So every window of `least` words that occurs in two texts is found, and whatever is reported occurs in another text (up to hashes:
+64 bits for the k-gram and for windows, 32 for each word around a position).
 
 Texts that equal another document's are repeated whole. Equal texts count as one text in the array, so copies are no pairs.
 
@@ -33,7 +38,7 @@ from halyard.llm.common import prepare, spread, written
 
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-HEAD, TAIL, FIRST, AFTER, LAST, BEFORE = range(1, 7)
+HEAD, TAIL, FIRST, AFTER, LAST, BEFORE, OPEN = range(1, 8)
 
 
 class _Hashes(dict):
@@ -152,9 +157,10 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
     unsorted = written(from_texts.mapInArrow(suffixes, "gram long, mark long, at int, right binary, left binary"))  # read twice: by the range sampling too
     array = unsorted.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    schema = "side int, mark long, start int, end int, gram long, right binary, left binary, places array<int>"
-    names = ["side", "mark", "start", "end", "gram", "right", "left", "places"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+    schema = "side int, mark long, start int, end int, gram long, right binary, left binary, places array<int>, windows array<long>"
+    names = ["side", "mark", "start", "end", "gram", "right", "left", "places", "windows"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    reached = max(k, least - window + 1)  # words to the right of the first kept position of any `least` words
 
     def batches_of(rows):
         for i in range(0, len(rows), 10_000):
@@ -169,19 +175,63 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
         return (x, y) if x + y >= least else None
 
     def neighbours(batches):
-        """Spans (side 0), the first and last run of the task (HEAD, TAIL) and their ends with the rows of another text next to them (FIRST, AFTER, LAST, BEFORE)."""
+        """Spans (side 0), the first and last run of the task (HEAD, TAIL) and their ends with the rows of another text next to them (FIRST, AFTER, LAST, BEFORE), windows (OPEN)."""
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        run: list[tuple[tuple, list[int]]] = []  # rows of the current text in the current gram: one row for each context, all its places
+        # Rows of the current text in the current gram: one row for each context, all its places, how few words before it make a
+        # window to emit, and the rows of other texts met (text, words before, words behind).
+        run: list[list] = []
         other = shared = None  # the last row of another text before the run, and what the run's last context shares with it
         head = True  # the run is the first of the task
+        group: list[list] = []  # the latest rows whose neighbours share `reached` words
+        rows, changes = 3, 2  # rows, and runs of rows of one text, in that group; what touches an end of the task counts as enough
 
         def span(row, at, found):
-            return (0, row[1], at - found[0], at + found[1], None, None, None, None)
+            return (0, row[1], at - found[0], at + found[1], None, None, None, None, None)
 
         def edge(side, row, whole=0, places=None):
-            return (side, row[1], task, whole, row[0], row[3], row[4], places or [row[2]])
+            return (side, row[1], task, whole, row[0], row[3], row[4], places or [row[2]], None)
+
+        def windows(row, places, fewest, met):
+            """The hashes of the windows with `fewest` to window - 1 words before the place, as far as the row has them; those that another text met has too are its own as well."""
+            fewest = max(fewest, least - len(row[3]) // 4)
+            xs = range(fewest, min(window - 1, len(row[4]) // 4) + 1)
+            if xs:
+                found = [xxhash.xxh64_intdigest(row[4][: 4 * x] + row[3][: 4 * (least - x)], x) for x in xs]
+                found = np.array(found, np.uint64).view(np.int64).tolist()
+                yield (OPEN, row[1], fewest, None, None, None, None, places, found)
+                for mark, before, behind in met:
+                    theirs = [w for x, w in zip(xs, found, strict=True) if x <= before and least - x <= behind]
+                    if theirs:
+                        yield (OPEN, mark, fewest, None, None, None, None, [], theirs)
+
+        def flush():
+            if rows >= 3 and changes >= 2:
+                for own in group:
+                    yield from windows(*own)
+                group.clear()
+
+        def follow(own):
+            """Take the next row with other contexts into the group; what leaves the group. Rows of the current text wait for the next text."""
+            nonlocal rows, changes
+            before = group[-1] if group else None
+            shared = common_prefix(before[0][3], own[0][3]) if before and before[0][0] == own[0][0] else 0
+            if before and shared >= reached:
+                same = before[0][1] == own[0][1]
+                own[2] = max(1, least - shared, 0 if same else common_prefix(before[0][4], own[0][4]) + 1)
+                before[2] = min(before[2], own[2])
+                rows, changes = rows + 1, changes + (not same)
+                if not same:
+                    yield from flush()
+            else:
+                yield from flush()
+                group.clear()
+                if before:
+                    rows, changes = 1, 1
+                else:
+                    own[2] = 1
+            group.append(own)
 
         for batch in batches:
             out = []
@@ -189,32 +239,37 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
                 if run and (run[-1][0][0] != row[0] or run[-1][0][1] != row[1]):
                     same = run[-1][0][0] == row[0]
                     if same:
-                        for own, places in run:
+                        for own, places, _, met in run:
                             found = reach(own, row)
                             if found:
                                 out += [span(own, at, found) for at in places]
                                 out.append(span(row, row[2], found))
+                                met.append((row[1], *found))
                     if head:
-                        out += [edge(HEAD, own, places=places) for own, places in run]
+                        out += [edge(HEAD, own, places=places) for own, places, *_ in run]
                         out += [edge(FIRST, run[0][0]), *([edge(AFTER, row)] if same else [])]
                         head = False
                     other, run = run[-1][0] if same else None, []
                 if run and run[-1][0][3:] == row[3:]:
                     run[-1][1].append(row[2])
                 else:
-                    run.append((row, [row[2]]))
                     shared = reach(other, row) if other is not None else None
                     if shared:
                         out.append(span(other, other[2], shared))
+                    run.append([row, [row[2]], window, [(other[1], *shared)] if shared else []])
+                    out += follow(run[-1])
                 if shared:
                     out.append(span(row, row[2], shared))
             yield from batches_of(out)
         if run:
-            out = [edge(TAIL, own, places=places) for own, places in run]
+            out = [edge(TAIL, own, places=places) for own, places, *_ in run]
             if head:
-                out += [edge(HEAD, own, places=places) for own, places in run]
+                out += [edge(HEAD, own, places=places) for own, places, *_ in run]
                 out.append(edge(FIRST, run[0][0], 1))
             out += [edge(LAST, run[-1][0], int(head)), *([edge(BEFORE, other)] if other is not None else [])]
+            group[-1][2] = 1
+            for own in group:
+                out += windows(*own)
             yield from batches_of(out)
 
     matches = written(array.mapInArrow(neighbours, schema))
@@ -241,7 +296,7 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
         before, after = around.value
         for batch in batches:
             out = []
-            for side, mark, task, _, gram, right, left, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for side, mark, task, gram, right, left, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = (gram, mark, places[0], right, left)
                 mate = next((r for r in (before if side == HEAD else after)[task] if r[1] != mark), None)
                 found = reach(mate, row) if mate else None
@@ -253,8 +308,11 @@ def repeats(documents: DataFrame, least: int = 50, k: int = 8, window: int = 16)
                 marks, a, b = zip(*out, strict=True)
                 yield pa.record_batch([pa.array(marks, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["mark", "start", "end"])
 
-    edges = matches.where(F.col("side").isin(HEAD, TAIL)).mapInArrow(across, "mark long, start int, end int")
-    spans = matches.where("side = 0").select("mark", "start", "end").union(edges).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    edges = matches.where(F.col("side").isin(HEAD, TAIL)).select("side", "mark", "start", "gram", "right", "left", "places").mapInArrow(across, "mark long, start int, end int")
+    opened = matches.where(F.col("side") == OPEN).select("mark", "places", "start", F.posexplode("windows").alias("i", "w")).select("mark", "places", (F.col("start") + F.col("i")).alias("x"), "w")
+    twice = written(opened.groupBy("w").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("w"))
+    hidden = opened.join(twice, "w").select("mark", F.explode("places").alias("at"), "x").select("mark", (F.col("at") - F.col("x")).alias("start"), (F.col("at") - F.col("x") + least).alias("end"))
+    spans = matches.where("side = 0").select("mark", "start", "end").union(edges).union(hidden).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     merged = F.aggregate(
         "s",
         F.array().cast("array<struct<start:int,end:int>>"),

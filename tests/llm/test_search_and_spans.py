@@ -257,6 +257,37 @@ def test_every_copy_within_a_text_meets_the_other_texts(spark, tasks):
     assert dict(got) == brute_repeats(texts, 50)
 
 
+@pytest.mark.parametrize("tasks", [1, 5, 40])
+def test_short_passages_between_rows_that_share_only_their_right_part(spark, tasks):
+    rng = random.Random(13)
+    text = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    texts = {}
+    for _ in range(6):  # sets of texts that share a right part behind left parts of their own
+        right = text(rng.randint(36, 49)).split()
+        for _ in range(4):
+            left, n = text(14).split(), len(texts)
+            for i in range(rng.randint(1, 3)):
+                cut = rng.randint(0, 14)
+                texts[n + i] = " ".join([text(30), *left[cut:], *right, text(rng.randint(0, 3)), *([text(40), *left, *right] if i == 1 else []), text(30)])
+        for i in range(len(texts), len(texts) + 20):
+            texts[i] = " ".join([text(30), *right[: rng.randint(35, len(right))], text(30)])
+    for i in range(len(texts), len(texts) + 60):  # longer passages with shared middles
+        at = rng.randint(0, 40)
+        texts[i] = " ".join([text(20), *right[at % 30 :], *texts[0].split()[at : at + rng.randint(45, 70)], *right[: rng.randint(10, 40)], text(20)])
+    held = {n: spark.conf.get(n, None) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = suffixdedup.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    finally:
+        for n, v in held.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+    got = defaultdict(set)
+    for r in rows:
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert dict(got) == brute_repeats(texts, 50)
+
+
 def test_repeats_of_nothing(spark):
     assert suffixdedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
