@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from halyard.contract import Metric, checked_vector
 from halyard.functions.predicates import Filter
@@ -76,7 +76,119 @@ class InvertedLists:
         return probed.select("query_id", "query", F.explode("cells").alias("cell")).join(indexed.select(id, vector, "cell"), "cell").drop("cell")
 
     def search_batch(self, indexed: DataFrame, queries: DataFrame, k: int, probes: int = 4, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        return _ranked(self.candidates(indexed, queries, probes, id, vector), k, self.metric, id, vector)
+        """The k nearest in the probed cells of each query, cell by cell as matrix products; met: number of rows in those cells."""
+        centres = np.array(self.centres)
+
+        def probed(part: pa.RecordBatch) -> bytes:
+            x = S.matrix(part.column(1), centres.shape[1])
+            d = (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T
+            return np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32).tobytes()
+
+        return _search(indexed.withColumn("own", F.array("cell")), queries, k, self.metric, id, vector, centres.shape[1], lambda: Cells(k, self.metric, len(centres)), lambda part: part.column(2).flatten().to_numpy().astype(np.int32).tobytes(), probed)
+
+
+class Nearest:
+    """Places (ascending as the ids are) and distances of the k nearest rows of a chunk so far, for each of some queries, and how many rows each met."""
+
+    def __init__(self, chunk: Chunk, q: np.ndarray):
+        self.chunk, self.q, self.k = chunk, q, chunk.k
+        self.d, self.at, self.met = np.full((len(q), self.k), np.inf), np.full((len(q), self.k), -1), np.zeros(len(q), np.int64)
+        self.lengths = np.linalg.norm(q, axis=1)
+
+    def add(self, who: np.ndarray, d: np.ndarray, at: np.ndarray) -> None:
+        """Near enough distances d[query, row] of queries who to the rows at places at; those that can be among the best are made exact."""
+        self.met[who] += d.shape[1]
+        keep = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        if d.shape[1] > 4 * self.k:  # not above the k-th smallest
+            kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            most = int((d <= kth + self.chunk.slack(self.lengths[who])[:, None]).sum(axis=1).max())
+            keep = np.argpartition(d, most - 1, axis=1)[:, :most]
+        step = max(1, (1 << 21) // (keep.shape[1] * self.q.shape[1]))
+        for i in range(0, len(who), step):
+            own, places = who[i : i + step], at[keep[i : i + step]]
+            near = self.chunk.row_by_row(self.q[own], self.lengths[own], places)
+            near, places = np.concatenate([self.d[own], near], axis=1), np.concatenate([self.at[own], places], axis=1)
+            best = np.lexsort((places, near), axis=-1)[:, : self.k]
+            self.d[own], self.at[own] = np.take_along_axis(near, best, axis=1), np.take_along_axis(places, best, axis=1)
+
+    def found(self, names: pa.Array, ids: np.ndarray):
+        who, which = np.nonzero(self.at >= 0)
+        if len(who):
+            met = np.where(which == 0, self.met[who], 0)  # once a query
+            yield pa.record_batch([names.take(pa.array(who)), pa.array(ids[self.at[who, which]].tolist()), pa.array(self.d[who, which]), pa.array(met)], names=["query_id", "id", "distance", "met"])
+
+
+class Chunk:
+    """Rows in order of id, with their lengths."""
+
+    def __init__(self, k: int, metric: Metric):
+        self.k, self.metric = k, metric
+
+    def take(self, segments: list, kind: type) -> np.ndarray:
+        """Hold the rows; what goes with them, row by row."""
+        ids = np.concatenate([x for x, _, _ in segments])
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[order], np.concatenate([x for _, x, _ in segments])[order]
+        self.lengths = np.linalg.norm(self.rows, axis=1)
+        return np.concatenate([np.frombuffer(x, kind).reshape(len(i), -1) for i, _, x in segments])[order]
+
+    def slack(self, lengths: np.ndarray) -> np.ndarray:
+        """How far off distances by matrix products may be, generously, for queries of some lengths."""
+        scale = float(self.lengths.max(initial=0))
+        if self.metric is Metric.DOT_PRODUCT:
+            return 1e-9 * lengths * scale
+        return 1e-6 * (lengths + scale) if self.metric is Metric.EUCLIDEAN else np.full(len(lengths), 1e-9 if self.metric is Metric.COSINE else 1e-9 * scale)
+
+    def row_by_row(self, q: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distances of each query to the rows at its places [query, place]: the same for the same vectors, wherever they stand."""
+        x = self.rows[at]
+        if self.metric is Metric.MANHATTAN:
+            return np.abs(x - q[:, None, :]).sum(axis=2)
+        if self.metric is Metric.EUCLIDEAN:
+            return np.sqrt(((x - q[:, None, :]) ** 2).sum(axis=2))
+        return S.from_products((x * q[:, None, :]).sum(axis=2), lengths[:, None], self.lengths[at], self.metric)
+
+
+class Cells(Chunk):
+    """A chunk in inverted lists: the queries that probe a cell meet its rows, and no others do."""
+
+    def __init__(self, k: int, metric: Metric, cells: int):
+        super().__init__(k, metric)
+        self.cells = cells
+
+    def hold(self, segments: list) -> None:
+        cell = self.take(segments, np.int32)[:, 0]
+        order = np.argsort(cell, kind="stable")
+        self.lists = np.split(order, np.searchsorted(cell[order], np.arange(1, self.cells)))
+
+    def found(self, names: pa.Array, q: np.ndarray, extra: bytes):
+        probed = np.frombuffer(extra, np.int32).reshape(len(q), -1)
+        order = np.argsort(probed.ravel(), kind="stable")
+        asking = np.split(order // max(probed.shape[1], 1), np.searchsorted(probed.ravel()[order], np.arange(1, self.cells)))
+        best = Nearest(self, q)
+        for who, at in zip(asking, self.lists, strict=True):
+            if len(who):
+                for i in range(0, len(at), 4096):
+                    best.add(who, S.distances(q[who], self.rows[at[i : i + 4096]], self.metric), at[i : i + 4096])
+        yield from best.found(names, self.ids)
+
+
+def _search(indexed: DataFrame, queries: DataFrame, k: int, metric: Metric, id: str, vector: str, width: int, holder, of_row, of_query) -> DataFrame:
+    """query_id, id, distance, score, rank and met (rows that the query met) of the k nearest that holder() finds. Rows are dealt into chunks, queries stream past; no pair of a query and a row is ever a row of a table."""
+    from pyspark.sql import Window
+
+    from halyard.functions import vectors as V
+
+    def clean(df: DataFrame, name: str) -> DataFrame:
+        return df.where(F.col(df.columns[0]).isNotNull() & (F.size(name) == width))
+
+    rows = clean(indexed.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), "own"), "v")
+    wanted = clean(queries.select("query_id", F.col("query").cast("array<double>").alias("q")), "q")
+    schema = StructType([StructField("query_id", wanted.schema[0].dataType), StructField("id", rows.schema[0].dataType), StructField("distance", DoubleType()), StructField("met", LongType())])
+    hits = S.meetings(rows, wanted, width, schema, holder, of_row, of_query)
+    every = Window.partitionBy("query_id")
+    ranked = hits.withColumn("rank", F.row_number().over(every.orderBy("distance", "id"))).withColumn("met", F.sum("met").over(every)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("id").alias(id), "distance", V.score_of(metric, F.col("distance")).alias("score"), "rank", "met")
 
 
 def _ranked(pairs: DataFrame, k: int, metric: Metric, id: str, vector: str) -> DataFrame:

@@ -23,6 +23,7 @@ from halyard.functions.predicates import Filter, where
 
 QUERY_BLOCK = 1024
 BROADCAST_BYTES, CHUNK_BYTES, SEGMENT_ROWS = 64 << 20, 64 << 20, 4096
+SPREAD_QUERIES = 256
 
 
 def with_distance(df: DataFrame, query: Sequence[float], metric: Metric | str, vector: str = "embedding") -> DataFrame:
@@ -78,14 +79,10 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
 
 
-def distances(queries: np.ndarray, rows: np.ndarray, metric: Metric) -> np.ndarray:
-    """All distances by matrix products (L1: by differences)."""
-    if metric is Metric.MANHATTAN:
-        return np.stack([np.abs(rows - q).sum(axis=1) for q in queries])
-    product = queries @ rows.T
+def from_products(product: np.ndarray, a: np.ndarray, b: np.ndarray, metric: Metric) -> np.ndarray:
+    """Distances from inner products and the lengths of both sides; all but L1."""
     if metric is Metric.DOT_PRODUCT:
         return -product
-    a, b = np.linalg.norm(queries, axis=1)[:, None], np.linalg.norm(rows, axis=1)[None, :]
     if metric is Metric.EUCLIDEAN:
         return np.sqrt(np.maximum(a * a + b * b - 2 * product, 0))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -93,6 +90,13 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: Metric) -> np.ndarr
     return 1 - np.where((a == 0) & (b == 0), 1.0, np.where((a == 0) | (b == 0), 0.0, cos))
 
 
+def distances(queries: np.ndarray, rows: np.ndarray, metric: Metric) -> np.ndarray:
+    """All distances by matrix products (L1: by differences)."""
+    if metric is Metric.MANHATTAN:
+        return np.stack([np.abs(rows - q).sum(axis=1) for q in queries])
+    return from_products(queries @ rows.T, np.linalg.norm(queries, axis=1)[:, None], np.linalg.norm(rows, axis=1)[None, :], metric)
+
+
 def _nearest(held: list[np.ndarray], k: int) -> np.ndarray:
     """Places of the k smallest by (distance, id) in each row; held: distances and ids, row by row."""
     return np.lexsort((held[1], held[0]), axis=-1)[:, :k]
@@ -186,13 +190,43 @@ def _pass(source: DataFrame, queries: pa.Table, k: int, metric: Metric, schema:
         for b in blocks:
             yield from b.found()
 
-    return source.where(F.size("v") == width).mapInArrow(run, schema)
+    return _spread(source.where(F.size("v") == width), len(names)).mapInArrow(run, schema)
+
+
+def _spread(source: DataFrame, queries: int) -> DataFrame:
+    """source, dealt out where many queries wait: a file of few row groups is few tasks."""
+    return source.repartition(source.sparkSession.sparkContext.defaultParallelism) if queries > SPREAD_QUERIES else source
+
+
+class AllRows:
+    """A chunk of rows that every query meets whole."""
+
+    def __init__(self, k: int, metric: Metric):
+        self.k, self.metric = k, metric
+
+    def hold(self, segments: list[tuple[np.ndarray, np.ndarray, bytes | None]]) -> None:
+        self.segments = segments
+
+    def found(self, names: pa.Array, q: np.ndarray, extra: bytes | None) -> Iterator[pa.RecordBatch]:
+        best = Best(names, q, self.k, self.metric)
+        for ids, rows, _ in self.segments:
+            best.add(ids, rows)
+        yield from best.found()
 
 
 def _chunked(source: DataFrame, wanted: DataFrame, width: int, k: int, metric: Metric, schema: StructType) -> DataFrame:
     """The best of each chunk of rows for queries in packed blocks that stream past it."""
+    return meetings(source, wanted, width, schema, lambda: AllRows(k, metric))
+
+
+def meetings(source: DataFrame, wanted: DataFrame, width: int, schema: StructType, holder, of_row=None, of_query=None) -> DataFrame:
+    """What holder() finds for queries (query_id, q, ...) in each chunk of rows (id, v, ...): hold(segments), then found(names, q, extra) for each block of queries.
+
+    of_row and of_query turn an Arrow batch into bytes that go with a segment or block. A chunk has at most about CHUNK_BYTES of
+    vectors; a block at most QUERY_BLOCK queries.
+    """
 
-    def pack(size: int):
+    def pack(size: int, extra):
         def run(batches):
             from pyspark import TaskContext
 
@@ -202,36 +236,46 @@ def _chunked(source: DataFrame, wanted: DataFrame, width: int, k: int, metric: M
                     part = batch.slice(i, size)
                     made += 1
                     yield pa.record_batch(
-                        [pa.array([task], pa.int32()), pa.array([made], pa.int32()), pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)), pa.array([matrix(part.column(1), width).tobytes()], pa.binary())],
-                        names=["task", "made", "ids", "data"],
+                        [
+                            pa.array([task], pa.int32()),
+                            pa.array([made], pa.int32()),
+                            pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)),
+                            pa.array([matrix(part.column(1), width).tobytes()], pa.binary()),
+                            pa.array([extra(part) if extra else None], pa.binary()),
+                        ],
+                        names=["task", "made", "ids", "data", "extra"],
                     )
 
         return run
 
-    def packed(df: DataFrame, size: int) -> DataFrame:
+    def packed(df: DataFrame, size: int, extra) -> DataFrame:
         kind = df.schema[0].dataType
-        return df.mapInArrow(pack(size), StructType([StructField("task", IntegerType()), StructField("made", IntegerType()), StructField("ids", ArrayType(kind)), StructField("data", BinaryType())]))
+        return df.mapInArrow(pack(size, extra), StructType([StructField("task", IntegerType()), StructField("made", IntegerType()), StructField("ids", ArrayType(kind)), StructField("data", BinaryType()), StructField("extra", BinaryType())]))
 
-    chunks = max(1, -(-source.count() * width * 8 // CHUNK_BYTES), source.sparkSession.sparkContext.defaultParallelism)
-    rows = packed(source, SEGMENT_ROWS).select(F.pmod(F.hash("task", "made"), F.lit(chunks)).alias("chunk"), F.col("ids").alias("row_ids"), F.lit(None).cast(ArrayType(schema["query_id"].dataType)).alias("query_ids"), "task", "made", "data")
-    tiles = packed(wanted, QUERY_BLOCK).select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(None).cast(ArrayType(schema["id"].dataType)).alias("row_ids"), F.col("ids").alias("query_ids"), "task", "made", "data")
-    stream = rows.unionByName(tiles).repartition(chunks, "chunk").sortWithinPartitions("chunk", F.col("row_ids").isNull(), "task", "made")
+    count = source.count()
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-count * width * 8 // CHUNK_BYTES), cores)
+    size = max(1, min(SEGMENT_ROWS, -(-count // (8 * chunks))))  # enough segments that chunks are of like size
+    dealt = F.pmod(F.col("made") + F.pmod(F.hash("task"), F.lit(chunks)), F.lit(chunks))
+    rows = packed(source, size, of_row).select(dealt.alias("chunk"), F.col("ids").alias("row_ids"), F.lit(None).cast(ArrayType(wanted.schema[0].dataType)).alias("query_ids"), "task", "made", "data", "extra")
+    tiles = packed(wanted, QUERY_BLOCK, of_query).select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(None).cast(ArrayType(source.schema[0].dataType)).alias("row_ids"), F.col("ids").alias("query_ids"), "task", "made", "data", "extra")
+    stream = rows.unionByName(tiles).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", F.col("row_ids").isNull(), "task", "made")
 
     def run(batches):
-        key, held = None, []
+        key, held, ready = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, row_ids, query_ids, data = batch.column(0)[i].as_py(), batch.column(1)[i], batch.column(2)[i], batch.column(5)[i]
+                chunk, row_ids, query_ids, data, extra = batch.column(0)[i].as_py(), batch.column(1)[i], batch.column(2)[i], batch.column(5)[i], batch.column(6)[i].as_py()
                 vectors = np.frombuffer(data.as_py(), np.float64).reshape(-1, width)
                 if chunk != key:
-                    key, held = chunk, []
+                    key, held, ready = chunk, [], None
                 if row_ids.is_valid:
-                    held.append((np.array(row_ids.as_py()), vectors))
-                else:
-                    best = Best(query_ids.values, vectors, k, metric)
-                    for ids, own in held:
-                        best.add(ids, own)
-                    yield from best.found()
+                    held.append((np.array(row_ids.as_py()), vectors, extra))
+                elif held:
+                    if ready is None:
+                        ready = holder()
+                        ready.hold(held)
+                    yield from ready.found(query_ids.values, vectors, extra)
 
     return stream.mapInArrow(run, schema)
 

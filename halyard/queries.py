@@ -672,13 +672,20 @@ def _share(recall: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
     return recall.crossJoin(rounded(ann.share_scanned(pairs, rows), "share"))  # one row each
 
 
+def _recall_and_share(found: DataFrame, truth: DataFrame, k: int, rows: int) -> DataFrame:
+    """Recall beside the share of the table that a query met; both results are read once."""
+    both = truth.where(F.col("rank") <= k).select("query_id", "vec_id", F.lit(1).alias("true"), F.lit(0).alias("hit"), F.lit(0).cast("long").alias("met"))
+    both = both.unionByName(found.where(F.col("rank") <= k).select("query_id", "vec_id", F.lit(0).alias("true"), F.lit(1).alias("hit"), "met"))
+    pairs = both.groupBy("query_id", "vec_id").agg(F.max("true").alias("true"), F.max("hit").alias("hit"), F.max("met").alias("met"))
+    each = pairs.groupBy("query_id").agg((F.sum(F.col("true") * F.col("hit")) / F.sum("true")).alias("recall"), F.max("met").alias("met"))
+    return rounded(each.agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.min("recall").alias("worst"), (F.avg("met") / rows).alias("share")), "recall", "worst", "share")
+
+
 @register()
 def recall_at_10_cells(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     cells, asked = ann.InvertedLists.train(vectors, 128, "cosine", 8), _queries(vectors)
-    lists = cells.index(vectors)
-    recall = _recall(cells.search_batch(lists, asked, 10, 52), search.batch_top_k(vectors, asked, 10), 10)
-    return _share(recall, cells.candidates(lists, asked, 52), vectors.count())
+    return _recall_and_share(cells.search_batch(cells.index(vectors), asked, 10, 52), search.batch_top_k(vectors, asked, 10), 10, vectors.count())
 
 
 @register()
