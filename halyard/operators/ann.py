@@ -191,16 +191,6 @@ def _search(indexed: DataFrame, queries: DataFrame, k: int, metric: Metric, id:
     return ranked.select("query_id", F.col("id").alias(id), "distance", V.score_of(metric, F.col("distance")).alias("score"), "rank", "met")
 
 
-def _ranked(pairs: DataFrame, k: int, metric: Metric, id: str, vector: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    from halyard.functions import vectors as V
-
-    scored = pairs.select("query_id", id, V.distance(metric, F.col("query"), F.col(vector)).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", V.score_of(metric, F.col("distance"))).select("query_id", id, "distance", "score", "rank")
-
-
 @dataclass(frozen=True)
 class HyperplaneHashing:
     """`tables` signatures of `bits` signs against seeded random hyperplanes.
@@ -226,12 +216,17 @@ class HyperplaneHashing:
 
     def probed(self, x: np.ndarray) -> np.ndarray:
         """For each vector and table the buckets to look into, its own first."""
-        near = self._projections(x)
-        own = (near > 0) @ (1 << np.arange(self.bits))
         flips = np.arange(1 << self.bits)
         flips = flips[np.bitwise_count(flips) <= 4]
-        cost = near**2 @ ((flips[:, None] >> np.arange(self.bits)) & 1).T.astype(float)  # how far the vector is from that bucket
-        return own[:, :, None] ^ flips[np.argsort(cost, axis=2, kind="stable")[:, :, : self.probes]]
+        turned = ((flips[:, None] >> np.arange(self.bits)) & 1).T.astype(float)
+
+        def some(part: np.ndarray) -> np.ndarray:
+            near = self._projections(part)
+            own = (near > 0) @ (1 << np.arange(self.bits))
+            cost = near**2 @ turned  # how far the vector is from that bucket
+            return own[:, :, None] ^ flips[np.argsort(cost, axis=2, kind="stable")[:, :, : self.probes]]
+
+        return np.concatenate([some(x[i : i + 64]) for i in range(0, max(len(x), 1), 64)])  # so many at once: a vector has tables * buckets costs
 
     def index(self, df: DataFrame, vector: str = "embedding") -> DataFrame:
         return append_column(df, vector, "buckets", "array<long>", lambda x: pa.array(self.signatures(x).tolist(), pa.list_(pa.int64())))
@@ -245,7 +240,51 @@ class HyperplaneHashing:
         return left.join(right, ["table", "bucket"]).groupBy("query_id", id).agg(F.count("*").alias("n")).where(F.col("n") >= self.hits).select("query_id", id)
 
     def search_batch(self, indexed: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """Candidates are joined to the vectors by id only when they are known."""
-        asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
-        pairs = self.candidates(indexed, queries, id).join(indexed.select(id, vector), id).join(asked, "query_id")
-        return _ranked(pairs, k, self.metric, id, vector)
+        """The k nearest of each query's candidates, which are counted table by table within chunks of rows; met: number of candidates."""
+
+        def own(part: pa.RecordBatch) -> bytes:
+            return part.column(2).flatten().to_numpy().astype(np.int32).tobytes()
+
+        def probed(part: pa.RecordBatch) -> bytes:
+            return self.probed(S.matrix(part.column(1), self.dimension)).astype(np.int32).tobytes()
+
+        return _search(indexed.withColumnRenamed("buckets", "own"), queries, k, self.metric, id, vector, self.dimension, lambda: Buckets(k, self.metric, self.tables, 1 << self.bits, self.hits), own, probed)
+
+
+class Buckets(Chunk):
+    """A chunk in hash tables: for each table the places of its rows by bucket."""
+
+    def __init__(self, k: int, metric: Metric, tables: int, buckets: int, hits: int):
+        super().__init__(k, metric)
+        self.tables, self.buckets, self.hits = tables, buckets, hits
+
+    def hold(self, segments: list) -> None:
+        own = self.take(segments, np.int32)
+        self.order = np.concatenate([np.argsort(own[:, t], kind="stable").astype(np.int32) for t in range(self.tables)])
+        sizes = np.stack([np.bincount(own[:, t], minlength=self.buckets) for t in range(self.tables)])
+        self.ends = np.cumsum(sizes.ravel())  # rows stand table after table, bucket after bucket
+        self.sizes = sizes.ravel()
+
+    def candidates(self, probed: np.ndarray) -> np.ndarray:
+        """Places of the rows that share enough of the buckets [table, probe]."""
+        which = (np.arange(self.tables)[:, None] * self.buckets + probed).ravel()
+        n = self.sizes[which]
+        total = np.cumsum(n)
+        if not len(total) or not total[-1]:
+            return np.zeros(0, np.int64)
+        places = np.arange(total[-1]) + np.repeat(self.ends[which] - total, n)
+        return np.flatnonzero(np.bincount(self.order[places], minlength=len(self.ids)) >= self.hits)
+
+    def found(self, names: pa.Array, q: np.ndarray, extra: bytes):
+        probed = np.frombuffer(extra, np.int32).reshape(len(q), self.tables, -1)
+        best = Nearest(self, q)
+        for i in range(0, len(q), 32):
+            mine = [self.candidates(x) for x in probed[i : i + 32]]
+            # many candidates: one product for all of the block costs less than gathering the rows of each, and only theirs are looked at
+            product = q[i : i + 32] @ self.rows.T if self.metric in (Metric.COSINE, Metric.DOT_PRODUCT) and 16 * sum(map(len, mine)) > len(mine) * len(self.ids) else None
+            for j, at in enumerate(mine):
+                if len(at):
+                    who = np.array([i + j])
+                    d = S.distances(q[who], self.rows[at], self.metric) if product is None else S.from_products(product[j : j + 1, at], best.lengths[who][:, None], self.lengths[at][None, :], self.metric)
+                    best.add(who, d, at)
+        yield from best.found(names, self.ids)

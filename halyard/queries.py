@@ -667,11 +667,6 @@ def _recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return rounded(search.recall(found, truth, k).agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.min("recall").alias("worst")), "recall", "worst")
 
 
-def _share(recall: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
-    """Recall beside the share of the table that a query met."""
-    return recall.crossJoin(rounded(ann.share_scanned(pairs, rows), "share"))  # one row each
-
-
 def _recall_and_share(found: DataFrame, truth: DataFrame, k: int, rows: int) -> DataFrame:
     """Recall beside the share of the table that a query met; both results are read once."""
     both = truth.where(F.col("rank") <= k).select("query_id", "vec_id", F.lit(1).alias("true"), F.lit(0).alias("hit"), F.lit(0).cast("long").alias("met"))
@@ -692,9 +687,7 @@ def recall_at_10_cells(spark, sf_dir):
 def recall_at_10_hyperplanes(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     lsh, asked = ann.HyperplaneHashing(64), _queries(vectors)
-    tables = lsh.index(vectors)
-    recall = _recall(lsh.search_batch(tables, asked, 10), search.batch_top_k(vectors, asked, 10), 10)
-    return _share(recall, lsh.candidates(tables, asked), vectors.count())
+    return _recall_and_share(lsh.search_batch(lsh.index(vectors), asked, 10), search.batch_top_k(vectors, asked, 10), 10, vectors.count())
 
 
 @register()

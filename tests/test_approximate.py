@@ -51,3 +51,18 @@ def test_cells_meet_rows_without_a_table_of_pairs(vectors, rows, metric):
     found = cells.search_batch(lists, queries(vectors), 6, 4)
     assert joins(found) == 0
     agrees(found, cells.candidates(lists, queries(vectors), 4), rows, search.Metric.of(metric), 6)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("probes", [1, 30])
+def test_hash_tables_meet_rows_without_a_table_of_pairs(vectors, rows, metric, probes):
+    lsh = ann.HyperplaneHashing(8, 12, 7, probes, 2, metric=search.Metric.of(metric))
+    tables = lsh.index(vectors)
+    found = lsh.search_batch(tables, queries(vectors), 6)
+    assert joins(found) == 0
+    agrees(found, lsh.candidates(tables, queries(vectors)), rows, lsh.metric, 6)
+
+
+def test_probed_buckets_of_many_vectors_are_found_in_parts(rows):
+    lsh = ann.HyperplaneHashing(8, 5, 9, 20)
+    assert np.array_equal(lsh.probed(rows), np.concatenate([lsh.probed(rows[i : i + 1]) for i in range(len(rows))]))
