@@ -1,6 +1,7 @@
-"""Layered proximity graphs as a stored index: one graph for each `graph_rows` rows of a partition, searched together.
+"""Layered proximity graphs as a stored index: one graph for each `graph_rows` rows at most, searched together.
 
-A graph is built once, over bounded rows while they are read, and is one row of a table that is written and read like any other;
+Rows are dealt to graphs by hashes of their ids, so graphs are alike in size, as many tasks as there are graphs build them, and they
+do not depend on the files. A graph is built once, over bounded rows in order of id, and is one row of a table that is written and read like any other;
 a search reads that table alone. New rows make graphs of their own beside the stored ones (a batch add touches nothing that is
 there); compacting builds all anew. In a graph a row gets a geometric number of layers, is linked to the best of its beam of
 `ef_construction` candidates that are not closer to an earlier chosen one than to it, and links are cut to m (2m in the base
@@ -25,7 +26,8 @@ from halyard.operators import search as S
 
 class Graph:
     def __init__(self, rows: np.ndarray, metric: Metric, m: int, ef_construction: int, max_layer: int, seed: int):
-        self.rows, self.metric, self.m, self.ef = rows, metric, m, ef_construction
+        self._hold(rows, metric)
+        self.m, self.ef = m, ef_construction
         rng = np.random.default_rng(seed)
         draws = np.minimum(rng.geometric(0.5, len(rows)) - 1, max_layer - 1)
         self.layers = np.minimum(draws, max(0, int(math.log2(max(len(rows), 1)))))
@@ -34,8 +36,38 @@ class Graph:
         for i in range(len(rows)):
             self._insert(i)
 
+    def _hold(self, rows: np.ndarray, metric: Metric) -> None:
+        """The rows, under cosine as unit vectors too, so that a distance is a product alone."""
+        self.rows, self.metric = rows, metric
+        self.x = self._unit(rows) if metric is Metric.COSINE else rows
+        self.empty = ~self.x.any(axis=1) if metric is Metric.COSINE else np.zeros(0, bool)
+        self.some_empty = bool(self.empty.any())
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(x, axis=-1, keepdims=True)
+        return np.divide(x, n, out=np.zeros_like(x), where=n != 0)
+
     def _to(self, q: np.ndarray, ids: Sequence[int]) -> np.ndarray:
-        return S.distances(q[None, :], self.rows[list(ids)], self.metric)[0]
+        """Distances of q, which is a row of x or prepared as they are, to rows."""
+        if self.metric is Metric.COSINE:
+            if self.some_empty and not q.any():
+                return np.where(self.empty[ids], 0.0, 1.0)
+            return 1.0 - self.x[ids] @ q
+        if self.metric is Metric.DOT_PRODUCT:
+            return -(self.x[ids] @ q)
+        d = self.x[ids] - q
+        return np.abs(d).sum(axis=1) if self.metric is Metric.MANHATTAN else np.sqrt((d * d).sum(axis=1))
+
+    def _among(self, ids: list[int]) -> np.ndarray:
+        """Distances of all pairs of rows."""
+        x = self.x[ids]
+        if self.metric is not Metric.COSINE:
+            return S.distances(x, x, self.metric)
+        d = 1.0 - x @ x.T
+        if self.some_empty:
+            d[np.ix_(self.empty[ids], self.empty[ids])] = 0.0
+        return d
 
     def _beam(self, q: np.ndarray, starts: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
         """The ef nearest that a best-first walk finds, nearest first."""
@@ -43,33 +75,44 @@ class Graph:
         open_, best = list(starts), [(-d, i) for d, i in starts]
         heapq.heapify(open_)
         heapq.heapify(best)
+        full, worst = len(best) >= ef, -best[0][0]
         while open_:
             d, i = heapq.heappop(open_)
-            if len(best) >= ef and d > -best[0][0]:
+            if full and d > worst:
                 break
             new = [j for j in self.links[i][layer] if j not in seen]
             if not new:
                 continue
             seen.update(new)
             for e, j in zip(self._to(q, new).tolist(), new, strict=True):
-                if len(best) < ef or e < -best[0][0]:
+                if full:
+                    if e < worst:
+                        heapq.heappush(open_, (e, j))
+                        heapq.heappushpop(best, (-e, j))
+                        worst = -best[0][0]
+                else:
                     heapq.heappush(open_, (e, j))
                     heapq.heappush(best, (-e, j))
-                    if len(best) > ef:
-                        heapq.heappop(best)
+                    full, worst = len(best) >= ef, -best[0][0]
         return sorted((-d, i) for d, i in best)
 
     def _chosen(self, found: list[tuple[float, int]], most: int) -> list[tuple[float, int]]:
         """Candidates that no chosen one is closer to than the new row, filled up with the nearest others."""
+        if len(found) < 2:
+            return found[:most]
+        ids = [i for _, i in found]
+        closer = np.packbits(self._among(ids) < np.array([d for d, _ in found]), axis=1, bitorder="little")  # [chosen, candidate]
+        width, bits, shut = closer.shape[1], closer.tobytes(), 0
         out: list[tuple[float, int]] = []
         rest: list[tuple[float, int]] = []
-        for d, i in found:
+        for n, one in enumerate(found):
             if len(out) == most:
                 break
-            if out and (self._to(self.rows[i], [j for _, j in out]) < d).any():
-                rest.append((d, i))
+            if shut >> n & 1:
+                rest.append(one)
             else:
-                out.append((d, i))
+                out.append(one)
+                shut |= int.from_bytes(bits[n * width : (n + 1) * width], "little")
         return out + rest[: most - len(out)]
 
     def _insert(self, i: int) -> None:
@@ -77,7 +120,7 @@ class Graph:
         if self.entry is None:
             self.entry = i
             return
-        q, at = self.rows[i], self.entry
+        q, at = self.x[i], self.entry
         starts = [(float(self._to(q, [at])[0]), at)]
         for layer in range(len(self.links[at]) - 1, top, -1):
             starts = self._beam(q, starts, 1, layer)
@@ -97,10 +140,15 @@ class Graph:
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
         if self.entry is None:
             return []
+        if self.metric is Metric.COSINE:
+            q = self._unit(q)
         starts = [(float(self._to(q, [self.entry])[0]), self.entry)]
         for layer in range(len(self.links[self.entry]) - 1, 0, -1):
             starts = self._beam(q, starts, 1, layer)
-        return self._beam(q, starts, max(ef, k), 0)[:k]
+        return [(self._clipped(d), i) for d, i in self._beam(q, starts, max(ef, k), 0)[:k]]
+
+    def _clipped(self, d: float) -> float:
+        return min(max(d, 0.0), 2.0) if self.metric is Metric.COSINE else d
 
     def packed(self) -> dict[str, bytes | int]:
         """The graph without its vectors as flat arrays."""
@@ -116,7 +164,8 @@ class Graph:
     def unpacked(cls, rows: np.ndarray, metric: Metric, entry: int, layers: bytes, degrees: bytes, targets: bytes) -> Graph:
         """A graph that can be searched, not added to."""
         out = cls.__new__(cls)
-        out.rows, out.metric, out.entry = rows, metric, None if entry < 0 else entry
+        out._hold(rows, metric)
+        out.entry = None if entry < 0 else entry
         ends = np.cumsum(np.frombuffer(degrees, np.int32))
         near = [x.tolist() for x in np.split(np.frombuffer(targets, np.int32), ends[:-1])] if len(ends) else []
         at, out.links = 0, []
@@ -126,7 +175,7 @@ class Graph:
         return out
 
     def edges(self) -> list[tuple[int, int, int, float]]:
-        return [(i, j, layer, d) for i, own in enumerate(self.links) for layer, near in enumerate(own) for j, d in near.items()]
+        return [(i, j, layer, self._clipped(d)) for i, own in enumerate(self.links) for layer, near in enumerate(own) for j, d in near.items()]
 
 
 def tuned(dimension: int) -> tuple[int, int]:
@@ -134,24 +183,50 @@ def tuned(dimension: int) -> tuple[int, int]:
     return (12, 200) if dimension <= 128 else (16, 300) if dimension <= 1024 else (20, 400)
 
 
+#: Up to so many rows are one graph; beyond that they make a few graphs at least, so that cores share the building.
+SMALL_ROWS, FEW_GRAPHS = 2_000, 16
+
+
+def graph_count(rows: int, graph_rows: int) -> int:
+    """Into how many graphs rows are dealt: a function of the table, not of its files, tasks or cores."""
+    full = 1 if rows <= graph_rows else math.ceil(rows / (0.95 * graph_rows))  # dealt by hashes, so not all are of one size
+    return max(full, min(FEW_GRAPHS, -(-rows // SMALL_ROWS)))
+
+
 def _graphs(df: DataFrame, id: str, vector: str, graph_rows: int, parameters: tuple, schema: str, use) -> DataFrame:
-    """What use makes of each graph over at most graph_rows rows of a partition; a task holds no more than that and a batch."""
+    """What use makes of each graph over at most graph_rows rows; rows are dealt out by hashes of their ids, a graph to a task, which holds no more than that and a batch."""
 
     def run(batches):
-        ids: list = []
-        held: list[np.ndarray] = []
+        key, ids, held = None, [], []
+
+        def made():
+            for i in range(0, len(ids), graph_rows):
+                yield from use(ids[i : i + graph_rows], Graph(rows[i : i + graph_rows], *parameters))
+
         for batch in batches:
-            if batch.num_rows:
-                ids += batch.column(0).to_pylist()
-                held.append(np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1))
-            while len(ids) >= graph_rows:
-                rows = np.concatenate(held)
-                yield from use(ids[:graph_rows], Graph(rows[:graph_rows], *parameters))
-                ids, held = ids[graph_rows:], [rows[graph_rows:]]
+            if not batch.num_rows:
+                continue
+            own = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(start, end - start)
+                if ids and (own[start] != key or len(ids) >= graph_rows):
+                    rows = np.concatenate(held)
+                    whole = len(ids) if own[start] != key else len(ids) // graph_rows * graph_rows
+                    ids, rest_ids, rows, rest = ids[:whole], ids[whole:], rows[:whole], rows[whole:]
+                    yield from made()
+                    ids, held = rest_ids, [rest] if rest_ids else []
+                key = own[start]
+                ids = ids + part.column(0).to_pylist()
+                held.append(np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(part.num_rows, -1))
         if ids:
-            yield from use(ids, Graph(np.concatenate(held), *parameters))
+            rows = np.concatenate(held)
+            yield from made()
 
-    return df.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, schema)
+    source = df.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    graphs = graph_count(source.count(), graph_rows)
+    dealt = source.withColumn("graph", F.pmod(F.xxhash64("id"), F.lit(graphs)).cast("int")) if graphs > 1 else source.withColumn("graph", F.lit(0))
+    return dealt.repartitionById(graphs, "graph").sortWithinPartitions("graph", "id").mapInArrow(run, schema)
 
 
 INDEX = "ids array<long>, width int, data binary, entry int, layers binary, degrees binary, targets binary"
