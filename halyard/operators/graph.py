@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,21 +274,33 @@ def graph_edges(df: DataFrame, metric: Metric | str = Metric.COSINE, m: int = 12
     return _graphs(df, id, vector, graph_rows, (Metric.of(metric), m, ef_construction, max_layer, seed), "src long, dst long, layer int, distance double", use)
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """Queries (query_id, q) in blocks of about search.BROADCAST_BYTES."""
+    wanted = queries.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>").alias("q")).where(F.col("q").isNotNull())
+    n = -(-(wanted.agg(F.sum(F.size("q").cast("long") * 8)).first()[0] or 1) // S.BROADCAST_BYTES)
+    return [wanted] if n == 1 else [wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+
+
 def search_graphs(index: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, ef: int | None = None, id: str = "vec_id") -> DataFrame:
-    """query_id, id, distance, score and rank by a stored index; queries (query_id, query) go in blocks of about 4 * search.QUERY_BLOCK, each a pass over it."""
-    metric = Metric.of(metric)
-    wanted = queries.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>"))
-    blocks = -(-max(wanted.count(), 1) // (4 * S.QUERY_BLOCK))
+    """query_id, id, distance, score and rank by a stored index; queries (query_id, query) go in blocks of about search.BROADCAST_BYTES, each a pass over it."""
+    return _searched(index, _blocks(queries), k, Metric.of(metric), ef, id)
+
+
+def _searched(index: DataFrame, blocks: list[DataFrame], k: int, metric: Metric, ef: int | None, id: str) -> DataFrame:
     beam = ef or max(100, 4 * k)
     found = None
-    for b in range(blocks):
-        asked = [(q, np.array(v)) for q, v in (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()]
-
-        def run(batches, asked=asked):
+    for block in blocks:
+        asked = block.toArrow()
+        vectors = asked.column("q").combine_chunks()
+        held = index.sparkSession.sparkContext.broadcast((asked.column("query_id").to_pylist(), np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float), vectors.value_lengths().to_numpy(zero_copy_only=False)))
+
+        def run(batches, held=held):
+            names, flat, sizes = held.value
+            parts = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
             for batch in batches:
                 for row in batch.to_pylist():
                     graph = Graph.unpacked(np.frombuffer(row["data"], float).reshape(-1, row["width"]), metric, row["entry"], row["layers"], row["degrees"], row["targets"])
-                    out = [(q, row["ids"][i], d) for q, v in asked if len(v) == row["width"] for d, i in graph.search(v, k, beam)]
+                    out = [(q, row["ids"][i], d) for q, v in zip(names, parts, strict=True) if len(v) == row["width"] for d, i in graph.search(v, k, beam)]
                     if out:
                         q, i, d = zip(*out, strict=True)
                         yield pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "distance"])
@@ -298,8 +311,9 @@ def search_graphs(index: DataFrame, queries: DataFrame, k: int, metric: Metric |
 
 
 def graph_search(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, ef: int | None = None, id: str = "vec_id", **parameters) -> DataFrame:
-    """search_graphs over an index that is built for this search alone."""
-    return search_graphs(build_graphs(df, metric, id=id, **parameters), queries, k, metric, ef, id)
+    """search_graphs over an index that is built for this search alone; more than a block of queries find it built once, on the executors' disks."""
+    index, blocks = build_graphs(df, metric, id=id, **parameters), _blocks(queries)
+    return _searched(index.persist(StorageLevel.DISK_ONLY) if len(blocks) > 1 else index, blocks, k, Metric.of(metric), ef, id)
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:

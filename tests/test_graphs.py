@@ -25,6 +25,22 @@ def test_graph_counts():
     assert graph.graph_count(200, 50) == 5
 
 
+def test_many_queries_find_graphs_built_once(spark):
+    rows = line(spark, 60)
+    queries = spark.range(5000).select(F.col("id").alias("query_id"), F.array(F.cos(F.col("id") % 60), F.sin(F.col("id") % 60), F.cos((F.col("id") % 60) * 3)).alias("query"))
+    found = graph.graph_search(rows, queries, 1, "euclidean")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # builds, searches
+    assert {(r["query_id"], r["vec_id"]) for r in found.collect()} == {(i, i % 60) for i in range(5000)}
+
+
+def test_blocks_of_queries_give_what_one_gives(spark, monkeypatch):
+    rows = line(spark, 80)
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = sorted(map(tuple, graph.graph_search(rows, queries, 3, "euclidean").collect()))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 500)
+    assert sorted(map(tuple, graph.graph_search(rows, queries, 3, "euclidean").collect())) == want and len(want) == 240
+
+
 @pytest.mark.parametrize("metric", list(Metric))
 def test_links_are_chosen_as_by_plain_loops(metric):
     rows = np.random.default_rng(1).normal(size=(90, 5))
