@@ -259,7 +259,7 @@ def compact_graphs(index: DataFrame, path: str, **parameters) -> DataFrame:
                 own = np.frombuffer(data.as_py(), float).reshape(-1, width)
                 yield pa.record_batch([ids.values, pa.array(own.tolist(), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
 
-    return write_graphs(index.select("ids", "width", "data").mapInArrow(rows, "vec_id long, embedding array<double>").coalesce(1 + index.count() // 8), path, **parameters)
+    return write_graphs(index.select("ids", "width", "data").mapInArrow(rows, "vec_id long, embedding array<double>"), path, **parameters)
 
 
 def graph_edges(df: DataFrame, metric: Metric | str = Metric.COSINE, m: int = 12, ef_construction: int = 64, max_layer: int = 16, seed: int = 42, graph_rows: int = 20_000, id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -41,6 +41,12 @@ def test_blocks_of_queries_give_what_one_gives(spark, monkeypatch):
     assert sorted(map(tuple, graph.graph_search(rows, queries, 3, "euclidean").collect())) == want and len(want) == 240
 
 
+def test_stored_graphs_lie_in_files_of_their_own(spark, tmp_path):
+    index = graph.write_graphs(line(spark, 300), str(tmp_path / "g"), graph_rows=100)
+    assert index.count() == len(index.inputFiles()) > 2
+    assert index.agg(F.max(F.size("ids"))).first()[0] <= 100
+
+
 @pytest.mark.parametrize("metric", list(Metric))
 def test_links_are_chosen_as_by_plain_loops(metric):
     rows = np.random.default_rng(1).normal(size=(90, 5))
